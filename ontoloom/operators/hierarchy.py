@@ -17,7 +17,7 @@ execution splits it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ontoloom.sources.scratch import Scratch
@@ -47,17 +47,24 @@ def hierarchy(links: DataFrame, child: str = "child", parent: str = "parent") ->
         F.col("up").isNull().alias("done"),
         F.when(F.col("up").isNull(), F.array().cast(f"array<{kind.simpleString()}>")).otherwise(F.array("node")).alias("path"),
     )
-    latest = scratch.save(start, "round0")
+    latest, ended, left = _save(scratch, start, "round0")
     settled = latest.where("done")
     number = 0
-    while latest.where("not done").limit(1).count():
+    while left:
         number += 1
-        latest = scratch.save(_jump(latest.where("not done"), settled.unionByName(latest.where("not done"))), f"round{number}")
-        if not latest.where("done").limit(1).count():
+        latest, ended, left = _save(scratch, _jump(latest.where("not done"), settled.unionByName(latest.where("not done"))), f"round{number}")
+        if not ended:
             break
         settled = settled.unionByName(latest.where("done"))
     trees = settled.select("node", F.col("anc").alias("root"), F.col("steps").alias("depth"), F.concat(F.array("anc"), "path").alias("path"))
-    return trees.unionByName(_cyclic(latest.where("not done").select("node", "anc"), number, scratch, trees))
+    return trees.unionByName(_cyclic(latest.where("not done").select("node", "anc"), number, left, scratch, trees))
+
+
+def _save(scratch: Scratch, df: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+    """The written table, and how many of its rows are settled and not; counted by the write itself."""
+    seen = Observation()
+    table = scratch.save(df.observe(seen, F.count_if("done").alias("ended"), F.count_if(~F.col("done")).alias("left")), name)
+    return table, seen.get["ended"], seen.get["left"]
 
 
 def _jump(front: DataFrame, state: DataFrame) -> DataFrame:
@@ -65,9 +72,8 @@ def _jump(front: DataFrame, state: DataFrame) -> DataFrame:
     return f.join(s, F.col("f.anc") == F.col("s.node")).select("f.node", "s.anc", (F.col("f.steps") + F.col("s.steps")).alias("steps"), "s.done", F.concat("s.path", "f.path").alias("path"))
 
 
-def _cyclic(left: DataFrame, number: int, scratch: Scratch, like: DataFrame) -> DataFrame:
-    """The rows of nodes on or below a cycle; ``number``: the rounds that made their pointers."""
-    size = left.count()
+def _cyclic(left: DataFrame, number: int, size: int, scratch: Scratch, like: DataFrame) -> DataFrame:
+    """The rows of the ``size`` nodes on or below a cycle; ``number``: the rounds that made their pointers."""
     while size and 2**number < size:
         number += 1
         a, b = left.alias("a"), left.alias("b")
