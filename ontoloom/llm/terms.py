@@ -66,4 +66,4 @@ def _subjects(relations: DataFrame, properties: DataFrame) -> DataFrame:
     """(field, total): the two numbers of all subjects, from one aggregation."""
     both = relations.select("subject", F.lit(0).alias("p")).unionByName(properties.select("subject", F.lit(1).alias("p"))).where("subject is not null")
     sums = both.groupBy("subject").agg(F.max("p").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("p"), F.lit(0)).cast("bigint").alias("n_p"))
-    return sums.select(F.inline(F.array(F.struct(F.lit("iri").alias("field"), F.col("n").alias("total")), F.struct(F.lit("literal_type"), F.col("n_p")))))
+    return sums.select(F.inline(F.array(F.struct(F.lit("iri").alias("field"), F.col("n").alias("total")), F.struct(F.lit("literal_type").alias("field"), F.col("n_p").alias("total")))))
