@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ontoloom.functions.iri import read_iris
 from ontoloom.operators import faults, hierarchy, runs, wide
@@ -13,8 +14,16 @@ NS = "http://quarry.example/ns#"
 UP, DOWN = [NS + "partOf", NS + "broader"], [NS + "hasPart", NS + "narrower"]
 
 
+_schemas: dict[tuple[str, str], T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a data folder; its schema is looked up once per application."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = spark.sparkContext.applicationId, path
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:

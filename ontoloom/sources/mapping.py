@@ -49,6 +49,11 @@ def invert(shape: Template, iri: str) -> list[str] | None:
     return list(m.groups()) if m else None
 
 
+def apart(a: Template | None, b: Template) -> bool:
+    """Can no IRI be of both templates?  Sure if neither base begins the other."""
+    return a is not None and not a.segments[0].startswith(b.segments[0]) and not b.segments[0].startswith(a.segments[0])
+
+
 def key_test(c: Column, kind: str, text: str) -> Column:
     """Is the column's text exactly this?  The native comparison comes first, as scans can use it."""
     if kind == "string":
@@ -60,10 +65,12 @@ class MappedSource:
     def __init__(self, maps: list[TableMap]):
         self.maps = maps
 
-    def tables(self, pattern: A.Triple) -> list[tuple[TableMap, str]]:
-        """(map, column) of every way to answer a pattern."""
+    def tables(self, pattern: A.Triple, known: dict[str, Template] | None = None) -> list[tuple[TableMap, str]]:
+        """(map, column) of every way to answer a pattern; ``known``: templates that variables are bound to elsewhere."""
         out = []
         for m in self.maps:
+            if A.is_open(pattern.s) and apart((known or {}).get(A.key(pattern.s)), m.subject):
+                continue
             if isinstance(pattern.s, A.Iri) and invert(m.subject, pattern.s.value) is None:
                 continue
             for predicate, c in m.predicates.items():
@@ -76,9 +83,9 @@ class MappedSource:
                 out.append((m, c))
         return out
 
-    def scan(self, pattern: A.Triple) -> list[Solutions]:
+    def scan(self, pattern: A.Triple, known: dict[str, Template] | None = None) -> list[Solutions]:
         check(pattern)
-        return [self._star(m, [(pattern, c)]) for m, c in self.tables(pattern)]
+        return [self._star(m, [(pattern, c)]) for m, c in self.tables(pattern, known)]
 
     def star(self, patterns: list[A.Triple]) -> list[tuple[list[A.Triple], Solutions]]:
         """Patterns that can be answered together, each group with its single scan."""

@@ -20,7 +20,7 @@ from ontoloom.functions.terms import TERM, Value
 from ontoloom.sources.mapping import MappedSource
 from ontoloom.sparql import algebra as A
 from ontoloom.sparql.expressions import Compiler
-from ontoloom.sparql.shapes import Generic, Solutions, Typed, column
+from ontoloom.sparql.shapes import Generic, Solutions, Template, Typed, column
 
 
 @dataclass
@@ -67,13 +67,15 @@ class Planner:
 
     def _units(self, patterns: list[A.Triple]) -> list[Unit]:
         units: list[Unit] = []
-        if len(self.sources) == 1 and isinstance(self.sources[0], MappedSource):
+        mapped = len(self.sources) == 1 and isinstance(self.sources[0], MappedSource)
+        if mapped:
             merged = self.sources[0].star(patterns)
             units = [Unit(own, solutions) for own, solutions in merged]
         taken = {id(p) for u in units for p in u.patterns}
+        known = {k: s for u in units for k, s in u.solutions.shapes.items() if isinstance(s, Template)}
         for p in patterns:
             if id(p) not in taken:
-                branches = [b for s in self.sources for b in s.scan(p)]
+                branches = self.sources[0].scan(p, known) if mapped else [b for s in self.sources for b in s.scan(p)]
                 units.append(Unit([p], self._union_all(branches, [A.key(t) for t in (p.s, p.p, p.o) if A.is_open(t)])))
         return units
 
