@@ -25,7 +25,7 @@ FORMS = {
     "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
     "dateTime": rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]++)?{_ZONE}",
 }
-LANGUAGE_TAG = r"@[A-Za-z]{2,8}(?:-[A-Za-z0-9]{1,8})*"
+LANGUAGE_TAG = r"@[A-Za-z]{2,8}+(?:-[A-Za-z0-9]{1,8}+)*+"
 
 
 def matches(value: Column, form: str) -> Column:
@@ -53,7 +53,7 @@ def is_valid(kind: Column, value: Column) -> Column:
 def _decimal_text(value: Column) -> Column:
     body = F.regexp_replace(value, r"\A[+-]", "")
     whole = F.regexp_extract(body, r"\A0*+([0-9]*+)", 1)
-    part = F.regexp_extract(body, r"\.([0-9]*?)0*+\z", 1)
+    part = F.rtrim(F.regexp_extract(body, r"\.([0-9]*+)", 1), F.lit("0"))
     sign = F.when(value.startswith("-") & ((whole != "") | (part != "")), "-").otherwise("")
     return F.concat(sign, F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
 
@@ -61,7 +61,7 @@ def _decimal_text(value: Column) -> Column:
 def _instant_text(value: Column) -> Column:
     zone = F.regexp_extract(value, r"(Z|[+-][0-9]{2}:[0-9]{2})\z", 1)
     second = F.concat(F.substr(value, F.lit(1), F.lit(19)), F.when(zone == "", "Z").otherwise(zone)).try_cast("timestamp")
-    part = F.regexp_extract(value, r"T[0-9:]{8}\.([0-9]*?)0*+(?:Z|[+-][0-9]{2}:[0-9]{2})?\z", 1)
+    part = F.rtrim(F.regexp_extract(value, r"T[0-9:]{8}\.([0-9]++)", 1), F.lit("0"))
     return F.concat(F.unix_seconds(second).cast("string"), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
 
 

@@ -69,17 +69,20 @@ def count_runs(df: DataFrame, keys: list[str], record: str) -> DataFrame:
     """(keys..., rows, records): rows and distinct non-null records of every key.
 
     Null keys form a key of their own, null records count as rows only, as in SQL.  No rows
-    give no rows; further columns of ``df`` are not read.
+    give no rows; further columns of ``df`` are not read, whatever their names.
     """
     fields = {f.name: f.dataType for f in df.schema}
-    pairs = df.select(*keys, F.col(f"`{record}`").alias("record"), F.pmod(F.monotonically_increasing_id(), F.lit(TIES)).cast("smallint").alias("tie"))
-    order = [*keys, "record", "tie"]
+    own = [f"key{n}" for n in range(len(keys))]
+    pairs = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, own)], F.col(f"`{record}`").alias("record"), F.pmod(F.monotonically_increasing_id(), F.lit(TIES)).cast("smallint").alias("tie"))
+    order = [*own, "record", "tie"]
     ranged = pairs.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
-    schema = T.StructType([T.StructField(k, fields[k]) for k in keys] + [T.StructField(n, T.LongType()) for n in ("at", "rows", "records")] + [T.StructField(n, fields[record]) for n in ("first", "last")])
-    states = ranged.mapInArrow(_scan(keys), schema)
-    before = F.lag("last").over(Window.partitionBy(*keys).orderBy("at"))
-    # within a key records ascend with nulls first, so a run goes on only where both ends are the same value
-    return states.withColumn("goes_on", F.coalesce((F.col("first") == before).cast("bigint"), F.lit(0))).groupBy(*keys).agg(F.sum("rows").alias("rows"), F.sum(F.col("records") - F.col("goes_on")).alias("records"))
+    schema = T.StructType([T.StructField(n, fields[k]) for k, n in zip(keys, own)] + [T.StructField(n, T.LongType()) for n in ("at", "rows", "records")] + [T.StructField(n, fields[record]) for n in ("first", "last")])
+    states = ranged.mapInArrow(_scan(own), schema)
+    before = F.lag("last").over(Window.partitionBy(*own).orderBy("at"))
+    # a run of one record goes on where a state begins with the record that the one before ended on
+    goes_on = F.coalesce((F.col("first") == before).cast("bigint"), F.lit(0))
+    counts = states.withColumn("goes_on", goes_on).groupBy(*own).agg(F.sum("rows").alias("rows"), F.sum(F.col("records") - F.col("goes_on")).alias("records"))
+    return counts.select(*[F.col(n).alias(k) for k, n in zip(keys, own)], "rows", "records")
 
 
 def graph_key_counts(relations: DataFrame) -> DataFrame:

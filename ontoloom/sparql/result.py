@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -24,7 +24,12 @@ class SolutionSet:
 
     vars: list[str]
     solutions: Solutions
-    bindings: Solutions  # all variables of the pattern, projected or not
+    plan_bindings: Callable[[], Solutions]
+
+    @property
+    def bindings(self) -> Solutions:
+        """All variables of the pattern, projected or not."""
+        return self.plan_bindings()
 
     def _keys(self) -> list[str]:
         return [A.key(A.Var(v)) for v in self.vars if A.key(A.Var(v)) in self.solutions.shapes]
@@ -46,8 +51,9 @@ class SolutionSet:
     @property
     def all_bindings(self) -> DataFrame:
         """As ``df``, with the variables that are not projected too."""
-        keys = [k for k in self.bindings.shapes if k.startswith("v_") and "___" not in k]
-        done = self.bindings.generic(keys)
+        done = self.bindings
+        keys = [k for k in done.shapes if k.startswith("v_") and "___" not in k]
+        done = done.generic(keys)
         return done.df.select(*[done.parts(k)[0].alias(k[2:]) for k in keys])
 
     def rows(self) -> Iterator[dict]:

@@ -68,8 +68,8 @@ class Engine:
         node, inner = query.pattern, query.pattern
         while isinstance(inner, (A.Distinct, A.Slice)):
             inner = inner.inner
-        kept = planner.plan(inner.inner) if isinstance(inner, A.Project) else planner.plan(inner)
-        return SolutionSet(query.vars, planner.plan(node), kept)
+        body = inner.inner if isinstance(inner, A.Project) else inner
+        return SolutionSet(query.vars, planner.plan(node), lambda: planner.plan(body))
 
     def _describe(self, planner: Planner, query: A.Query) -> DataFrame:
         parts = []
