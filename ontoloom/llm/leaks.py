@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ontoloom.llm.looks import words
 
-#: Most words of test items in one block: bounds what is sent to the executors (some 50 bytes a word).
-BLOCK_WORDS = 1_000_000
+#: Most words of test items in one block: bounds what is sent to the executors (some 300 bytes a word, once indexed).
+BLOCK_WORDS = 200_000
 
 
 def distance(pattern: list[int], text: list[int]) -> int:

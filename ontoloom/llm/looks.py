@@ -35,7 +35,7 @@ SAME_SHAPE = {
     "Armenian": "օo ՕO հh սu ոn ցg զq ՏS ՍU Լl",
 }
 #: Invisible characters that Unicode does not class as format or variation characters.
-INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
+INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
 #: Compatibility forms that look like their plain characters (the tags of Unicode's decompositions).
 PLAIN_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<font>")
 #: Code points looked through to build the tables: the planes that hold letters, signs and format characters.
@@ -55,7 +55,7 @@ def _first_map() -> dict[int, str | None]:
     table: dict[int, str | None] = {c: None for c in [*range(0x9), *range(0xE, 0x1C), 0x7F]}
     for code in _RANGE:
         c = chr(code)
-        if c.isspace() or c == "⠀":
+        if c.isspace() or c == "\u2800":
             table[code] = " "
             continue
         category = unicodedata.category(c)
@@ -85,9 +85,10 @@ def _finder(codes) -> re.Pattern:
 
 _any_first, _any_second = _finder(_first), _finder(_second)
 _blanks = re.compile(r"\s+")
-#: A run of letters and marks with a letter of one of the scripts that share shapes with Latin.
-_OTHER = "Ͱ-Ͽἀ-῿Ѐ-ԯᲀ-᲏ⷠ-ⷿꙀ-ꚟ԰-֏"
-_token = re.compile(rf"(?:[^\W\d_]|[̀-ͯ])*[{_OTHER}](?:[^\W\d_]|[̀-ͯ])*")
+#: A letter of one of the scripts that share shapes with Latin (Greek, Cyrillic, Armenian blocks).
+_other = re.compile("[\u0370-\u03ff\u1f00-\u1fff\u0400-\u052f\u1c80-\u1c8f\u2de0-\u2dff\ua640-\ua69f\u0530-\u058f]")
+#: A token: a run of letters and combining marks.
+_token = re.compile("(?:[^\\W\\d_]|[\u0300-\u036f])+")
 
 
 def skeleton(text: str) -> str:
@@ -130,17 +131,33 @@ def respell(token: str) -> str:
 def form(text: str) -> str:
     """The one form of all texts that look like this one."""
     seen = skeleton(text)
-    return seen if seen.isascii() else _token.sub(lambda m: respell(m[0]), seen)
+    if not _other.search(seen):
+        return seen
+    return _token.sub(lambda m: respell(m[0]) if _other.search(m[0]) else m[0], seen)
+
+
+def own_script(c: str) -> str | None:
+    """The script of a letter as written; None for marks and for scripts that share no shapes with Latin."""
+    if c in _script:
+        return _script[c]
+    name = unicodedata.name(c, "").split(" ")[0].capitalize() if c.isalpha() else ""
+    return name if name in ("Latin", *SAME_SHAPE) else None
 
 
 @lru_cache(maxsize=200_000)
 def token_kind(token: str) -> str:
-    """'mixed' (letters of several scripts that look-alikes explain), 'whole' (wholly look-alikes of Latin) or 'plain'."""
-    parts = unicodedata.normalize("NFD", token)
-    own = {_script.get(c) or next(iter(s), None) if (s := _scripts(c)) and c not in _writable else _script.get(c, "Latin" if c in _writable else None) for c in parts} - {None}
-    if len(own) > 1:
+    """'mixed': letters of several scripts; 'whole': of one other script, but each looks Latin; else 'plain'."""
+    letters = [c for c in unicodedata.normalize("NFD", token) if own_script(c)]
+    scripts = set(map(own_script, letters))
+    if len(scripts) > 1:
         return "mixed"
-    return "whole" if own and own != {"Latin"} and all(c in _latin or not c.isalpha() for c in parts) else "plain"
+    return "whole" if letters and all(c in _latin for c in letters) else "plain"
+
+
+def token_kinds(text: str) -> list[str]:
+    """The kinds of a text's tokens that have a letter of a script sharing shapes with Latin."""
+    seen = unicodedata.normalize("NFC", text.translate(_first))
+    return [token_kind(m) for m in _token.findall(seen) if _other.search(m)]
 
 
 #: Letters that differ in case only, or look alike in some case, have one key: lower case of the Latin shape.
@@ -183,7 +200,7 @@ def forms(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             out, kinds = [], ([], [])
             for t in batch.column("text").to_pylist():
                 out.append(None if t is None else form(t))
-                found = [] if t is None or t.isascii() else [token_kind(m) for m in _token.findall(unicodedata.normalize("NFC", t.translate(_first)))]
+                found = token_kinds(t) if t and _other.search(t) else []
                 kinds[0].append(found.count("mixed"))
                 kinds[1].append(found.count("whole"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), pa.array(kinds[0], pa.int64()), pa.array(kinds[1], pa.int64())], names=["doc_id", "form", "mixed_tokens", "whole_tokens"])
@@ -214,17 +231,18 @@ def form_keys(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def look_alikes(keys: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: documents of equal form and unequal text, from ``form_keys``.
 
-    Groups of exact copies alone drop out in an aggregation that combines before its shuffle.
-    In the others, pairs are made between spellings, then expanded to the documents, so no pair
-    of equal texts is ever built.  ``keys`` is read several times: pass a written table.
+    Copies are counted into spellings first, which combines before its shuffle, so a group of a
+    third of all rows is one row.  Only forms with several spellings go on; pairs are made
+    between spellings, then expanded to the documents, so no pair of equal texts is ever built.
+    ``keys`` is read several times: pass a written table.
     """
     look, text = ["f1", "f2"], ["t1", "t2"]
-    varied = keys.groupBy(*look).agg(*[g(c).alias(f"{n}_{c}") for c in text for n, g in (("lo", F.min), ("hi", F.max))]).where("lo_t1 != hi_t1 or lo_t2 != hi_t2").select(*look)
-    members = keys.join(varied, look, "left_semi")
-    spelled = members.groupBy(*look, *text).agg(F.count(F.lit(1)).alias("n"))
-    a, b = spelled.alias("a"), spelled.alias("b")
+    spelled = keys.groupBy(*look, *text).agg(F.count(F.lit(1)).alias("n"))
+    varied = spelled.groupBy(*look).agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1").select(*look)
+    classes = spelled.join(varied, look, "left_semi")
+    a, b = classes.alias("a"), classes.alias("b")
     below = (F.col("a.t1") < F.col("b.t1")) | ((F.col("a.t1") == F.col("b.t1")) & (F.col("a.t2") < F.col("b.t2")))
     pairs = a.join(b, (F.col("a.f1") == F.col("b.f1")) & (F.col("a.f2") == F.col("b.f2")) & below).select("a.f1", "a.f2", "a.t1", "a.t2", F.col("b.t1").alias("u1"), F.col("b.t2").alias("u2"))
-    one = pairs.join(members.withColumnRenamed("doc_id", "x"), [*look, *text])
-    two = one.join(members.select(*look, F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.col("doc_id").alias("y")), [*look, "u1", "u2"])
+    one = keys.withColumnRenamed("doc_id", "x").join(pairs, [*look, *text])
+    two = keys.select(*look, F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.col("doc_id").alias("y")).join(one, [*look, "u1", "u2"])
     return two.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
