@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ontoloom.errors import DataError
 from ontoloom.functions import terms
-from ontoloom.functions.iri import XSD, read_iris
+from ontoloom.functions.iri import prefix_map
 from ontoloom.sources.triples import EncodedSource
 from ontoloom.sparql import algebra as A
 from ontoloom.sparql.result import Graph
@@ -18,8 +18,8 @@ class EncodedStore(Engine):
     """Read-only; ids are those of the tables."""
 
     def __init__(self, spark: SparkSession, relations: DataFrame, properties: DataFrame, nodes: DataFrame, predicates: DataFrame, prefixes: DataFrame, strict: bool = False):
-        self.source = EncodedSource(relations, properties, nodes, predicates, prefixes)
-        known = {r.prefix: r.namespace for r in prefixes.where("prefix is not null").select("prefix", "namespace").toLocalIterator()}
+        known = prefix_map(prefixes)
+        self.source = EncodedSource(relations, properties, nodes, predicates, prefixes if known is None else known)
         super().__init__(spark, [self.source], known, strict)
 
     def get_id_from_iri(self, iri: str, element: ElementType = ElementType.OBJECT) -> int | None:
@@ -36,10 +36,8 @@ class EncodedStore(Engine):
         s = src.nodes.select(F.col("id").alias("__s"), terms.make_kind("kind", "value").alias("s"))
         o = src.nodes.select(F.col("id").alias("__o"), terms.make_kind("kind", "value").alias("o"))
         one = relations.select("subject", "predicate", "object").join(p, F.col("predicate") == F.col("__p")).join(s, F.col("subject") == F.col("__s")).join(o, F.col("object") == F.col("__o"))
-        typed = read_iris(properties.where("literal_value is not null").withColumn("__raw", F.coalesce("literal_type", F.lit(""))), "__raw", src.prefixes, "__type")
-        tag = F.when(F.col("__type").startswith("@"), F.substr("__type", F.lit(2)))
-        datatype = F.when(tag.isNotNull(), A.RDF + "langString").when(F.col("__type") == "", XSD + "string").otherwise(F.col("__type"))
-        two = typed.join(p, F.col("predicate") == F.col("__p")).join(s, F.col("subject") == F.col("__s")).select("s", F.col("term").alias("p"), terms.make("literal", F.col("literal_value"), datatype, tag).alias("o"))
+        typed, literal = src.literals(properties.where("literal_value is not null"))
+        two = typed.join(p, F.col("predicate") == F.col("__p")).join(s, F.col("subject") == F.col("__s")).select("s", F.col("term").alias("p"), literal.alias("o"))
         return Graph(one.select("s", F.col("term").alias("p"), "o").unionByName(two).distinct())
 
     def describe_object_by_id(self, number: int) -> Graph:

@@ -163,7 +163,7 @@ GRAPH_SELECTS: dict[str, tuple[str, str]] = {
     "graph_counts": ("SELECT ?o (COUNT(?s) AS ?n) WHERE { ?s qy:memberOf ?o } GROUP BY ?o", f"select o.value as o, count(*) as n from {rel('memberOf')} r join {_NODES} o on o.id = r.object group by 1"),
     "graph_property": (
         'SELECT ?s ?v WHERE { ?s qy:label ?v . FILTER(STRSTARTS(?v, "amber")) }',
-        f"select s.value as s, p.v from (select distinct subject, literal_value as v, ltype from (select subject, literal_value, replace(replace(replace(trim(coalesce(literal_type, '')), '<', ''), '>', ''), 'xsd:', 'http://www.w3.org/2001/XMLSchema#') as lt, case when lt = '' then 'http://www.w3.org/2001/XMLSchema#string' else lt end as ltype from node_properties where predicate in {_PRED.format('label')} and literal_value like 'amber%')) p join {_NODES} s on s.id = p.subject",
+        f"select s.value as s, p.v from (select distinct subject, literal_value as v, ltype from (select subject, literal_value, replace(replace(replace(trim(coalesce(literal_type, '')), '<', ''), '>', ''), 'xsd:', 'http://www.w3.org/2001/XMLSchema#') as lt, case when lt = '' then 'http://www.w3.org/2001/XMLSchema#string' else lt end as ltype from node_properties where predicate in {_PRED.format('label')} and literal_value like 'amber%') where ltype <> 'http://www.w3.org/2001/XMLSchema#boolean') p join {_NODES} s on s.id = p.subject",
     ),
     "graph_semi": ("SELECT ?a ?b WHERE { ?a qy:cites ?b . ?b qy:knows ?a }", f"select a.value as a, b.value as b from {rel('cites')} r join {rel('knows')} k on k.subject = r.object and k.object = r.subject join {_NODES} a on a.id = r.subject join {_NODES} b on b.id = r.object"),
 }

@@ -64,13 +64,9 @@ def from_text(spark: SparkSession, text: str, form: str) -> tuple[DataFrame, dic
     return spark.createDataFrame([r for r in rows(scoped(t, scope) for t in triples)], STATEMENT), prefixes
 
 
-def from_files(spark: SparkSession, path: str, form: str) -> tuple[DataFrame, dict[str, str]]:
-    """Statements of the documents under ``path``, parsed in parallel; prefixes of all of them.
-
-    A document that cannot be parsed at all raises DataError.  The last namespace (by text) of a prefix counts.
-    """
+def parse_batches(texts: DataFrame, form: str) -> DataFrame:
+    """Statements of documents (scope, value); blank labels carry the scope."""
     parse = PARSERS[form]
-    texts = spark.read.text(path, wholetext=True).select(F.hex(F.xxhash64(F.input_file_name())).alias("scope"), "value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,6 +75,17 @@ def from_files(spark: SparkSession, path: str, form: str) -> tuple[DataFrame, di
                 columns = list(zip(*found)) if found else [()] * (len(COLUMNS) + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:-1]] + [pa.array(columns[-1], pa.bool_())], names=[*COLUMNS, "asserted"])
 
+    return texts.mapInArrow(run, STATEMENT)
+
+
+def from_files(spark: SparkSession, path: str, form: str) -> tuple[DataFrame, dict[str, str]]:
+    """Statements of the documents under ``path``, parsed in parallel; prefixes of all of them.
+
+    A document that cannot be parsed at all raises DataError.  The last namespace (by text) of a prefix counts.
+    """
+    parse = PARSERS[form]
+    texts = spark.read.text(path, wholetext=True).select(F.hex(F.xxhash64(F.input_file_name())).alias("scope"), "value")
+
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column("value").to_pylist():
@@ -86,4 +93,4 @@ def from_files(spark: SparkSession, path: str, form: str) -> tuple[DataFrame, di
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["prefix", "namespace"])
 
     prefixes = texts.mapInArrow(heads, "prefix string, namespace string").groupBy("prefix").agg(F.max("namespace").alias("namespace"))
-    return texts.mapInArrow(run, STATEMENT), {r.prefix: r.namespace for r in prefixes.toLocalIterator()}
+    return parse_batches(texts, form), {r.prefix: r.namespace for r in prefixes.toLocalIterator()}

@@ -94,7 +94,7 @@ class EncodedSource:
     ids until their text is needed.  Repeated statements count once.
     """
 
-    def __init__(self, relations: DataFrame, properties: DataFrame, nodes: DataFrame, predicates: DataFrame, prefixes: DataFrame):
+    def __init__(self, relations: DataFrame, properties: DataFrame, nodes: DataFrame, predicates: DataFrame, prefixes: DataFrame | dict[str, str]):
         self.relations, self.properties, self.prefixes = relations, properties, prefixes
         self.nodes = nodes.select("id", "kind", "value")
         self.predicates = read_iris(predicates, "iri", prefixes, "term").select(F.col("id").alias("__p"), "term")
@@ -113,13 +113,20 @@ class EncodedSource:
                 rows = rows.where(F.col("literal_value") == pattern.o.value)
                 out.append(self._bind(rows, pattern, None, None))
             else:
-                raw = rows.withColumn("__raw", F.coalesce("literal_type", F.lit("")))
-                kinds = read_iris(self.properties.select(F.coalesce("literal_type", F.lit("")).alias("__raw")).distinct(), "__raw", self.prefixes, "__type")
-                typed = raw.join(kinds, "__raw").withColumn("__tag", F.when(F.col("__type").startswith("@"), F.substr("__type", F.lit(2))))
-                datatype = F.when(F.col("__tag").isNotNull(), A.RDF + "langString").when(F.col("__type") == "", XSD + "string").otherwise(F.col("__type"))
-                out.append(self._bind(typed, pattern, terms.make("literal", F.col("literal_value"), datatype, F.col("__tag")), Generic()))
+                typed, literal = self.literals(rows)
+                out.append(self._bind(typed, pattern, literal, Generic()))
         return out
 
+    def literals(self, rows: DataFrame) -> tuple[DataFrame, Column]:
+        """Property rows, and the term column of their literals."""
+        # read once per distinct type: the expression is long, and the join side short
+        raw = F.coalesce("literal_type", F.lit(""))
+        read = read_iris(rows.select(raw.alias("__raw")).distinct(), "__raw", self.prefixes, "__type")
+        typed = rows.withColumn("__raw", raw).join(read, "__raw")
+        tag = F.when(F.col("__type").startswith("@"), F.substr("__type", F.lit(2)))
+        datatype = F.when(tag.isNotNull(), A.RDF + "langString").when(F.col("__type") == "", XSD + "string").otherwise(F.col("__type"))
+        return typed, terms.make("literal", F.col("literal_value"), datatype, tag)
+
     def _named(self, rows: DataFrame, pattern: A.Triple) -> DataFrame:
         if isinstance(pattern.p, A.Iri):
             rows = rows.join(self.predicates.where(F.col("term") == pattern.p.value), F.col("predicate") == F.col("__p"), "left_semi")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import os
 import re
 from collections.abc import Iterable, Iterator
 from enum import Enum
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.errors import DataError, SparqlError
+from ontoloom.errors import DataError, SparqlError, StoreError
 from ontoloom.functions import terms
 from ontoloom.sources import rdfxml, statements
 from ontoloom.sources.scratch import Scratch
@@ -102,6 +103,13 @@ class TripleStore(Engine):
         self.migrate()
         self._prefixes_from_disk()
 
+    @classmethod
+    def new_from_env(cls, spark: SparkSession, variable: str = "ONTOLOOM_STORE") -> TripleStore:
+        """The store in the folder that an environment variable names."""
+        if variable not in os.environ:
+            raise StoreError(f"{variable} is not set")
+        return cls(spark, os.environ[variable])
+
     # tables
     def migrate(self) -> None:
         """Make the folders of tables that do not exist yet."""
@@ -196,6 +204,10 @@ class TripleStore(Engine):
             text = self.spark.read.text(f"{self.path}/prefixes.json", wholetext=True)
             self.prefixes = json.loads(text.head().value)
 
+    def get_all_prefixes(self) -> dict[str, str]:
+        """prefix -> namespace."""
+        return dict(self.prefixes)
+
     def get_short_iri(self, iri: str) -> str:
         """With the prefix of the longest namespace that begins it; unchanged without one or without a rest."""
         return shorten(iri, self.prefixes)
