@@ -60,6 +60,8 @@ class Value:
     n: Column | None = None
     s: Column | None = None
     term: Column | None = None  # the term column, for a variable
+    constant: str | None = None  # the text, of a constant
+    native: tuple | None = None  # (shape, columns) that the text is made from
 
     def slot(self, tag: str) -> Column:
         c = {"b": self.b, "n": self.n}.get(tag, self.s)
@@ -98,7 +100,7 @@ def value_of_term(t: Column) -> Value:
 
 def value_of_constant(term) -> Value:
     if isinstance(term, Iri):
-        return Value("i", s=F.lit(term.value))
+        return Value("i", s=F.lit(term.value), constant=term.value)
     assert isinstance(term, Literal)
     if term.datatype == XSD + "boolean":
         return Value("b", b=F.lit(term.value in ("true", "1")))
@@ -107,7 +109,7 @@ def value_of_constant(term) -> Value:
             return Value("n", n=F.lit(float(term.value)))
         except ValueError:
             pass
-    return Value("s", s=F.lit(term.value))
+    return Value("s", s=F.lit(term.value), constant=term.value)
 
 
 def make_kind(kind: str, value: str) -> Column:

@@ -87,6 +87,8 @@ SELECTS: dict[str, tuple[str, str]] = {
     "bgp_const_check_none": ("SELECT ?n WHERE { ?r t:r_name ?n . n:1 t:n_regionkey <http://tables.example/region/9> }", "select r_name as n from region where exists (select 1 from nation where n_nationkey = 1 and n_regionkey = 9)"),
     "bgp_subselect": ("SELECT ?c ?n WHERE { { SELECT ?c WHERE { ?c t:c_nationkey n:3 } } ?c t:c_name ?n }", f"select {_C} as c, c_name as n from customer where c_nationkey = 3"),
     "bgp_date": ('SELECT ?o ?d WHERE { ?o t:o_orderdate ?d . FILTER(?d < "1995-03-01"^^xsd:dateTime) }', f"select {_O} as o, o_orderdate as d from orders where o_orderdate < timestamp '1995-03-01'"),
+    "bgp_date_range": ('SELECT ?o ?d WHERE { ?o t:o_orderdate ?d . FILTER(?d >= "1996-01-01"^^xsd:dateTime && "1996-03-01T00:00:00"^^xsd:dateTime > ?d && ?d > "1996-01-05T00:00:00.000000"^^xsd:dateTime) }', f"select {_O} as o, o_orderdate as d from orders where o_orderdate > timestamp '1996-01-05' and o_orderdate < timestamp '1996-03-01'"),
+    "filter_iri": customers("?c = c:42 || ?c IN (c:43, n:3) || c:44 = ?c", "c_custkey in (42, 43, 44)"),
     "filter_eq": customers('?seg = "BUILDING"', "c_mktsegment = 'BUILDING'"),
     "filter_neq": customers('?seg != "BUILDING"', "c_mktsegment <> 'BUILDING'"),
     "filter_mixed_types": customers("?seg != 5 && !(?seg < 5)", "true"),
@@ -135,6 +137,7 @@ SELECTS: dict[str, tuple[str, str]] = {
     "fn_iri": part('STR(IRI(CONCAT("urn:part:", ?size)))', "'urn:part:' || p_size"),
     "fn_unknown": ("SELECT ?p WHERE { ?p t:p_name ?n . FILTER(NOW() = 1) }", f"select {_P} as p from part where false"),
     "distinct": ("SELECT DISTINCT ?seg WHERE { ?c t:c_mktsegment ?seg }", "select distinct c_mktsegment as seg from customer"),
+    "distinct_order": ("SELECT DISTINCT ?seg WHERE { ?c t:c_mktsegment ?seg } ORDER BY DESC(?seg) LIMIT 3", "select distinct c_mktsegment as seg from customer order by 1 desc limit 3"),
     "order_limit": ("SELECT ?o ?price WHERE { ?o t:o_totalprice ?price } ORDER BY DESC(?price) ?o LIMIT 20", f"select {_O} as o, o_totalprice as price from orders order by o_totalprice desc, 1 limit 20"),
     "offset": ("SELECT ?n WHERE { ?x t:n_name ?n } ORDER BY ?n OFFSET 20", "select n_name as n from nation order by 1 offset 20"),
     "optional": ("SELECT ?c ?o WHERE { ?c t:c_nationkey n:3 OPTIONAL { ?o t:o_custkey ?c ; t:o_totalprice ?p FILTER(?p > 300000) } }", f"select {_C} as c, {_O} as o from customer left join orders on o_custkey = c_custkey and o_totalprice > 300000 where c_nationkey = 3"),

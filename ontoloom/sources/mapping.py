@@ -8,7 +8,6 @@ needed), constant IRIs are turned back into keys, and all of it reaches the file
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ontoloom.sources.triples import check
 from ontoloom.sparql import algebra as A
-from ontoloom.sparql.shapes import Solutions, Template, Typed, column, lexical
+from ontoloom.sparql.shapes import Solutions, Template, Typed, column, key_test
 
 
 @dataclass
@@ -43,24 +42,11 @@ def template(base: str, kinds: list[str]) -> Template:
     return Template((base, *["/"] * (len(kinds) - 1), ""), tuple(kinds))
 
 
-def invert(shape: Template, iri: str) -> list[str] | None:
-    """The key texts of an IRI, or None if it is not of the template."""
-    m = re.fullmatch("([^/]+)".join(map(re.escape, shape.segments)), iri)
-    return list(m.groups()) if m else None
-
-
 def apart(a: Template | None, b: Template) -> bool:
     """Can no IRI be of both templates?  Sure if neither base begins the other."""
     return a is not None and not a.segments[0].startswith(b.segments[0]) and not b.segments[0].startswith(a.segments[0])
 
 
-def key_test(c: Column, kind: str, text: str) -> Column:
-    """Is the column's text exactly this?  The native comparison comes first, as scans can use it."""
-    if kind == "string":
-        return c == text
-    return (c == F.lit(text).try_cast(kind)) & (lexical(c, kind) == text)
-
-
 class MappedSource:
     def __init__(self, maps: list[TableMap]):
         self.maps = maps
@@ -71,14 +57,14 @@ class MappedSource:
         for m in self.maps:
             if A.is_open(pattern.s) and apart((known or {}).get(A.key(pattern.s)), m.subject):
                 continue
-            if isinstance(pattern.s, A.Iri) and invert(m.subject, pattern.s.value) is None:
+            if isinstance(pattern.s, A.Iri) and m.subject.invert(pattern.s.value) is None:
                 continue
             for predicate, c in m.predicates.items():
                 if isinstance(pattern.p, A.Iri) and predicate != pattern.p.value:
                     continue
                 if c in m.links and isinstance(pattern.o, A.Literal) or c not in m.links and isinstance(pattern.o, A.Iri):
                     continue
-                if isinstance(pattern.o, A.Iri) and invert(m.shape(c), pattern.o.value) is None:
+                if isinstance(pattern.o, A.Iri) and m.shape(c).invert(pattern.o.value) is None:
                     continue
                 out.append((m, c))
         return out
@@ -102,7 +88,7 @@ class MappedSource:
         df, columns, shapes = m.df, [], {}
         subject = own[0][0].s
         if isinstance(subject, A.Iri):
-            for k, text in zip(m.keys, invert(m.subject, subject.value)):
+            for k, text in zip(m.keys, m.subject.invert(subject.value)):
                 df = df.where(key_test(F.col(k), m.kinds[k], text))
         else:
             key = A.key(subject)
@@ -121,7 +107,7 @@ class MappedSource:
             if isinstance(pattern.o, A.Literal):
                 df = df.where(key_test(value, m.kinds[c], pattern.o.value))
             elif isinstance(pattern.o, A.Iri):
-                df = df.where(key_test(value, m.kinds[c], invert(shape, pattern.o.value)[0]))
+                df = df.where(key_test(value, m.kinds[c], shape.invert(pattern.o.value)[0]))
             else:
                 key = A.key(pattern.o)
                 df = df.where(value.isNotNull())

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from ontoloom.errors import SparqlError
 from ontoloom.functions import terms
 from ontoloom.functions.terms import Value
 from ontoloom.sparql import algebra as A
+from ontoloom.sparql.shapes import Template, Typed
 
 _NULL = {"b": "boolean", "n": "double", "s": "string", "i": "string"}
 #: What the supported regular expressions leave out (look-around and back references).
@@ -71,8 +74,43 @@ def java_replacement(text: str, groups: int) -> str:
     return re.sub(r"\$\$|\$\{(\w+)\}|\$(\w+)|\\", one, text)
 
 
+def by_keys(a: Value, b: Value) -> Column | None:
+    """IRIs of a template compared by their keys, where that is enough."""
+    for x, y in ((a, b), (b, a)):
+        if x.native and isinstance(x.native[0], Template):
+            shape, parts = x.native
+            if y.tag == "i" and y.constant is not None:
+                return shape.equals(parts, y.constant)
+            if y.native and y.native[0] == shape:
+                return reduce(lambda p, q: p & q, [p == q for p, q in zip(parts, y.native[1])])
+    return None
+
+
+#: Fixed value: a beginning of the fixed-width text of a timestamp, from the day on.
+_MOMENT = re.compile(r"\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)?")
+
+
+def by_time(op: str, a: Value, b: Value) -> Column | None:
+    """A timestamp against a constant, natively; the same as by their texts, as those have a fixed width."""
+    if b.native and a.constant is not None:
+        return by_time({"<": ">", "<=": ">=", ">": "<", ">=": "<="}[op], b, a)
+    if not (a.native and isinstance(a.native[0], Typed) and a.native[0].kind.startswith("timestamp") and b.tag == "s" and b.constant and _MOMENT.fullmatch(b.constant)):
+        return None
+    try:
+        moment = datetime.fromisoformat(b.constant)
+    except ValueError:
+        return None
+    if len(b.constant) < 26:  # a beginning comes before all texts that go on from it
+        op = ">=" if op[0] == ">" else "<"
+    c, at = a.native[1][0], F.lit(moment.isoformat(sep=" ")).cast(a.native[0].kind)
+    return {"<": c < at, "<=": c <= at, ">": c > at, ">=": c >= at}[op]
+
+
 def equal(a: Value, b: Value) -> Column:
     """Null if either is; false for different types."""
+    keyed = by_keys(a, b)
+    if keyed is not None:
+        return keyed
 
     def same(tag: str) -> Column:
         x, y = a.slot(tag), b.slot(tag)
@@ -92,6 +130,9 @@ def equal(a: Value, b: Value) -> Column:
 
 def ordered(op: str, a: Value, b: Value) -> Column:
     """Null for different types and for blank nodes."""
+    timed = by_time(op, a, b)
+    if timed is not None:
+        return timed
 
     def test(tag: str) -> Column:
         x, y = a.slot(tag), b.slot(tag)

@@ -100,11 +100,15 @@ class Planner:
         left, right = self.plan(node.left), self.plan(node.right)
         if node.expr is None:
             return join(left, right, "left")
-        numbered = Solutions(left.df.withColumn("__row", F.monotonically_increasing_id()), left.shapes)
-        both = self._where(join(numbered, right), [node.expr])
-        new = [k for k in both.shapes if k not in left.shapes]
-        found = Solutions(both.df.select("__row", *both.columns(new)), {k: both.shapes[k] for k in new})
-        return Solutions(numbered.df.join(found.df, "__row", "left").drop("__row"), {**left.shapes, **found.shapes})
+        shared = [k for k in left.shapes if k in right.shapes]
+        left, right = alike(left, right, shared)
+        used = [A.key(A.Var(v)) for v in A.expr_vars(node.expr)]
+        left, right = left.decoded(used), right.decoded([k for k in used if k not in left.shapes])
+        names = right.columns(shared)
+        other = right.df.withColumnsRenamed({c: f"__{c}" for c in names})
+        both = Solutions(left.df, {**right.shapes, **left.shapes})
+        test = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{c}") for c in names], self._test(both, node.expr))
+        return Solutions(left.df.join(other, test, "left").drop(*[f"__{c}" for c in names]), both.shapes)
 
     def _union(self, node: A.Union) -> Solutions:
         return union(self.plan(node.left), self.plan(node.right))

@@ -8,7 +8,9 @@ only if a filter, another source or the result needs its text.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,13 @@ def lexical(c: Column, kind: str) -> Column:
     return terms.number_text(c) if kind in ("double", "float") else c.cast("string")
 
 
+def key_test(c: Column, kind: str, text: str) -> Column:
+    """Is the column's text exactly this?  The native comparison comes first, as scans can use it."""
+    if kind == "string":
+        return c == text
+    return (c == F.lit(text).try_cast(kind)) & (lexical(c, kind) == text)
+
+
 @dataclass(frozen=True)
 class Generic:
     """A term struct."""
@@ -65,7 +74,19 @@ class Template:
         return terms.make("iri", self.native(parts))
 
     def value(self, parts: list[Column]) -> Value:
-        return Value("i", s=self.native(parts), term=self.term(parts))
+        return Value("i", s=self.native(parts), term=self.term(parts), native=(self, parts))
+
+    def invert(self, iri: str) -> list[str] | None:
+        """The key texts of an IRI, or None if it is not of the template."""
+        m = re.fullmatch("([^/]+)".join(map(re.escape, self.segments)), iri)
+        return list(m.groups()) if m else None
+
+    def equals(self, parts: list[Column], iri: str) -> Column:
+        """Is the IRI made from these keys?  Null if a key is."""
+        keys = self.invert(iri)
+        if keys is None:
+            return F.when(parts[0].isNotNull(), False)
+        return reduce(lambda a, b: a & b, map(key_test, parts, self.kinds, keys))
 
 
 @dataclass(frozen=True)
@@ -91,7 +112,7 @@ class Typed:
             return Value("b", b=c, term=self.term(parts))
         if self.datatype in terms.NUMERIC:
             return Value("n", n=c.cast("double"), term=self.term(parts))
-        return Value("s", s=lexical(c, self.kind), term=self.term(parts))
+        return Value("s", s=lexical(c, self.kind), term=self.term(parts), native=(self, parts))
 
 
 @dataclass(frozen=True)

@@ -67,7 +67,7 @@ class Engine:
         if query.form == "describe":
             return Graph(self._describe(planner, query))
         node, inner = query.pattern, query.pattern
-        while isinstance(inner, (A.Distinct, A.Slice)):
+        while isinstance(inner, (A.Distinct, A.Slice, A.OrderBy)):
             inner = inner.inner
         body = inner.inner if isinstance(inner, A.Project) else inner
         return SolutionSet(query.vars, planner.plan(node), lambda: planner.plan(body))

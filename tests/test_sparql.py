@@ -125,6 +125,9 @@ def test_modifiers(store):
     names = lambda q: [r["n"].value for r in store.query(q).rows()]
     assert names("SELECT ?n WHERE { ?p ex:name ?n } ORDER BY DESC(?n) LIMIT 2 OFFSET 1") == ["Carol", "Bob"]
     assert store.query("SELECT DISTINCT ?a WHERE { ?p ex:age ?a }").df.count() == 2
+    assert [r["a"].value for r in store.query("SELECT DISTINCT ?a WHERE { ?p ex:age ?a } ORDER BY DESC(?a)").rows()] == ["30", "25"]
+    pairs = store.query("SELECT ?n ?a WHERE { ?p ex:name ?n OPTIONAL { ?p ex:age ?a FILTER(?a > 25 && ?n != \"Bob\") } }").rows()
+    assert {r["n"].value: r["a"].value if "a" in r else None for r in pairs} == {"Alice": "30", "Bob": None, "Carol": None, "Dave": None}
     assert [r["a"].value for r in store.query("SELECT ?a WHERE { ?p ex:age ?a } ORDER BY ?a").rows()] == ["25", "25", "30"]
     assert store.query("SELECT ?x WHERE {}").bindings.df.count() == 1
 
