@@ -6,8 +6,7 @@ node they point at, which doubles the jump and concatenates the segments, so a t
 depth d is done after about log2(d) rounds.  Before its roots are reached, each round
 settles at least the nodes at depths from 2^k up to 2^(k+1); a round that settles nothing
 therefore leaves only nodes whose ancestors run into a cycle.  These few go on jumping
-until the jump is as long as their number: then every pointer lies on a cycle, and since a
-jump permutes the nodes of a cycle, the pointers are exactly the nodes on cycles.
+until the set of nodes pointed at stops shrinking: it is then exactly the nodes on cycles.
 
 Each round is a written table (see ``Scratch``), so lineage stays one round long.  Nodes
 that are settled are written once and only looked up afterwards.  A parent with a third of
@@ -19,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ontoloom.sources.scratch import Scratch
 
@@ -38,46 +38,66 @@ def hierarchy(links: DataFrame, child: str = "child", parent: str = "parent") ->
     scratch = Scratch(links.sparkSession, "hierarchy")
     node, up = F.col(f"`{child}`"), F.col(f"`{parent}`")
     kind = links.schema[child].dataType
-    ends = links.select(F.inline(F.array(F.struct(node.alias("node"), up.alias("up")), F.struct(up.alias("node"), F.lit(None).cast(kind).alias("up")))))
-    nodes = ends.where("node is not null").groupBy("node").agg(F.min("up").alias("up"))
+    below = F.struct(node.alias("node"), up.alias("up"), F.lit(False).alias("inner"))
+    above = F.struct(up.alias("node"), F.lit(None).cast(kind).alias("up"), node.isNotNull().alias("inner"))
+    ends = links.select(F.inline(F.array(below, above)))
+    nodes = ends.where("node is not null").groupBy("node").agg(F.min("up").alias("up"), F.max("inner").alias("inner"))
     start = nodes.select(
         "node",
         F.coalesce("up", "node").alias("anc"),
         F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("steps"),
         F.col("up").isNull().alias("done"),
+        "inner",
         F.when(F.col("up").isNull(), F.array().cast(f"array<{kind.simpleString()}>")).otherwise(F.array("node")).alias("path"),
     )
-    latest, ended, left = _save(scratch, start, "round0")
-    settled = latest.where("done")
+    ended, left = _save(scratch, start, 0)
+    schema = T.StructType([*start.schema.fields, T.StructField("round", T.IntegerType())])
     number = 0
+    # rows of earlier rounds that are not settled have later versions
     while left:
+        state = scratch.read("rounds", schema)
+        front = state.where(f"round = {number} and not done")
+        # only nodes with children can be pointed at
+        known = state.where(f"inner and (done or round = {number})")
         number += 1
-        latest, ended, left = _save(scratch, _jump(latest.where("not done"), settled.unionByName(latest.where("not done"))), f"round{number}")
+        ended, left = _save(scratch, _jump(front, known), number)
         if not ended:
             break
-        settled = settled.unionByName(latest.where("done"))
-    trees = settled.select("node", F.col("anc").alias("root"), F.col("steps").alias("depth"), F.concat(F.array("anc"), "path").alias("path"))
-    return trees.unionByName(_cyclic(latest.where("not done").select("node", "anc"), number, left, scratch, trees))
+    state = scratch.read("rounds", schema)
+    trees = state.where("done").select("node", F.col("anc").alias("root"), F.col("steps").alias("depth"), F.concat(F.array("anc"), "path").alias("path"))
+    return trees.unionByName(_cyclic(state.where(f"round = {number} and not done").select("node", "anc"), number, left, scratch, trees))
 
 
-def _save(scratch: Scratch, df: DataFrame, name: str) -> tuple[DataFrame, int, int]:
-    """The written table, and how many of its rows are settled and not; counted by the write itself."""
+def _save(scratch: Scratch, df: DataFrame, number: int) -> tuple[int, int]:
+    """Write a round; how many of its rows are settled and how many not, counted by the write itself.
+
+    The rows are rebalanced first, so that a round of few rows has few files.
+    """
     seen = Observation()
-    table = scratch.save(df.observe(seen, F.count_if("done").alias("ended"), F.count_if(~F.col("done")).alias("left")), name)
-    return table, seen.get["ended"], seen.get["left"]
+    scratch.save(df.observe(seen, F.count_if("done").alias("ended"), F.count_if(~F.col("done")).alias("left")).hint("rebalance"), f"rounds/round={number}")
+    return seen.get["ended"], seen.get["left"]
 
 
 def _jump(front: DataFrame, state: DataFrame) -> DataFrame:
     f, s = front.alias("f"), state.alias("s")
-    return f.join(s, F.col("f.anc") == F.col("s.node")).select("f.node", "s.anc", (F.col("f.steps") + F.col("s.steps")).alias("steps"), "s.done", F.concat("s.path", "f.path").alias("path"))
+    return f.join(s, F.col("f.anc") == F.col("s.node")).select("f.node", "s.anc", (F.col("f.steps") + F.col("s.steps")).alias("steps"), "s.done", "f.inner", F.concat("s.path", "f.path").alias("path"))
 
 
 def _cyclic(left: DataFrame, number: int, size: int, scratch: Scratch, like: DataFrame) -> DataFrame:
-    """The rows of the ``size`` nodes on or below a cycle; ``number``: the rounds that made their pointers."""
-    while size and 2**number < size:
+    """The rows of the ``size`` nodes on or below a cycle; ``number``: the rounds that made their pointers.
+
+    The nodes pointed at never grow in number as the jump doubles.  Once a doubling leaves their
+    number as it is, a jump permutes them, so all of them are on cycles; and cycle nodes are always
+    pointed at.
+    """
+    pointed = left.select("anc").distinct().count() if size else 0
+    while pointed:
         number += 1
         a, b = left.alias("a"), left.alias("b")
         left = scratch.save(a.join(b, F.col("a.anc") == F.col("b.node")).select("a.node", "b.anc"), f"cycle{number}")
+        before, pointed = pointed, left.select("anc").distinct().count()
+        if pointed == before:
+            break
     on = left.select(F.col("anc").alias("__on")).distinct()
     kinds = {f.name: f.dataType for f in like.schema}
     return left.join(on, F.col("node") == F.col("__on"), "left").select(

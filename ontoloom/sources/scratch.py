@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,6 +46,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, name: str, schema: StructType) -> DataFrame:
+        """The tables below ``name``, as one; folders called key=value make columns of ``schema``."""
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
     def drop(self, name: str) -> None:
         self._remove(f"{self.root}/{name}")
 
