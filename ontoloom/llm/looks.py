@@ -72,19 +72,9 @@ _first = _first_map()
 _second = str.maketrans(_latin)
 
 
-def _finder(codes) -> re.Pattern:
-    """Matches any of the characters, written as ranges."""
-    codes, spans = sorted(codes), []
-    for c in codes:
-        if spans and spans[-1][1] == c - 1:
-            spans[-1][1] = c
-        else:
-            spans.append([c, c])
-    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans) + "]")
-
-
-_any_first, _any_second = _finder(_first), _finder(_second)
-_blanks = re.compile(r"\s+")
+#: Characters that the first table changes, and those of which a part is a letter of the second.
+_first_chars = frozenset(map(chr, _first))
+_second_chars = frozenset(c for c in map(chr, _RANGE) if not set(unicodedata.normalize("NFD", c)).isdisjoint(_latin))
 #: A letter of one of the scripts that share shapes with Latin (Greek, Cyrillic, Armenian blocks).
 _other = re.compile("[\u0370-\u03ff\u1f00-\u1fff\u0400-\u052f\u1c80-\u1c8f\u2de0-\u2dff\ua640-\ua69f\u0530-\u058f]")
 #: A token: a run of letters and combining marks.
@@ -93,16 +83,14 @@ _token = re.compile("(?:[^\\W\\d_]|[\u0300-\u036f])+")
 
 def skeleton(text: str) -> str:
     """What is seen of a text, in Latin shapes wherever there is one."""
-    if not text.isascii():
-        if _any_first.search(text):
-            text = text.translate(_first)
-        text = unicodedata.normalize("NFD", text)
-        if _any_second.search(text):
-            text = text.translate(_second)
-        text = unicodedata.normalize("NFC", text)
-    elif _any_first.search(text):
+    if not _first_chars.isdisjoint(text):
         text = text.translate(_first)
-    return _blanks.sub(" ", text).strip(" ")
+    if not text.isascii():
+        if _second_chars.isdisjoint(text):
+            text = unicodedata.normalize("NFC", text)
+        else:
+            text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_second))
+    return " ".join(text.split())
 
 
 def _scripts(letter: str) -> frozenset[str] | None:
@@ -131,7 +119,7 @@ def respell(token: str) -> str:
 def form(text: str) -> str:
     """The one form of all texts that look like this one."""
     seen = skeleton(text)
-    if not _other.search(seen):
+    if seen.isascii() or not _other.search(seen):
         return seen
     return _token.sub(lambda m: respell(m[0]) if _other.search(m[0]) else m[0], seen)
 
@@ -166,6 +154,7 @@ for _c, _shape in list(_latin.items()):
     if _c.isupper() and _c.lower() not in _latin:
         _fold[_c.lower()] = _shape.lower()
 _folds = str.maketrans(_fold)
+_fold_chars = frozenset(c for c in map(chr, _RANGE) if not set(unicodedata.normalize("NFD", c)).isdisjoint(_fold))
 
 
 def words(text: str | None) -> list[str]:
@@ -173,7 +162,7 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     seen = skeleton(text)
-    if not seen.isascii():
+    if not _fold_chars.isdisjoint(seen):
         seen = unicodedata.normalize("NFC", unicodedata.normalize("NFD", seen).translate(_folds))
     return _word.findall(seen.casefold())
 
