@@ -83,7 +83,7 @@ class Encoder:
         at = np.append(np.flatnonzero(start), len(data)).astype(np.int64)
         fragments = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data))
         coded = fragments.dictionary_encode()
-        ids = self.encoding.encode_ordinary_batch(coded.dictionary.to_pylist(), num_threads=1)
+        ids = list(map(self.encoding.encode_ordinary, coded.dictionary.to_pylist()))
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         flat = np.fromiter((i for part in ids for i in part), dtype=np.int32, count=int(sizes.sum()))
         begins = np.concatenate([[0], np.cumsum(sizes)])
@@ -102,7 +102,7 @@ def encoder(path: str = VOCABULARY, pattern: str = PATTERN) -> Encoder:
 def token_ids(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, ids): the token ids of every text, without special tokens; whole texts, no shuffle.
 
-    Null, and empty texts have an empty list; strings of special tokens are ordinary text; repeated
+    Null and empty texts have an empty list; strings of special tokens are ordinary text; repeated
     rows stay.  ``vocabulary`` is a path that every executor can read.
     """
 
