@@ -64,11 +64,11 @@ def classify(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
     kind = F.when(F.col("literal_type").isNull(), "text").otherwise(F.col("__kind"))
     known = rows.join(kinds.select(F.col("raw").alias("__raw"), F.col("kind").alias("__kind")), F.col("literal_type") == F.col("__raw"), "left").withColumn("__kind", kind).drop("__raw")
     formed = F.col("fault").isNull() & F.col("literal_value").isNotNull() & F.col("__kind").isin(*FORMS)
-    invalid = known.where(formed).select(F.col("__kind").alias("__k"), F.col("literal_value").alias("__v")).distinct().where(~is_valid(F.col("__k"), F.col("__v")))
+    invalid = known.where(formed).select(F.col("__kind").alias("__k"), F.col("literal_value").alias("__v")).distinct().where(~is_valid(F.col("__k"), F.col("__v"))).withColumn("__why", F.lit("value"))
     looked = known.where(formed).join(invalid, (F.col("__kind") == F.col("__k")) & (F.col("literal_value") == F.col("__v")), "left")
     plain = F.coalesce("fault", F.when(F.col("__kind") == "unknown", "type"), F.when(F.col("literal_value").isNull(), "value"))
     other = known.where(~formed).withColumn("reason", plain).drop("__kind")
-    return other.unionByName(looked.withColumn("reason", F.when(F.col("__k").isNotNull(), "value")).drop("__kind", "__k", "__v"))
+    return other.unionByName(looked.withColumn("reason", F.col("__why")).drop("__kind", "__k", "__v", "__why"))
 
 
 def records(properties: DataFrame, lines: DataFrame) -> DataFrame:

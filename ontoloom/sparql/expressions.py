@@ -114,7 +114,7 @@ def equal(a: Value, b: Value) -> Column:
 
     def same(tag: str) -> Column:
         x, y = a.slot(tag), b.slot(tag)
-        return (x == y) & ~F.isnan(x) if tag == "n" else x == y
+        return (x == y) & (~F.isnan(x) | y.isNull()) if tag == "n" else x == y
 
     if isinstance(a.tag, str) and isinstance(b.tag, str):
         if a.tag == b.tag:
@@ -137,7 +137,8 @@ def ordered(op: str, a: Value, b: Value) -> Column:
     def test(tag: str) -> Column:
         x, y = a.slot(tag), b.slot(tag)
         out = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
-        return out & ~F.isnan(x) & ~F.isnan(y) if tag == "n" else out
+        # false with NaN, but null where the other side is
+        return out & (~F.isnan(x) | y.isNull()) & (~F.isnan(y) | x.isNull()) if tag == "n" else out
 
     if isinstance(a.tag, str) and isinstance(b.tag, str):
         return test(a.tag) if a.tag == b.tag and a.tag != "k" else F.lit(None).cast("boolean")

@@ -134,10 +134,13 @@ class TripleStore(Engine):
 
     def _append(self, name: str, rows: DataFrame) -> None:
         keys = TABLES[name]
-        stored = self.table(name).select([F.col(k).alias(f"__{k}") for k in keys])
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        # only the folders that the new rows go to are read, at most ``BUCKETS`` of them
+        stored = self.table(name).where(F.col("bucket").isin(touched)).select([F.col(k).alias(f"__{k}") for k in keys])
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-        new = rows.select(keys).distinct().join(stored, same, "left_anti").withColumn("bucket", bucket(F.col("p")))
-        # the anti-join reads what the append adds to, so the new rows are made first
+        new = rows.select(*keys, "bucket").distinct().join(stored, same, "left_anti")
         new.repartition("bucket", F.pmod(F.xxhash64("s"), F.lit(8))).sortWithinPartitions("bucket", "p", "s").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     # inserts
@@ -151,7 +154,7 @@ class TripleStore(Engine):
         """Insert rows of the schema ``statements.STATEMENT``."""
         rows = rows if not self.assert_quoted else rows.unionByName(rows.where("not asserted").withColumn("asserted", F.lit(True)))
         # parsed once: the branches below each read it
-        rows = Scratch(self.spark, "insert").save(rows, "rows")
+        rows = Scratch(self.spark, "insert").save(rows.withColumn("bucket", bucket(F.col("p"))), "rows")
         told = rows.where("asserted")
         self._append("relations", told.where("o_kind in ('iri', 'blank')"))
         self._append("properties", told.where("o_kind = 'literal'").withColumnRenamed("o", "value"))
