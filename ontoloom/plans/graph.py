@@ -74,7 +74,7 @@ SELECTS: dict[str, tuple[str, str]] = {
     "bgp_iri_object": ("SELECT ?c ?name WHERE { ?c t:c_nationkey n:3 ; t:c_name ?name }", f"select {_C} as c, c_name as name from customer where c_nationkey = 3"),
     "bgp_iri_subject": ("SELECT ?name ?n WHERE { c:42 t:c_name ?name ; t:c_nationkey ?n }", f"select c_name as name, {iri('nation', 'c_nationkey')} as n from customer where c_custkey = 42"),
     "bgp_literal_object": ('SELECT ?c WHERE { ?c t:c_mktsegment "BUILDING" }', f"select {_C} as c from customer where c_mktsegment = 'BUILDING'"),
-    "bgp_semi": ('SELECT ?o ?c WHERE { ?o t:o_custkey ?c . ?c t:c_mktsegment "MACHINERY" }', f"select {_O} as o, {_C} as c from orders join customer on c_custkey = o_custkey where c_mktsegment = 'MACHINERY'"),
+    "bgp_semi": ('SELECT ?o ?c WHERE { ?o t:o_custkey ?c ; t:o_orderstatus "P" . ?c t:c_mktsegment "MACHINERY" }', f"select {_O} as o, {_C} as c from orders join customer on c_custkey = o_custkey where o_orderstatus = 'P' and c_mktsegment = 'MACHINERY'"),
     "bgp_cross": ("SELECT ?rn ?nn WHERE { ?r t:r_name ?rn . ?n t:n_name ?nn }", "select r_name as rn, n_name as nn from region, nation"),
     "bgp_var_predicate": (
         "SELECT ?n ?p ?v WHERE { ?n ?p ?v . ?n t:n_name ?name }",

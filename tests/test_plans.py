@@ -40,7 +40,7 @@ def test_constants_become_keys_and_moments(engine):
 
 
 def test_bound_patterns_are_semi_joins(engine):
-    assert "LeftSemi" in plan(engine.query('SELECT ?o WHERE { ?o t:o_custkey ?c . ?c t:c_mktsegment "BUILDING" }').values)
+    assert "LeftSemi" in plan(engine.query('SELECT ?o WHERE { ?o t:o_custkey ?c ; t:o_orderstatus "P" . ?c t:c_mktsegment "BUILDING" }').values)
 
 
 def test_variable_predicates_read_only_tables_that_can_match(engine):
