@@ -17,13 +17,18 @@ UP, DOWN = [NS + "partOf", NS + "broader"], [NS + "hasPart", NS + "narrower"]
 _schemas: dict[tuple[str, str], T.StructType] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a data folder; its schema is looked up once per application."""
+def schema(spark: SparkSession, sf_dir: str, name: str) -> T.StructType:
+    """The schema of a table, looked up once per application."""
     path = f"{sf_dir}/{name}.parquet"
     key = spark.sparkContext.applicationId, path
     if key not in _schemas:
         _schemas[key] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[key]).parquet(path)
+    return _schemas[key]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a data folder."""
+    return spark.read.schema(schema(spark, sf_dir, name)).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,13 @@ Each entry of ``SELECTS`` is a SPARQL query and the SQL it must equal.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.encoded import EncodedStore
-from ontoloom.plans.bulk import table
+from ontoloom.plans.bulk import schema, table
 from ontoloom.plans.bulk_sql import read
 from ontoloom.sources.mapping import MappedSource, TableMap
 from ontoloom.store import Engine, shorten_column
@@ -33,7 +35,7 @@ TABLES = {
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    maps = [TableMap(table(spark, sf_dir, t), f"{BASE}{name}/", keys, {c: f"{BASE}{to}/" for c, to in links.items()}, skip, NS) for t, (name, keys, links, skip) in TABLES.items()]
+    maps = [TableMap(schema(spark, sf_dir, t), partial(table, spark, sf_dir, t), f"{BASE}{name}/", keys, {c: f"{BASE}{to}/" for c, to in links.items()}, skip, NS) for t, (name, keys, links, skip) in TABLES.items()]
     return Engine(spark, [MappedSource(maps)], {"t": NS, "n": BASE + "nation/", "c": BASE + "customer/", "xsd": "http://www.w3.org/2001/XMLSchema#"})
 
 

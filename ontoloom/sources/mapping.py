@@ -8,10 +8,12 @@ needed), constant IRIs are turned back into keys, and all of it reaches the file
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ontoloom.sources.triples import check
 from ontoloom.sparql import algebra as A
@@ -20,9 +22,14 @@ from ontoloom.sparql.shapes import Solutions, Template, Typed, column, key_test
 
 @dataclass
 class TableMap:
-    """``links``: column -> (template of the IRI it makes); columns not named in ``skip`` and ``links`` are literals."""
+    """``load`` gives the table, whenever a query reads it.
 
-    df: DataFrame
+    ``links``: column -> start of the IRI it makes; columns not named in ``skip`` and ``links`` are literals.
+    The keys must be unique and not null; arrays, maps, structs and binaries have no triples.
+    """
+
+    schema: T.StructType
+    load: Callable[[], DataFrame]
     base: str  # of the subjects, as http://host/name/
     keys: list[str]
     links: dict[str, str] = field(default_factory=dict)
@@ -30,7 +37,7 @@ class TableMap:
     predicate_base: str = "http://tables.example/ns#"
 
     def __post_init__(self):
-        self.kinds = dict(self.df.dtypes)
+        self.kinds = {f.name: f.dataType.simpleString() for f in self.schema}
         self.subject = template(self.base, [self.kinds[k] for k in self.keys])
         self.predicates = {self.predicate_base + c: c for c, kind in self.kinds.items() if c not in self.skip and not kind.startswith(("array", "map", "struct", "binary"))}
 
@@ -85,7 +92,7 @@ class MappedSource:
         return [([p for p, _ in own], self._star(by_id[k], own)) for (_, k), own in groups.items()]
 
     def _star(self, m: TableMap, own: list[tuple[A.Triple, str]]) -> Solutions:
-        df, columns, shapes = m.df, [], {}
+        df, columns, shapes = m.load(), [], {}
         subject = own[0][0].s
         if isinstance(subject, A.Iri):
             for k, text in zip(m.keys, m.subject.invert(subject.value)):

@@ -12,6 +12,9 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 class Iri:
     value: str
 
+    def __str__(self) -> str:
+        return self.value
+
 
 @dataclass(frozen=True)
 class Literal:
@@ -19,6 +22,9 @@ class Literal:
     datatype: str = XSD + "string"
     lang: str | None = None
 
+    def __str__(self) -> str:
+        return self.value
+
 
 @dataclass(frozen=True)
 class Blank:
@@ -26,6 +32,9 @@ class Blank:
 
     label: str
 
+    def __str__(self) -> str:
+        return self.label
+
 
 @dataclass(frozen=True)
 class Var:

@@ -56,6 +56,13 @@ class SolutionSet:
         done = done.generic(keys)
         return done.df.select(*[done.parts(k)[0].alias(k[2:]) for k in keys])
 
+    def show(self, n: int = 20) -> str:
+        """The first ``n`` rows as a text table, a cell per variable; unbound ones are empty."""
+        lines = ["\t".join(f"?{v}" for v in self.vars)]
+        for row in self.df.limit(n).collect():
+            lines.append("\t".join("" if v not in row or row[v] is None else str(to_term(row[v])) for v in self.vars))
+        return "\n".join(lines)
+
     def rows(self) -> Iterator[dict]:
         """Rows as dicts of bound terms, fetched partition by partition."""
         for row in self.df.toLocalIterator():

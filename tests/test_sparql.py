@@ -121,6 +121,11 @@ def test_unprojected_variables_can_be_read(store):
     assert found.all_bindings.select("name.value").collect()[0][0] == "Bob"
 
 
+def test_show(store):
+    text = store.query("SELECT ?n ?none WHERE { ?p ex:name ?n FILTER(?p = ex:bob) }").show()
+    assert text == "?n\t?none\nBob\t"
+
+
 def test_modifiers(store):
     names = lambda q: [r["n"].value for r in store.query(q).rows()]
     assert names("SELECT ?n WHERE { ?p ex:name ?n } ORDER BY DESC(?n) LIMIT 2 OFFSET 1") == ["Carol", "Bob"]
