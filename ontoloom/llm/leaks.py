@@ -107,8 +107,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, window: int = 10, errors:
     """(doc_id, item_id, edits): each document and item with a matching window, and its least edits.
 
     Null, empty and short texts match nothing; items of fewer than ``window`` words have no window.
-    An item id that occurs twice counts as one item within a block; repeated documents each have
-    their rows.  ``errors`` must be less than ``window``.
+    Rows of one document id, and of one item id, count as one, so no pair of ids comes twice; only
+    the pairs found are shuffled for that.  ``errors`` must be less than ``window``.
     """
     if not 0 <= errors < window:
         raise ValueError("errors must be at least 0 and less than window")
@@ -119,7 +119,9 @@ def find_leaks(documents: DataFrame, items: DataFrame, window: int = 10, errors:
     for block in _blocks(items, item_id, text):
         part = texts.mapInArrow(_searcher(documents.sparkSession.sparkContext.broadcast((block, window, errors)), schema), schema)
         out = part if out is None else out.unionByName(part)
-    return documents.sparkSession.createDataFrame([], schema) if out is None else out
+    if out is None:
+        return documents.sparkSession.createDataFrame([], schema)
+    return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 
 def _searcher(shared, schema: str):

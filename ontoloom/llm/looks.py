@@ -223,7 +223,8 @@ def look_alikes(keys: DataFrame) -> DataFrame:
     Copies are counted into spellings first, which combines before its shuffle, so a group of a
     third of all rows is one row.  Only forms with several spellings go on; pairs are made
     between spellings, then expanded to the documents, so no pair of equal texts is ever built.
-    ``keys`` is read several times: pass a written table.
+    ``keys`` is read several times: pass a written table.  Rows of one document id make no pair with
+    each other, and no pair of ids comes twice; null ids make no pairs.
     """
     look, text = ["f1", "f2"], ["t1", "t2"]
     spelled = keys.groupBy(*look, *text).agg(F.count(F.lit(1)).alias("n"))
@@ -234,4 +235,4 @@ def look_alikes(keys: DataFrame) -> DataFrame:
     pairs = a.join(b, (F.col("a.f1") == F.col("b.f1")) & (F.col("a.f2") == F.col("b.f2")) & below).select("a.f1", "a.f2", "a.t1", "a.t2", F.col("b.t1").alias("u1"), F.col("b.t2").alias("u2"))
     one = keys.withColumnRenamed("doc_id", "x").join(pairs, [*look, *text])
     two = keys.select(*look, F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.col("doc_id").alias("y")).join(one, [*look, "u1", "u2"])
-    return two.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+    return two.where("x != y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()

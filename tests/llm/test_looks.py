@@ -76,6 +76,11 @@ def test_found_matches_all_pairs(spark):
     assert looks.look_alikes(looks.form_keys(df.limit(0))).count() == 0 and looks.forms(df.limit(0)).count() == 0
 
 
+def test_repeated_documents(spark):
+    df = spark.createDataFrame([(1, "cop"), (1, "cop"), (1, "соp"), (2, "сop"), (2, "сop"), (None, "cоp")], "doc_id int, text string")
+    assert [tuple(x) for x in looks.look_alikes(looks.form_keys(df).cache()).collect()] == [(1, 2)]
+
+
 def test_a_hot_group_of_copies_makes_no_pairs_of_its_own(spark):
     df = spark.range(3000).selectExpr("id as doc_id", "if(id = 7, 'hоt text', 'hot text') as text")
     found = looks.look_alikes(looks.form_keys(df).cache())
