@@ -59,7 +59,7 @@ CASES = [
     (NAME + "FILTER(true)", "p", ["alice", "bob", "carol", "dave"]),
     (NAME + 'FILTER(SAMETERM(?name, "Alice"))', "p", ["alice"]),
     ("?p ex:knows ex:nobody . FILTER(?p = ex:alice)", "p", []),
-    # functions that no reference test covers
+    # more functions
     (NAME + 'FILTER(STRBEFORE(?name, "li") = "A" && STRAFTER(?name, "li") = "ce")', "p", ["alice"]),
     (NAME + 'FILTER(STRBEFORE(?name, "zz") = "" && STRAFTER(?name, "") = ?name && ?name = "Bob")', "p", ["bob"]),
     ("?p ex:score ?s . FILTER(STR(?s) = \"7\")", "p", ["bob"]),
