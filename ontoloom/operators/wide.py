@@ -3,7 +3,8 @@
 First every (entity, column) cell is reduced to a state of fixed size (smallest and largest
 value read, counts, one unreadable text); this combines on the map side, so an entity with a
 third of all rows costs one state per task.  Then an entity's cells, at most one per wide
-column, become a key-value map from which the known columns are projected and cast.
+column, become a key-value map from which the known columns are projected and cast.  All the
+texts that could not be read or do not fit are in ``failures``, one row each.
 """
 
 from __future__ import annotations
@@ -19,21 +20,46 @@ TYPES = {"bigint": "bigint", "decimal": "decimal(38,12)", "double": "double", "b
 MOST_COLUMNS = 5000
 
 
+def _unfit(column_type: Column, text: Column) -> Column:
+    """Does a canonical text not fit its type?  Canonical texts of the other types always do."""
+    return F.coalesce((column_type == "decimal") & text.isNotNull() & text.try_cast(TYPES["decimal"]).isNull(), F.lit(False))
+
+
+def _texts(rows: DataFrame, columns: DataFrame, entity: str, attribute: str, value: str) -> DataFrame:
+    """(subject, column_name, column_type, value, text, unfit) per row that feeds a column."""
+    wide = columns.select(F.col(attribute).alias("__attribute"), "column_name", "column_type").distinct()
+    read = rows.select(F.col(f"`{entity}`").alias("subject"), F.col(f"`{attribute}`").alias("__of"), F.col(f"`{value}`").alias("value")).join(wide, F.col("__of") == F.col("__attribute"))
+    text = read.select("subject", "column_name", "column_type", "value", canonical(F.col("column_type"), F.col("value")).alias("text"))
+    return text.withColumn("unfit", _unfit(F.col("column_type"), F.col("text")))
+
+
 def cells(rows: DataFrame, columns: DataFrame, entity: str = "subject", attribute: str = "predicate", value: str = "literal_value") -> DataFrame:
-    """(entity, column_name, column_type, low, high, n_values, n_read, unread) per cell that has a row.
+    """(entity, column_name, column_type, low, high, n_values, n_read, unread, n_unfit, unfit) per cell that has a row.
 
     ``columns`` holds (``attribute``, column_name, column_type); several attributes may feed a
     column.  Values are read in the column's type into canonical texts, of which ``low`` and
     ``high`` are the smallest and largest: they differ if and only if the rows disagree.
     ``n_values`` counts rows with a value, ``n_read`` those that could be read, ``unread`` is the
-    smallest text that could not.  Null values make a cell without values; rows of attributes
+    smallest text that could not; ``n_unfit`` counts the rows that could be read but do not fit
+    the type, ``unfit`` is the smallest text of them, as stored.  Null values make a cell without values; rows of attributes
     that feed no column, and null attributes, are left out; a null entity is an entity of its own.
     """
-    wide = columns.select(F.col(attribute).alias("__attribute"), "column_name", "column_type").distinct()
-    read = rows.select(F.col(f"`{entity}`").alias("subject"), F.col(f"`{attribute}`").alias("__of"), F.col(f"`{value}`").alias("value")).join(wide, F.col("__of") == F.col("__attribute"))
-    text = read.select("subject", "column_name", "column_type", "value", canonical(F.col("column_type"), F.col("value")).alias("text"))
-    bad = F.when(F.col("text").isNull(), F.col("value"))
-    return text.groupBy("subject", "column_name", "column_type").agg(F.min("text").alias("low"), F.max("text").alias("high"), F.count("value").alias("n_values"), F.count("text").alias("n_read"), F.min(bad).alias("unread"))
+    bad, over = F.when(F.col("text").isNull(), F.col("value")), F.when(F.col("unfit"), F.col("value"))
+    return (
+        _texts(rows, columns, entity, attribute, value)
+        .groupBy("subject", "column_name", "column_type")
+        .agg(F.min("text").alias("low"), F.max("text").alias("high"), F.count("value").alias("n_values"), F.count("text").alias("n_read"), F.min(bad).alias("unread"), F.count(over).alias("n_unfit"), F.min(over).alias("unfit"))
+    )
+
+
+def failures(rows: DataFrame, columns: DataFrame, entity: str = "subject", attribute: str = "predicate", value: str = "literal_value") -> DataFrame:
+    """(subject, column_name, column_type, value, reason, n_rows) per distinct text of a cell that failed.
+
+    ``value`` is the text as stored, ``n_rows`` the number of rows with it; ``reason`` is
+    'unreadable' or, if it can be read but does not fit the type, 'unfit'.  Null values do not fail.
+    """
+    failed = _texts(rows, columns, entity, attribute, value).where("value is not null and (text is null or unfit)")
+    return failed.groupBy("subject", "column_name", "column_type", "value", F.when(F.col("unfit"), "unfit").otherwise("unreadable").alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def conflicts(cell_rows: DataFrame) -> DataFrame:
@@ -49,30 +75,30 @@ def _typed(kind: str, text: Column) -> Column:
 
 
 def widen(cell_rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """(subject, <a typed column per column_name>, conflicts, failures): one row per subject of ``cells``.
+    """(subject, <a typed column per column_name>, conflicts, failures, n_failed): one row per subject of ``cells``.
 
     A cell takes its smallest value (by canonical text); ``conflicts`` lists the columns whose
-    rows disagree, ``failures`` maps a column to one text of it that could not be read or does
-    not fit the type.  Columns without a value are null; of two types for a column the smaller
+    rows disagree, ``failures`` maps a column to the smallest text of it that could not be read or
+    does not fit the type, ``n_failed`` to the number of its rows with such a text.  Each key of
+    them stands, with the subject, for the rows of ``failures()``, which has all the texts.  Columns without a value are null; of two types for a column the smaller
     name counts.  The column names come from ``columns`` and are read by the driver, at most
     ``MOST_COLUMNS``; more raise ValueError.
     """
     names = columns.where("column_name is not null").groupBy("column_name").agg(F.min("column_type").alias("column_type")).orderBy("column_name").limit(MOST_COLUMNS + 1).collect()
     if len(names) > MOST_COLUMNS:
         raise ValueError(f"more than {MOST_COLUMNS} wide columns")
-    clash = {"subject", "conflicts", "failures"} & {n.column_name for n in names}
+    clash = {"subject", "conflicts", "failures", "n_failed"} & {n.column_name for n in names}
     if clash:
         raise ValueError(f"wide columns may not be named {sorted(clash)}")
-    entry = F.struct("column_name", F.struct("low", (F.col("low") != F.col("high")).alias("differs"), "unread"))
+    entry = F.struct("column_name", F.struct("low", (F.col("low") != F.col("high")).alias("differs"), F.least("unread", "unfit").alias("failed"), (F.col("n_values") - F.col("n_read") + F.col("n_unfit")).alias("n_failed")))
     one = cell_rows.join(F.broadcast(cell_rows.sparkSession.createDataFrame([tuple(n) for n in names], "column_name string, column_type string")), ["column_name", "column_type"], "left_semi") if names else cell_rows
     maps = one.groupBy("subject").agg(F.map_from_entries(F.collect_list(entry)).alias("cells"))
     typed = [_typed(n.column_type, F.col("cells")[n.column_name].low).alias(n.column_name) if n.column_type in TYPES else F.lit(None).cast("string").alias(n.column_name) for n in names]
-    unfit = [F.when(F.col("cells")[n.column_name].low.isNotNull() & _typed(n.column_type, F.col("cells")[n.column_name].low).isNull(), F.struct(F.lit(n.column_name).alias("key"), F.col("cells")[n.column_name].low.alias("value"))) for n in names if n.column_type in TYPES]
-    unread = F.transform(F.filter(F.map_entries("cells"), lambda e: e["value"]["unread"].isNotNull()), lambda e: F.struct(e["key"].alias("key"), e["value"]["unread"].alias("value")))
-    more = F.filter(F.array_compact(F.array(*unfit)), lambda e: F.col("cells")[e["key"]]["unread"].isNull()) if unfit else unread
+    failed = F.filter(F.map_entries("cells"), lambda e: e["value"]["failed"].isNotNull())
     return maps.select(
         "subject",
         *typed,
         F.array_sort(F.map_keys(F.map_filter("cells", lambda k, v: v["differs"]))).alias("conflicts"),
-        F.map_from_entries(F.concat(unread, more) if unfit else unread).alias("failures"),
+        F.map_from_entries(F.transform(failed, lambda e: F.struct(e["key"], e["value"]["failed"]))).alias("failures"),
+        F.map_from_entries(F.transform(failed, lambda e: F.struct(e["key"], e["value"]["n_failed"]))).alias("n_failed"),
     )

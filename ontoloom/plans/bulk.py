@@ -75,6 +75,10 @@ def p4_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).select("subject", "column_name", "n_values", "n_read", "unread")
 
 
+def p4_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide.failures(table(spark, sf_dir, "node_properties"), table(spark, sf_dir, "wide_columns"))
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faults.classify(faults.records(table(spark, sf_dir, "node_properties"), table(spark, sf_dir, "property_lines")), table(spark, sf_dir, "prefixes"))
 
@@ -87,4 +91,4 @@ def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).where("reason is null").select("origin", "row_id", "subject", "predicate", "literal_value", "literal_type")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_counts, p4_found, p4_wide, p4_cells, p5_found, p5_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_counts, p4_found, p4_wide, p4_cells, p4_failures, p5_found, p5_loaded)}

@@ -141,6 +141,30 @@ def test_wide_rows(spark):
         wide.widen(found, columns.selectExpr("predicate", "'subject' as column_name", "column_type"))
 
 
+def test_every_failed_text_is_kept(spark):
+    over = ["9" * 40, "+" + "8" * 30]
+    rows = [(1, 2, v) for v in ["", "--4236", "--4236", "5", *over, over[0], None]] + [(1, 1, "x"), (2, 2, "1"), (2, 2, over[0]), (3, 1, "7"), (None, 1, "y")] + [(4, 4, f"no{n % 50}") for n in range(500)]
+    found, columns = cells_of(spark, rows)
+    df = spark.createDataFrame(rows, "subject long, predicate long, literal_value string")
+    failed = {(r.subject, r.column_name, r.value): (r.reason, r.n_rows) for r in wide.failures(df, columns).collect()}
+    wanted = {(1, "d", ""): ("unreadable", 1), (1, "d", "--4236"): ("unreadable", 2), (1, "d", over[0]): ("unfit", 2), (1, "d", over[1]): ("unfit", 1), (1, "n", "x"): ("unreadable", 1), (2, "d", over[0]): ("unfit", 1), (None, "n", "y"): ("unreadable", 1)}
+    assert failed == wanted | {(4, "b", f"no{n}"): ("unreadable", 10) for n in range(50)}
+    # the wide rows name every cell with a failed text, and only those
+    smallest, n_rows = {}, defaultdict(int)
+    for (s, c, v), (_, n) in failed.items():
+        smallest[s, c] = min(v, smallest.get((s, c), v))
+        n_rows[s, c] += n
+    wide_rows = wide.widen(found, columns).collect()
+    assert {(r.subject, c): v for r in wide_rows for c, v in r.failures.items()} == smallest
+    assert {(r.subject, c): v for r in wide_rows for c, v in r.n_failed.items()} == n_rows
+
+
+def test_failures_of_nothing(spark):
+    columns = spark.createDataFrame(COLUMNS, "predicate long, column_name string, column_type string")
+    df = spark.createDataFrame([], "subject long, predicate long, literal_value string")
+    assert wide.failures(df, columns).count() == 0
+
+
 def test_very_long_values(spark):
     long = "1." + "0" * 300_000 + "1" + "0" * 300_000
     found, _ = cells_of(spark, [(1, 2, long), (1, 2, "1." + "0" * 300_000 + "1"), (1, 7, "x" * 500_000)])
