@@ -62,9 +62,17 @@ def failures(rows: DataFrame, columns: DataFrame, entity: str = "subject", attri
     return failed.groupBy("subject", "column_name", "column_type", "value", F.when(F.col("unfit"), "unfit").otherwise("unreadable").alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def maps(cell_rows: DataFrame) -> DataFrame:
+    """(subject, cells): the cells of an entity as (column_name, column_type) -> (low, differs, failed, n_failed)."""
+    key = F.struct("column_name", "column_type")
+    cell = F.struct("low", (F.col("low") != F.col("high")).alias("differs"), F.least("unread", "unfit").alias("failed"), (F.col("n_values") - F.col("n_read") + F.col("n_unfit")).alias("n_failed"))
+    return cell_rows.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct(key, cell))).alias("cells"))
+
+
 def conflicts(cell_rows: DataFrame) -> DataFrame:
-    """(subject, column_name) of the cells of ``cells`` whose rows disagree."""
-    return cell_rows.where(F.col("low") != F.col("high")).select("subject", "column_name")
+    """(subject, column_name) of the cells of ``cells`` whose rows disagree, read off the entities' maps."""
+    differ = F.filter(F.map_entries("cells"), lambda e: e["value"]["differs"])
+    return maps(cell_rows).select("subject", F.explode(differ).alias("cell")).select("subject", F.col("cell.key.column_name").alias("column_name"))
 
 
 def _typed(kind: str, text: Column) -> Column:
@@ -80,9 +88,10 @@ def widen(cell_rows: DataFrame, columns: DataFrame) -> DataFrame:
     A cell takes its smallest value (by canonical text); ``conflicts`` lists the columns whose
     rows disagree, ``failures`` maps a column to the smallest text of it that could not be read or
     does not fit the type, ``n_failed`` to the number of its rows with such a text.  Each key of
-    them stands, with the subject, for the rows of ``failures()``, which has all the texts.  Columns without a value are null; of two types for a column the smaller
-    name counts.  The column names come from ``columns`` and are read by the driver, at most
-    ``MOST_COLUMNS``; more raise ValueError.
+    them stands, with the subject, for the rows of ``failures()``, which has all the texts.
+    Columns without a value are null; of two types for a column the smaller name counts.  The
+    column names come from ``columns`` and are read by the driver, at most ``MOST_COLUMNS``; more
+    raise ValueError.
     """
     names = columns.where("column_name is not null").groupBy("column_name").agg(F.min("column_type").alias("column_type")).orderBy("column_name").limit(MOST_COLUMNS + 1).collect()
     if len(names) > MOST_COLUMNS:
@@ -90,15 +99,17 @@ def widen(cell_rows: DataFrame, columns: DataFrame) -> DataFrame:
     clash = {"subject", "conflicts", "failures", "n_failed"} & {n.column_name for n in names}
     if clash:
         raise ValueError(f"wide columns may not be named {sorted(clash)}")
-    entry = F.struct("column_name", F.struct("low", (F.col("low") != F.col("high")).alias("differs"), F.least("unread", "unfit").alias("failed"), (F.col("n_values") - F.col("n_read") + F.col("n_unfit")).alias("n_failed")))
     one = cell_rows.join(F.broadcast(cell_rows.sparkSession.createDataFrame([tuple(n) for n in names], "column_name string, column_type string")), ["column_name", "column_type"], "left_semi") if names else cell_rows
-    maps = one.groupBy("subject").agg(F.map_from_entries(F.collect_list(entry)).alias("cells"))
-    typed = [_typed(n.column_type, F.col("cells")[n.column_name].low).alias(n.column_name) if n.column_type in TYPES else F.lit(None).cast("string").alias(n.column_name) for n in names]
+
+    def low(n) -> Column:
+        return F.col("cells")[F.struct(F.lit(n.column_name).alias("column_name"), F.lit(n.column_type).alias("column_type"))]["low"]
+
+    typed = [_typed(n.column_type, low(n)).alias(n.column_name) if n.column_type in TYPES else F.lit(None).cast("string").alias(n.column_name) for n in names]
     failed = F.filter(F.map_entries("cells"), lambda e: e["value"]["failed"].isNotNull())
-    return maps.select(
+    return maps(one).select(
         "subject",
         *typed,
-        F.array_sort(F.map_keys(F.map_filter("cells", lambda k, v: v["differs"]))).alias("conflicts"),
-        F.map_from_entries(F.transform(failed, lambda e: F.struct(e["key"], e["value"]["failed"]))).alias("failures"),
-        F.map_from_entries(F.transform(failed, lambda e: F.struct(e["key"], e["value"]["n_failed"]))).alias("n_failed"),
+        F.array_sort(F.transform(F.map_keys(F.map_filter("cells", lambda k, v: v["differs"])), lambda k: k["column_name"])).alias("conflicts"),
+        F.map_from_entries(F.transform(failed, lambda e: F.struct(e["key"]["column_name"], e["value"]["failed"]))).alias("failures"),
+        F.map_from_entries(F.transform(failed, lambda e: F.struct(e["key"]["column_name"], e["value"]["n_failed"]))).alias("n_failed"),
     )

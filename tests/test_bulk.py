@@ -159,6 +159,13 @@ def test_every_failed_text_is_kept(spark):
     assert {(r.subject, c): v for r in wide_rows for c, v in r.n_failed.items()} == n_rows
 
 
+def test_conflicts_are_read_off_the_maps(spark):
+    found = bulk.p4_found(spark, SMALL)
+    assert "map_from_entries" in found._jdf.queryExecution().optimizedPlan().toString()
+    wide_rows = bulk.p4_wide(spark, SMALL).select("subject", "conflicts").collect()
+    assert sorted((r.subject, r.column_name) for r in found.collect()) == sorted((r.subject, c) for r in wide_rows for c in r.conflicts)
+
+
 def test_failures_of_nothing(spark):
     columns = spark.createDataFrame(COLUMNS, "predicate long, column_name string, column_type string")
     df = spark.createDataFrame([], "subject long, predicate long, literal_value string")
