@@ -14,15 +14,22 @@ from pyspark.sql import functions as F
 
 from ontoloom.functions.lexical import canonical
 
-#: Spark types of the wide columns; a decimal that does not fit is kept among the failures.
+#: Spark types of the wide columns; a decimal or timestamp that does not fit is kept among the failures.
 TYPES = {"bigint": "bigint", "decimal": "decimal(38,12)", "double": "double", "boolean": "boolean", "date": "date", "timestamp": "timestamp", "string": "string"}
 #: Most wide columns that a table may have; their names are part of the plan.
 MOST_COLUMNS = 5000
 
 
+#: Canonical texts that the Spark type cannot hold unchanged; those of other types always fit.
+UNFIT = {"decimal": r"\A-?[0-9]{27}|\.[0-9]{13}", "timestamp": r"\.[0-9]{7}"}
+
+
 def _unfit(column_type: Column, text: Column) -> Column:
-    """Does a canonical text not fit its type?  Canonical texts of the other types always do."""
-    return F.coalesce((column_type == "decimal") & text.isNotNull() & text.try_cast(TYPES["decimal"]).isNull(), F.lit(False))
+    """Would a canonical text overflow its type or lose digits in it?"""
+    over = F.lit(False)
+    for kind, form in UNFIT.items():
+        over = F.when(column_type == kind, text.rlike(form)).otherwise(over)
+    return F.coalesce(over, F.lit(False))
 
 
 def _texts(rows: DataFrame, columns: DataFrame, entity: str, attribute: str, value: str) -> DataFrame:
@@ -38,17 +45,19 @@ def cells(rows: DataFrame, columns: DataFrame, entity: str = "subject", attribut
 
     ``columns`` holds (``attribute``, column_name, column_type); several attributes may feed a
     column.  Values are read in the column's type into canonical texts, of which ``low`` and
-    ``high`` are the smallest and largest: they differ if and only if the rows disagree.
+    ``high`` are the smallest and largest, those that do not fit the type behind all others:
+    they differ if and only if the rows disagree, and ``low`` fits if any value does.
     ``n_values`` counts rows with a value, ``n_read`` those that could be read, ``unread`` is the
     smallest text that could not; ``n_unfit`` counts the rows that could be read but do not fit
     the type, ``unfit`` is the smallest text of them, as stored.  Null values make a cell without values; rows of attributes
     that feed no column, and null attributes, are left out; a null entity is an entity of its own.
     """
     bad, over = F.when(F.col("text").isNull(), F.col("value")), F.when(F.col("unfit"), F.col("value"))
+    rank = F.when(F.col("text").isNotNull(), F.struct("unfit", "text"))
     return (
         _texts(rows, columns, entity, attribute, value)
         .groupBy("subject", "column_name", "column_type")
-        .agg(F.min("text").alias("low"), F.max("text").alias("high"), F.count("value").alias("n_values"), F.count("text").alias("n_read"), F.min(bad).alias("unread"), F.count(over).alias("n_unfit"), F.min(over).alias("unfit"))
+        .agg(F.min(rank)["text"].alias("low"), F.max(rank)["text"].alias("high"), F.count("value").alias("n_values"), F.count("text").alias("n_read"), F.min(bad).alias("unread"), F.count(over).alias("n_unfit"), F.min(over).alias("unfit"))
     )
 
 
@@ -78,14 +87,15 @@ def conflicts(cell_rows: DataFrame) -> DataFrame:
 def _typed(kind: str, text: Column) -> Column:
     if kind == "timestamp":
         whole, part = F.substring_index(text, ".", 1), F.regexp_extract(text, r"\.([0-9]{1,6})", 1)
-        return F.timestamp_micros(whole.cast("bigint") * 1_000_000 + F.coalesce(F.rpad(part, 6, "0").try_cast("bigint"), F.lit(0)))
-    return text.try_cast(TYPES[kind])
+        return F.when(~text.rlike(UNFIT[kind]), F.timestamp_micros(whole.cast("bigint") * 1_000_000 + F.coalesce(F.rpad(part, 6, "0").try_cast("bigint"), F.lit(0))))
+    typed = text.try_cast(TYPES[kind])
+    return F.when(~text.rlike(UNFIT[kind]), typed) if kind in UNFIT else typed
 
 
 def widen(cell_rows: DataFrame, columns: DataFrame) -> DataFrame:
     """(subject, <a typed column per column_name>, conflicts, failures, n_failed): one row per subject of ``cells``.
 
-    A cell takes its smallest value (by canonical text); ``conflicts`` lists the columns whose
+    A cell takes its smallest value (by canonical text) that fits its type; ``conflicts`` lists the columns whose
     rows disagree, ``failures`` maps a column to the smallest text of it that could not be read or
     does not fit the type, ``n_failed`` to the number of its rows with such a text.  Each key of
     them stands, with the subject, for the rows of ``failures()``, which has all the texts.

@@ -94,6 +94,9 @@ SQL = {
     "p2_counts": _P2,
     "p4_found": _CELLS + "select subject, column_name from read where c is not null group by 1, 2 having count(distinct c) > 1",
     "p4_cells": _CELLS + "select subject, column_name, count(v) as n_values, count(c) as n_read, min(v) filter (where c is null) as unread from read group by 1, 2",
+    "p4_failures": _CELLS
+    + r"""select subject, column_name, column_type, v as value, case when c is null then 'unreadable' else 'unfit' end as reason, count(*) as n_rows from read
+ where v is not null and (c is null or column_type = 'decimal' and regexp_matches(c, '^-?[0-9]{27}|\.[0-9]{13}') or column_type = 'timestamp' and regexp_matches(c, '\.[0-9]{7}')) group by all""",
     "p5_found": _RECORDS + "select origin, row_id, reason from judged where reason is not null",
     "p5_loaded": _RECORDS + "select origin, row_id, subject, predicate, literal_value, literal_type from judged where reason is null",
 }

@@ -159,6 +159,22 @@ def test_every_failed_text_is_kept(spark):
     assert {(r.subject, c): v for r in wide_rows for c, v in r.n_failed.items()} == n_rows
 
 
+def test_values_that_would_lose_digits_are_failures(spark):
+    small, fine = "0.0000000000001", "0.12345678901249"
+    at, full = "2024-01-01T00:00:00.1234567", "9" * 26 + ".9999999999999"
+    rows = [(1, 2, small), (1, 6, at), (2, 2, fine), (2, 2, "1.5"), (2, 6, "2024-01-01T00:00:00.123456000Z"), (3, 2, full), (4, 2, "-" + "9" * 26 + "." + "9" * 12 + "0"), (5, 2, small), (5, 2, fine)]
+    found, columns = cells_of(spark, rows)
+    by = {r.subject: r for r in wide.widen(found, columns).collect()}
+    assert by[1].d is None and by[1]["at"] is None and by[1].failures == {"d": small, "at": at} and by[1].conflicts == []
+    assert by[2].d == decimal.Decimal("1.5") and by[2].failures == {"d": fine} and by[2].conflicts == ["d"]
+    assert by[2]["at"].isoformat() == "2024-01-01T00:00:00.123456"
+    assert by[3].d is None and by[3].failures == {"d": full}
+    assert by[4].d == decimal.Decimal("-" + "9" * 26 + "." + "9" * 12) and by[4].failures == {}
+    assert by[5].d is None and by[5].failures == {"d": small} and by[5].n_failed == {"d": 2} and by[5].conflicts == ["d"]
+    failed = wide.failures(spark.createDataFrame(rows, "subject long, predicate long, literal_value string"), columns)
+    assert {(r.subject, r.value) for r in failed.where("reason = 'unfit'").collect()} == {(1, small), (1, at), (2, fine), (3, full), (5, small), (5, fine)}
+
+
 def test_conflicts_are_read_off_the_maps(spark):
     found = bulk.p4_found(spark, SMALL)
     assert "map_from_entries" in found._jdf.queryExecution().optimizedPlan().toString()
