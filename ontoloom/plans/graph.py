@@ -199,6 +199,21 @@ def describe_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(encoded(spark, sf_dir).describe_object_by_id(1010).df)
 
 
+def describe_object_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest node of ``objects`` with relations both ways and properties."""
+    relations, properties = table(spark, sf_dir, "relations"), table(spark, sf_dir, "node_properties").where("literal_value is not null")
+    ids = table(spark, sf_dir, "objects").select("id").intersect(relations.select("subject")).intersect(relations.select("object")).intersect(properties.select("subject"))
+    return _flat(encoded(spark, sf_dir).describe_object_by_id(ids.agg(F.min("id").alias("id")).head().id).df)
+
+
+def describe_predicate_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest predicate with relations and the smallest with properties; none of the tables' has both."""
+    store = encoded(spark, sf_dir)
+    tables = table(spark, sf_dir, "relations"), table(spark, sf_dir, "node_properties").where("literal_value is not null")
+    one, two = (store.describe_predicate_by_id(t.agg(F.min("predicate").alias("id")).head().id).df for t in tables)
+    return _flat(one.unionByName(two))
+
+
 def subject_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(spark, sf_dir).get_relation_subject_list(_QY + "inDataset", _core_iri(spark, sf_dir))
 
@@ -220,15 +235,33 @@ def shorten_iri(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     **{name: _select(engine, text) for name, (text, _) in SELECTS.items()},
     **{name: _select(encoded, text) for name, (text, _) in GRAPH_SELECTS.items()},
-    **{f.__name__: f for f in (construct, describe_object, describe_predicate, describe_by_id, subject_list, ask, shorten_iri)},
+    **{f.__name__: f for f in (construct, describe_object, describe_predicate, describe_by_id, describe_object_by_id, describe_predicate_by_id, subject_list, ask, shorten_iri)},
 }
 
+
+
+def _described(relations: str, properties: str) -> str:
+    """SQL text of the distinct triples of some relations and some properties."""
+    return (
+        "with recs as (select subject, predicate, literal_value, coalesce(literal_type, '') as literal_type from node_properties where literal_value is not null and " + properties + "),"
+        + read("predicates", "iri")
+        + ","
+        + read("recs", "literal_type")
+        + f", rel_rows as (select distinct s.kind as sk, s.value as s, p.term as p, o.kind as ok, o.value as o from relations r join read_predicates p on p.id = r.predicate join {_NODES} s on s.id = r.subject join {_NODES} o on o.id = r.object where {relations}),"
+        + f" prop_rows as (select distinct s.kind as sk, s.value as s, p.term as p, r.literal_value as o, case when r.term = '' then 'http://www.w3.org/2001/XMLSchema#string' else r.term end as datatype from read_recs r join read_predicates p on p.id = r.predicate join {_NODES} s on s.id = r.subject)"
+        + " select s, p, o from rel_rows union all select s, p, o from prop_rows"
+    )
+
+
+_MANY_SIDED = "(select min(id) from objects where id in (select subject from relations) and id in (select object from relations) and id in (select subject from node_properties where literal_value is not null))"
 _CUSTOMER_3 = "(select * from customer where c_nationkey = 3)"
 SQL = {name: sql for name, (_, sql) in {**SELECTS, **GRAPH_SELECTS}.items()} | {
     "construct": f"select {_N} as s, '{NS}inRegion' as p, r_name as o from nation join region on r_regionkey = n_regionkey union select {_N}, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', '{NS}Nation' from nation union select {iri('region', 'n_regionkey')}, '{NS}holds', {_N} from nation",
     "describe_object": f"select {_N} as s, '{NS}n_nationkey' as p, cast(n_nationkey as varchar) as o from nation where n_nationkey = 3 union all select {_N}, '{NS}n_name', n_name from nation where n_nationkey = 3 union all select {_N}, '{NS}n_regionkey', {iri('region', 'n_regionkey')} from nation where n_nationkey = 3 union all select {_C}, '{NS}c_nationkey', '{BASE}nation/3' from customer where c_nationkey = 3 union all select {_S}, '{NS}s_nationkey', '{BASE}nation/3' from supplier where s_nationkey = 3",
     "describe_predicate": f"select {_S} as s, '{NS}s_nationkey' as p, {iri('nation', 's_nationkey')} as o from supplier",
     "describe_by_id": "with " + read("predicates", "iri") + f"select distinct s.value as s, p.term as p, o.value as o from relations r join read_predicates p on p.id = r.predicate join {_NODES} s on s.id = r.subject join {_NODES} o on o.id = r.object where 1010 in (r.subject, r.object)",
+    "describe_object_by_id": _described(f"{_MANY_SIDED} in (r.subject, r.object)", f"subject = {_MANY_SIDED}"),
+    "describe_predicate_by_id": _described("r.predicate = (select min(predicate) from relations)", "predicate = (select min(predicate) from node_properties where literal_value is not null)"),
     "subject_list": f"select s.value as subject, r.subject as subject_id, r.object as object_id from {rel('inDataset')} r join {_NODES} s on s.id = r.subject where r.object in (select id from core_objects where value = (select min(value) from core_objects where kind = 'iri'))",
     "ask": "select 'n:1 t:n_regionkey ?r' as pattern, true as answer union all select 'n:999 t:n_regionkey ?r', false",
     "shorten_iri": "select o.id, coalesce((select arg_max(p.prefix, length(p.namespace)) || ':' || substr(o.value, max(length(p.namespace)) + 1) from prefixes p where starts_with(o.value, p.namespace) and length(o.value) > length(p.namespace)), o.value) as short from objects o where kind = 'iri'",

@@ -63,3 +63,12 @@ def test_queries_match_sql(spark, name):
     expected = sorted(map(text, rel.fetchall()))
     found = graph.QUERIES[name](spark, SMALL)
     assert sorted(found.columns) == sorted(columns) and sorted(map(text, found.select(*columns).collect())) == expected
+
+
+def test_descriptions_by_id_have_all_kinds_of_triples(spark):
+    found = graph.QUERIES["describe_object_by_id"](spark, SMALL).collect()
+    nodes = {r.value for r in graph.encoded(spark, SMALL).source.nodes.select("value").collect()}
+    (me,) = set.intersection(*({r.s, r.o} for r in found if r.o in nodes)) or {None}
+    assert any(r.s == me and r.o in nodes for r in found) and any(r.o == me for r in found) and any(r.o not in nodes for r in found)
+    found = graph.QUERIES["describe_predicate_by_id"](spark, SMALL).collect()
+    assert len({r.p for r in found}) == 2 and {r.o in nodes for r in found} == {True, False}
