@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.errors import DataError
+from ontoloom.errors import DataError, SparqlError
 from ontoloom.functions import terms
 from ontoloom.functions.iri import prefix_map
 from ontoloom.sources.triples import EncodedSource
 from ontoloom.sparql import algebra as A
+from ontoloom.sparql.lexer import tokens
 from ontoloom.sparql.result import Graph
 from ontoloom.store import ElementType, Engine
 
@@ -21,6 +22,15 @@ class EncodedStore(Engine):
         known = prefix_map(prefixes)
         self.source = EncodedSource(relations, properties, nodes, predicates, prefixes if known is None else known)
         super().__init__(spark, [self.source], known, strict)
+        self._more_prefixes = prefixes if known is None else None
+
+    def prefixes_of(self, text: str) -> dict[str, str]:
+        """Of a table too large for a map, just those that the text uses."""
+        if self._more_prefixes is None:
+            return self.prefixes
+        used = {t.text.partition(":")[0] for t in tokens(text, SparqlError) if t.kind == "curie"}
+        rows = self._more_prefixes.where(F.col("prefix").isin(*used) & F.col("namespace").isNotNull())
+        return {r.prefix: r.namespace for r in rows.groupBy("prefix").agg(F.min("namespace").alias("namespace")).collect()}
 
     def get_id_from_iri(self, iri: str, element: ElementType = ElementType.OBJECT) -> int | None:
         """The smallest id of a node, or of a predicate however its IRI is written."""

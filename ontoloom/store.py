@@ -56,9 +56,13 @@ class Engine:
     def sources(self) -> list:
         return self._sources
 
+    def prefixes_of(self, text: str) -> dict[str, str]:
+        """The prefixes that a query may use without declaring them."""
+        return self.prefixes
+
     def query(self, text: str) -> SolutionSet | Graph | bool:
         """SELECT gives a SolutionSet, CONSTRUCT and DESCRIBE a Graph, ASK a bool."""
-        query = parse(text, self.prefixes)
+        query = parse(text, self.prefixes_of(text))
         planner = Planner(self.spark, self.sources(), self.strict)
         if query.form == "construct":
             return Graph(planner.construct(query.template, query.pattern))

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from ontoloom.errors import SparqlError
 from ontoloom.plans import graph
 
 SMALL = "/root/testdata/sf0.001"
@@ -72,3 +73,17 @@ def test_descriptions_by_id_have_all_kinds_of_triples(spark):
     assert any(r.s == me and r.o in nodes for r in found) and any(r.o == me for r in found) and any(r.o not in nodes for r in found)
     found = graph.QUERIES["describe_predicate_by_id"](spark, SMALL).collect()
     assert len({r.p for r in found}) == 2 and {r.o in nodes for r in found} == {True, False}
+
+
+def test_prefixes_beyond_a_map_are_looked_up(spark, monkeypatch):
+    from ontoloom.functions import iri
+
+    few = graph.encoded(spark, SMALL).query(graph.GRAPH_SELECTS["graph_relation"][0]).values.collect()
+    monkeypatch.setattr(iri, "MOST_PREFIXES", 7)  # the table has 8
+    store = graph.encoded(spark, SMALL)
+    assert store.prefixes == {} and few
+    assert sorted(store.query(graph.GRAPH_SELECTS["graph_relation"][0]).values.collect()) == sorted(few)
+    assert store.query("PREFIX qy: <http://no/> SELECT ?a ?b WHERE { ?a qy:cites ?b }").values.count() == 0
+    assert store.query("ASK { ?a <http://quarry.example/ns#cites> ?b }") is True
+    with pytest.raises(SparqlError):
+        store.query("ASK { ?a none:cites ?b }")
