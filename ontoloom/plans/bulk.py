@@ -49,9 +49,8 @@ def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    relations = table(spark, sf_dir, "relations")
-    counts = runs.graph_key_counts(relations)
-    total = relations.agg(F.count(F.lit(1)).alias("total"))
+    counts = runs.graph_key_counts(table(spark, sf_dir, "relations"))
+    total = counts.where("field = 'predicate'").agg(F.sum("rows").alias("total"))
     return counts.where("key_id is not null").join(F.broadcast(total), F.col("rows") * 100 >= F.col("total")).select("field", "key_id")
 
 

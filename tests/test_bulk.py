@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from ontoloom.functions.iri import XSD, read_iris
 from ontoloom.operators import faults, hierarchy, runs, wide
@@ -94,6 +95,32 @@ def test_hot_copies_are_spread_over_ranges(spark):
     assert runs.graph_key_counts(df.limit(0)).count() == 0
 
 
+def test_only_ends_of_ranges_are_stitched(spark):
+    rows = [(k, s) for k in range(300) for s in range(7)] + [(1000, s % 900) for s in range(9000)]
+    df = spark.createDataFrame(rows, "k int, s int").repartition(3)
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        states = runs.run_states(df, ["k"], "s").withColumn("part", F.spark_partition_id()).collect()
+        counts = {tuple(x) for x in runs.count_runs(df, ["k"], "s").collect()}
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    ends = [x.part for x in states if x.at is not None]
+    assert max(map(ends.count, ends)) <= 2 and len({x.part for x in states}) > 1
+    assert len(states) <= 301 + len(set(ends))
+    assert all(x["first"] is None for x in states if x.at is None)
+    assert counts == {(k, 7, 7) for k in range(300)} | {(1000, 9000, 900)}
+
+
+def test_keys_that_are_not_numbers_are_one_key(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, 1), (nan, 2), (None, 1), (0.5, None), (None, 1)], "k double, s int")
+    found = {(str(x.k), x.rows, x.records) for x in runs.count_runs(df, ["k"], "s").collect()}
+    assert found == {("nan", 2, 2), ("None", 2, 1), ("0.5", 1, 0)}
+
+
 # wide tables
 COLUMNS = [(1, "n", "bigint"), (2, "d", "decimal"), (3, "x", "double"), (4, "b", "boolean"), (5, "day", "date"), (6, "at", "timestamp"), (7, "s", "string"), (8, "s", "string")]
 
