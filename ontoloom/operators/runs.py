@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,8 @@ from ontoloom.sources.scratch import Scratch
 
 #: Sub-order of equal pairs: copies of one pair can spread over so many ranges.
 TIES = 4096
+#: Rows of one input partition that have the same tie, as a power of two: equal neighbours cost next to nothing in a compressed shuffle.
+SHARED = 10
 
 
 def _changes(column: pa.Array) -> np.ndarray:
@@ -110,6 +112,12 @@ def _scan(keys: list[str], names: list[str]):
     return scan
 
 
+def tie() -> Column:
+    """A sub-order of rows, spread over partitions and over the blocks of rows of each."""
+    row = F.monotonically_increasing_id()  # the partition above 33 bits of row number
+    return F.pmod(F.shiftright(row, SHARED) + F.shiftright(row, 33) * 37, F.lit(TIES)).cast("smallint")
+
+
 def run_states(df: DataFrame, keys: list[str], record: str) -> DataFrame:
     """(key0, key1..., at, rows, records, first, last): the runs of every range.
 
@@ -117,7 +125,7 @@ def run_states(df: DataFrame, keys: list[str], record: str) -> DataFrame:
     """
     fields = {f.name: f.dataType for f in df.schema}
     own = [f"key{n}" for n in range(len(keys))]
-    pairs = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, own)], F.col(f"`{record}`").alias("record"), F.pmod(F.monotonically_increasing_id(), F.lit(TIES)).cast("smallint").alias("tie"))
+    pairs = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, own)], F.col(f"`{record}`").alias("record"), tie().alias("tie"))
     order = [*own, "record", "tie"]
     ranged = pairs.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
     schema = T.StructType([T.StructField(n, fields[k]) for k, n in zip(keys, own)] + [T.StructField(n, T.LongType()) for n in ("at", "rows", "records")] + [T.StructField(n, fields[record]) for n in ("first", "last")])
