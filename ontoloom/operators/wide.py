@@ -3,8 +3,8 @@
 First every (entity, column) cell is reduced to a state of fixed size (smallest and largest
 value read, counts, one unreadable text); this combines on the map side, so an entity with a
 third of all rows costs one state per task.  Then an entity's cells, at most one per wide
-column, become a key-value map from which the known columns are projected and cast.  All the
-texts that could not be read or do not fit are in ``failures``, one row each.
+column and type, become a key-value map from which the known columns are projected and cast.
+All the texts that could not be read or do not fit are in ``failures``, one row each.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from ontoloom.functions.lexical import canonical
 
 #: Spark types of the wide columns; a decimal or timestamp that does not fit is kept among the failures.
 TYPES = {"bigint": "bigint", "decimal": "decimal(38,12)", "double": "double", "boolean": "boolean", "date": "date", "timestamp": "timestamp", "string": "string"}
-#: Most wide columns that a table may have; their names are part of the plan.
+#: Most wide columns that become columns of a plan; a wider table stays a map.
 MOST_COLUMNS = 5000
 
 
@@ -45,8 +45,8 @@ def cells(rows: DataFrame, columns: DataFrame, entity: str = "subject", attribut
 
     ``columns`` holds (``attribute``, column_name, column_type); several attributes may feed a
     column.  Values are read in the column's type into canonical texts, of which ``low`` and
-    ``high`` are the smallest and largest, those that do not fit the type behind all others:
-    they differ if and only if the rows disagree, and ``low`` fits if any value does.
+    ``high`` (unfit, text) are the smallest and largest, those that do not fit the type behind all
+    others: their texts differ if and only if the rows disagree, and ``low`` fits if any value does.
     ``n_values`` counts rows with a value, ``n_read`` those that could be read, ``unread`` is the
     smallest text that could not; ``n_unfit`` counts the rows that could be read but do not fit
     the type, ``unfit`` is the smallest text of them, as stored.  Null values make a cell without values; rows of attributes
@@ -57,7 +57,7 @@ def cells(rows: DataFrame, columns: DataFrame, entity: str = "subject", attribut
     return (
         _texts(rows, columns, entity, attribute, value)
         .groupBy("subject", "column_name", "column_type")
-        .agg(F.min(rank)["text"].alias("low"), F.max(rank)["text"].alias("high"), F.count("value").alias("n_values"), F.count("text").alias("n_read"), F.min(bad).alias("unread"), F.count(over).alias("n_unfit"), F.min(over).alias("unfit"))
+        .agg(F.min(rank).alias("low"), F.max(rank).alias("high"), F.count("value").alias("n_values"), F.count("text").alias("n_read"), F.min(bad).alias("unread"), F.count(over).alias("n_unfit"), F.min(over).alias("unfit"))
     )
 
 
@@ -71,17 +71,40 @@ def failures(rows: DataFrame, columns: DataFrame, entity: str = "subject", attri
     return failed.groupBy("subject", "column_name", "column_type", "value", F.when(F.col("unfit"), "unfit").otherwise("unreadable").alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def maps(cell_rows: DataFrame) -> DataFrame:
-    """(subject, cells): the cells of an entity as (column_name, column_type) -> (low, differs, failed, n_failed)."""
-    key = F.struct("column_name", "column_type")
-    cell = F.struct("low", (F.col("low") != F.col("high")).alias("differs"), F.least("unread", "unfit").alias("failed"), (F.col("n_values") - F.col("n_read") + F.col("n_unfit")).alias("n_failed"))
-    return cell_rows.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct(key, cell))).alias("cells"))
+def _numbered(columns: DataFrame) -> tuple[list, DataFrame]:
+    """The (column_name, column_type) pairs in order, at most ``MOST_COLUMNS`` + 1, and all of them as a join side.
 
-
-def conflicts(cell_rows: DataFrame) -> DataFrame:
-    """(subject, column_name) of the cells of ``cells`` whose rows disagree, read off the entities' maps."""
-    differ = F.filter(F.map_entries("cells"), lambda e: e["value"]["differs"])
-    return maps(cell_rows).select("subject", F.explode(differ).alias("cell")).select("subject", F.col("cell.key.column_name").alias("column_name"))
+    The side has (column_name, column_type, __label), and __code, the number of the pair, if there
+    are no more; a name's smallest type is its own, the label of another is ``name:type``.
+    """
+    known = columns.where("column_name is not null").select("column_name", "column_type").distinct()
+    pairs = known.orderBy("column_name", "column_type").limit(MOST_COLUMNS + 1).collect()
+    label = F.when(F.col("column_type").eqNullSafe(F.col("__own")), F.col("column_name")).otherwise(F.concat_ws(":", "column_name", "column_type"))
+    own = known.groupBy("column_name").agg(F.min("column_type").alias("__own"))
+    if len(pairs) > MOST_COLUMNS:
+        return pairs, known.join(own, "column_name").select("column_name", "column_type", label.alias("__label"))
+    names = [p.column_name for p in pairs]
+    labels = [p.column_name if n == 0 or names[n - 1] != p.column_name else f"{p.column_name}:{p.column_type}" for n, p in enumerate(pairs)]
+    rows = [(p.column_name, p.column_type, n, text) for n, (p, text) in enumerate(zip(pairs, labels))]
+    return pairs, F.broadcast(columns.sparkSession.createDataFrame(rows, "column_name string, column_type string, __code int, __label string"))
+
+
+def maps(cell_rows: DataFrame, numbers: DataFrame, key: str = "__label") -> DataFrame:
+    """(subject, cells): the cells of an entity, ``key`` -> (label, low, differs, failed, n_failed).
+
+    Further types of a column have no typed column: their values count as failed, under their label.
+    """
+    tagged = cell_rows.join(numbers, ["column_name", "column_type"])
+    further = F.col("__label") != F.col("column_name")
+    failed = F.least("unread", "unfit")
+    cell = F.struct(
+        F.col("__label").alias("label"),
+        F.when(~F.col("low.unfit"), F.col("low.text")).alias("low"),
+        F.coalesce(F.col("low.text") != F.col("high.text"), F.lit(False)).alias("differs"),
+        F.when(further, F.coalesce("low.text", failed)).otherwise(failed).alias("failed"),
+        F.when(further, F.col("n_values")).otherwise(F.col("n_values") - F.col("n_read") + F.col("n_unfit")).alias("n_failed"),
+    )
+    return tagged.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct(key, cell))).alias("cells"))
 
 
 def _typed(kind: str, text: Column) -> Column:
@@ -99,27 +122,37 @@ def widen(cell_rows: DataFrame, columns: DataFrame) -> DataFrame:
     rows disagree, ``failures`` maps a column to the smallest text of it that could not be read or
     does not fit the type, ``n_failed`` to the number of its rows with such a text.  Each key of
     them stands, with the subject, for the rows of ``failures()``, which has all the texts.
-    Columns without a value are null; of two types for a column the smaller name counts.  The
-    column names come from ``columns`` and are read by the driver, at most ``MOST_COLUMNS``; more
-    raise ValueError.
+    Columns without a value are null.  Of several types for a column the smallest name makes the typed column;
+    the values of another stand under ``name:type`` in the failures and conflicts.  A column named as one of the result's own gets a ``_`` behind.
+    The column names are read by the driver, at most ``MOST_COLUMNS`` pairs of name and type; a table with more
+    has, in place of the typed columns, one column ``values``, a map from every column's name (or ``name:type``) to its canonical text.
     """
-    names = columns.where("column_name is not null").groupBy("column_name").agg(F.min("column_type").alias("column_type")).orderBy("column_name").limit(MOST_COLUMNS + 1).collect()
-    if len(names) > MOST_COLUMNS:
-        raise ValueError(f"more than {MOST_COLUMNS} wide columns")
-    clash = {"subject", "conflicts", "failures", "n_failed"} & {n.column_name for n in names}
-    if clash:
-        raise ValueError(f"wide columns may not be named {sorted(clash)}")
-    one = cell_rows.join(F.broadcast(cell_rows.sparkSession.createDataFrame([tuple(n) for n in names], "column_name string, column_type string")), ["column_name", "column_type"], "left_semi") if names else cell_rows
-
-    def low(n) -> Column:
-        return F.col("cells")[F.struct(F.lit(n.column_name).alias("column_name"), F.lit(n.column_type).alias("column_type"))]["low"]
-
-    typed = [_typed(n.column_type, low(n)).alias(n.column_name) if n.column_type in TYPES else F.lit(None).cast("string").alias(n.column_name) for n in names]
-    failed = F.filter(F.map_entries("cells"), lambda e: e["value"]["failed"].isNotNull())
-    return maps(one).select(
-        "subject",
-        *typed,
-        F.array_sort(F.transform(F.map_keys(F.map_filter("cells", lambda k, v: v["differs"])), lambda k: k["column_name"])).alias("conflicts"),
-        F.map_from_entries(F.transform(failed, lambda e: F.struct(e["key"]["column_name"], e["value"]["failed"]))).alias("failures"),
-        F.map_from_entries(F.transform(failed, lambda e: F.struct(e["key"]["column_name"], e["value"]["n_failed"]))).alias("n_failed"),
-    )
+    pairs, numbers = _numbered(columns)
+    many = len(pairs) > MOST_COLUMNS
+    whole = maps(cell_rows, numbers, "__label" if many else "__code")
+    cells = F.map_values("cells")
+    failed = F.filter(cells, lambda c: c["failed"].isNotNull())
+    rest = [
+        F.array_sort(F.transform(F.filter(cells, lambda c: c["differs"]), lambda c: c["label"])).alias("conflicts"),
+        F.map_from_entries(F.transform(failed, lambda c: F.struct(c["label"], c["failed"]))).alias("failures"),
+        F.map_from_entries(F.transform(failed, lambda c: F.struct(c["label"], c["n_failed"]))).alias("n_failed"),
+    ]
+    if many:
+        read = F.filter(cells, lambda c: c["low"].isNotNull())
+        return whole.select("subject", F.map_from_entries(F.transform(read, lambda c: F.struct(c["label"], c["low"]))).alias("values"), *rest)
+    taken, typed = {"subject", "conflicts", "failures", "n_failed"}, []
+    own = [n for n, p in enumerate(pairs) if n == 0 or pairs[n - 1].column_name != p.column_name]
+    # each value is looked up once, in a projection of its own, which the casts then read
+    looked = whole.select("subject", *rest, *[F.col("cells")[F.lit(n)]["low"].alias(f"__{n}") for n in own])
+    for n in own:
+        name, kind = pairs[n]
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        typed.append((_typed(kind, F.col(f"__{n}")) if kind in TYPES else F.lit(None).cast("string")).alias(name))
+    return looked.select("subject", *typed, "conflicts", "failures", "n_failed")
+
+
+def conflicts(wide_rows: DataFrame) -> DataFrame:
+    """(subject, column_name) of the cells whose rows disagree, from the rows of ``widen``."""
+    return wide_rows.select("subject", F.explode("conflicts").alias("column_name"))

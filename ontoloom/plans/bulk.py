@@ -62,12 +62,19 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.cells(table(spark, sf_dir, "node_properties"), table(spark, sf_dir, "wide_columns"))
 
 
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide.widen(_cells(spark, sf_dir), table(spark, sf_dir, "wide_columns"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide.conflicts(_cells(spark, sf_dir))
+    return wide.conflicts(_wide(spark, sf_dir))
 
 
 def p4_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide.widen(_cells(spark, sf_dir), table(spark, sf_dir, "wide_columns"))
+    """The wide table; its list and its maps as sorted texts."""
+    rows = _wide(spark, sf_dir)
+    texts = {c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), "; ").alias(c) for c in ("failures", "n_failed")}
+    return rows.select(*[c for c in rows.columns if c not in ("conflicts", *texts)], F.array_join("conflicts", "; ").alias("conflicts"), *texts.values())
 
 
 def p4_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +94,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _records(spark, sf_dir).where("reason is null").select("origin", "row_id", "subject", "predicate", "literal_value", "literal_type")
+    return _records(spark, sf_dir).where("reason is null").select("origin", "row_id", "subject", "predicate", "literal_value", "literal_type", "subject_text", "predicate_text")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_counts, p4_found, p4_wide, p4_cells, p4_failures, p5_found, p5_loaded)}

