@@ -1,18 +1,19 @@
 """Text that looks the same, brought to one form.
 
-A text is first reduced to what is seen (its *skeleton*): invisible characters go; wide,
-narrow and styled forms, ligatures and all blanks become the plain ones; letters are
-decomposed, letters of other scripts with the shape of a Latin one become it, and the parts
-are composed again; runs of blanks become one space, none at the ends.
-
-The *form* then gives every token a consistent script.  Each letter shape has a resolved
-set of scripts it can be written in; the sets of a token's letters are intersected.  If
-Latin is left, the token is spelled in Latin (so a token wholly of look-alikes of another
-script, a whole-script confusable, becomes Latin); else if another script is left, it is
-spelled in that (so a Latin letter amid Cyrillic ones becomes Cyrillic); an empty set is
-a mixed token that no script can spell, which keeps the skeleton's letters.  As this depends
-on the skeleton only and can be undone, two texts have equal forms if and only if they have
-equal skeletons.
+A text is first normalised in all but its letters' scripts: invisible characters go; wide,
+narrow and styled forms, ligatures, digraphs and all blanks become the plain ones; letters are
+composed; runs of blanks become one space, none at the ends.
+
+Then every token gets a consistent script.  Each letter has a resolved set of scripts, those
+that have a letter of its shape; the sets of a token's letters are intersected.  If Latin is
+left, the token is spelled in Latin (so a token wholly of look-alikes of another script, a
+whole-script confusable, becomes Latin); else if another script is left, it is spelled in that
+(so a Latin letter amid Cyrillic ones becomes Cyrillic); an empty set is a mixed token that no
+one script can spell, whose letters become Latin wherever they have that shape.  The spelling
+so depends on the letters' shapes alone: tokens that look the same are spelled the same.
+
+``skeleton`` maps letter by letter to Latin shapes instead; it serves ``words``, for which
+spelling does not matter.
 """
 
 from __future__ import annotations
@@ -30,18 +31,29 @@ from pyspark.sql import functions as F
 
 #: For each script, its letters and after each the Latin letter of the same shape.
 SAME_SHAPE = {
-    "Cyrillic": "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҮY ӀI ԌG ԚQ ԜW ѴV аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ѵv ӏl үy",
+    "Cyrillic": "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҮY ӀI ԌG ԚQ ԜW ѴV ӔÆ ӘƏ аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ѵv ӏl үy ӕæ әə",
     "Greek": "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX αa οo νv ρp ιi υu γy ϳj ϲc ϹC ͿJ",
-    "Armenian": "օo ՕO հh սu ոn ցg զq ՏS ՍU Լl",
+    "Armenian": "օo ՕO հh սu ոn ցg զq յj ՏS ՍU Լl",
+    "Cherokee": "ᎠD ᎡR ᎢT ᎥI ᎩY ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᎽY ᏀG ᏂH ᏃZ ᏏB ᏒR ᏔW ᏕS ᏙV ᏚS ᏞL ᏟC ᏢP ᏦK ᏧD ᏳG ᏴB",
+    "Lisu": "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU",
+    "Coptic": "ⲂB ⲎH ⲒI ⲔK ⲘM ⲚN ⲞO ⲢP ⲤC ⲦT ⲨY ⲬX ⳐL ⲟo ⲣp ⲥc",
+    "Canadian": "ᐯV ᑌU ᑕC ᑭP ᑯd ᑲb ᒍJ ᒪL ᕼH ᖇR ᖴF ᗅA ᗞD ᗰM ᗷB ᙭X",
+    "Deseret": "𐐄O 𐐕C 𐐛L 𐐠S 𐐬o 𐐽c 𐑈s",
+    "Tifinagh": "ⵔO ⵝX ⵏI ⴸV",
+    "Georgian": "ჿo",
 }
+#: Letters of the Latin script that have the shape of a basic one.
+LATIN_VARIANTS = "ɡg ᴄc ᴏo ᴠv ᴡw ᴢz ꜱs ɑa"
 #: Invisible characters that Unicode does not class as format or variation characters.
 INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
 #: Compatibility forms that look like their plain characters (the tags of Unicode's decompositions).
 PLAIN_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<font>")
+#: The tags of letters in the shape that they take beside others; their plain letters take it as well.
+SHAPED_TAGS = ("<isolated>", "<initial>", "<medial>", "<final>")
 #: Code points looked through to build the tables: the planes that hold letters, signs and format characters.
-_RANGE = [*range(0x80, 0x20000), *range(0xE0000, 0xE0200)]
+CODES = [*range(0x80, 0x20000), *range(0xE0000, 0xE0200)]
 
-_latin = {pair[0]: pair[1] for pairs in SAME_SHAPE.values() for pair in pairs.split()}
+_latin = {pair[0]: pair[1] for pairs in (*SAME_SHAPE.values(), LATIN_VARIANTS) for pair in pairs.split()}
 _script = {pair[0]: script for script, pairs in SAME_SHAPE.items() for pair in pairs.split()}
 #: (script, Latin shape) -> the letter of the script; the first of several.
 _respell: dict[tuple[str, str], str] = {}
@@ -53,7 +65,7 @@ for _script_name, _pairs in SAME_SHAPE.items():
 def _first_map() -> dict[int, str | None]:
     """Code point -> what is seen of it, before decomposition; None: nothing."""
     table: dict[int, str | None] = {c: None for c in [*range(0x9), *range(0xE, 0x1C), 0x7F]}
-    for code in _RANGE:
+    for code in CODES:
         c = chr(code)
         if c.isspace() or c == "\u2800":
             table[code] = " "
@@ -63,20 +75,28 @@ def _first_map() -> dict[int, str | None]:
             table[code] = None
             continue
         tag = unicodedata.decomposition(c).partition(" ")[0]
-        if tag in PLAIN_TAGS or tag == "<compat>" and "LIGATURE" in unicodedata.name(c, ""):
+        if tag in PLAIN_TAGS or tag in SHAPED_TAGS and " " not in unicodedata.normalize("NFKC", c) or tag == "<compat>" and _as_letters(c):
             table[code] = unicodedata.normalize("NFKC", c)
     return table
 
 
+def _as_letters(c: str) -> bool:
+    """Is this compatibility character seen as the letters it stands for?  Ligatures, digraphs, numerals and radicals are."""
+    parts = unicodedata.normalize("NFKC", c)
+    if any(word in unicodedata.name(c, "") for word in ("LIGATURE", "ROMAN NUMERAL", "KANGXI RADICAL", "MICRO SIGN")):
+        return True
+    return len(parts) > 1 and c.isalpha() and all(unicodedata.category(p)[0] in "LM" for p in parts)
+
+
 _first = _first_map()
 _second = str.maketrans(_latin)
 
 
 #: Characters that the first table changes, and those of which a part is a letter of the second.
 _first_chars = frozenset(map(chr, _first))
-_second_chars = frozenset(c for c in map(chr, _RANGE) if not set(unicodedata.normalize("NFD", c)).isdisjoint(_latin))
-#: A letter of one of the scripts that share shapes with Latin (Greek, Cyrillic, Armenian blocks).
-_other = re.compile("[\u0370-\u03ff\u1f00-\u1fff\u0400-\u052f\u1c80-\u1c8f\u2de0-\u2dff\ua640-\ua69f\u0530-\u058f]")
+_second_chars = frozenset(c for c in map(chr, CODES) if not set(unicodedata.normalize("NFD", c)).isdisjoint(_latin))
+#: The letters of the scripts that share shapes with Latin (by their names), and the Latin letters that are variants of others.
+_other_chars = frozenset(c for c in map(chr, CODES) if c.isalpha() and unicodedata.name(c, "").split(" ")[0].capitalize() in SAME_SHAPE) | frozenset(p[0] for p in LATIN_VARIANTS.split())
 #: A token: a run of letters and combining marks.
 _token = re.compile("(?:[^\\W\\d_]|[\u0300-\u036f])+")
 
@@ -94,7 +114,8 @@ def skeleton(text: str) -> str:
 
 
 def _scripts(letter: str) -> frozenset[str] | None:
-    """The scripts a skeleton letter can be written in; None if it says nothing (marks, other scripts' signs)."""
+    """The scripts that have a letter of this shape; None if it says nothing (marks, other scripts' signs)."""
+    letter = _latin.get(letter, letter)
     if letter in _writable:
         return _writable[letter]
     name = unicodedata.name(letter, "").split(" ")[0].capitalize()
@@ -106,22 +127,26 @@ _writable = {shape: frozenset(["Latin", *(s for s, other in _respell if other ==
 
 @lru_cache(maxsize=200_000)
 def respell(token: str) -> str:
-    """A token of a skeleton in the one script that its letters allow; see the module's text."""
+    """A token in the one script that all its letters can be written in; see the module's text."""
     parts = unicodedata.normalize("NFD", token)
     sets = [s for s in map(_scripts, parts) if s is not None]
     shared = frozenset.intersection(*sets) if sets else frozenset()
+    latin = [_latin.get(c, c) for c in parts]
     if "Latin" in shared or not shared:
-        return token
+        return unicodedata.normalize("NFC", "".join(latin))
     script = min(shared)
-    return unicodedata.normalize("NFC", "".join(_respell.get((script, c), c) for c in parts))
+    return unicodedata.normalize("NFC", "".join(_respell.get((script, c), c) for c in latin))
 
 
 def form(text: str) -> str:
     """The one form of all texts that look like this one."""
-    seen = skeleton(text)
-    if seen.isascii() or not _other.search(seen):
-        return seen
-    return _token.sub(lambda m: respell(m[0]) if _other.search(m[0]) else m[0], seen)
+    if not _first_chars.isdisjoint(text):
+        text = text.translate(_first)
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+        if not _other_chars.isdisjoint(text):
+            text = _token.sub(lambda m: m[0] if _other_chars.isdisjoint(m[0]) else respell(m[0]), text)
+    return " ".join(text.split())
 
 
 def own_script(c: str) -> str | None:
@@ -145,7 +170,7 @@ def token_kind(token: str) -> str:
 def token_kinds(text: str) -> list[str]:
     """The kinds of a text's tokens that have a letter of a script sharing shapes with Latin."""
     seen = unicodedata.normalize("NFC", text.translate(_first))
-    return [token_kind(m) for m in _token.findall(seen) if _other.search(m)]
+    return [token_kind(m) for m in _token.findall(seen) if not _other_chars.isdisjoint(m)]
 
 
 #: Letters that differ in case only, or look alike in some case, have one key: lower case of the Latin shape.
@@ -154,17 +179,20 @@ for _c, _shape in list(_latin.items()):
     if _c.isupper() and _c.lower() not in _latin:
         _fold[_c.lower()] = _shape.lower()
 _folds = str.maketrans(_fold)
-_fold_chars = frozenset(c for c in map(chr, _RANGE) if not set(unicodedata.normalize("NFD", c)).isdisjoint(_fold))
+_fold_chars = frozenset(c for c in map(chr, CODES) if not set(unicodedata.normalize("NFD", c)).isdisjoint(_fold))
 
 
-def words(text: str | None) -> list[str]:
-    """The words of a text (runs of letters and digits), equal where they look the same but for case."""
-    if not text:
-        return []
+def folded(text: str) -> str:
+    """What is seen of a text, equal where texts look the same but for case."""
     seen = skeleton(text)
     if not _fold_chars.isdisjoint(seen):
         seen = unicodedata.normalize("NFC", unicodedata.normalize("NFD", seen).translate(_folds))
-    return _word.findall(seen.casefold())
+    return seen.casefold()
+
+
+def words(text: str | None) -> list[str]:
+    """The words of a text (runs of letters and digits), equal where they look the same but for case."""
+    return _word.findall(folded(text)) if text else []
 
 
 _word = re.compile(r"[^\W_]+")
@@ -189,7 +217,7 @@ def forms(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             out, kinds = [], ([], [])
             for t in batch.column("text").to_pylist():
                 out.append(None if t is None else form(t))
-                found = token_kinds(t) if t and _other.search(t) else []
+                found = token_kinds(t) if t and not _other_chars.isdisjoint(t.translate(_first)) else []
                 kinds[0].append(found.count("mixed"))
                 kinds[1].append(found.count("whole"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), pa.array(kinds[0], pa.int64()), pa.array(kinds[1], pa.int64())], names=["doc_id", "form", "mixed_tokens", "whole_tokens"])
@@ -236,3 +264,19 @@ def look_alikes(keys: DataFrame) -> DataFrame:
     one = keys.withColumnRenamed("doc_id", "x").join(pairs, [*look, *text])
     two = keys.select(*look, F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.col("doc_id").alias("y")).join(one, [*look, "u1", "u2"])
     return two.where("x != y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
+
+
+def classes(keys: DataFrame) -> DataFrame:
+    """(doc_id, class_id, spelling_id) per document, from ``form_keys``: the linear form of ``look_alikes``.
+
+    ``class_id`` is the smallest id of the documents that look the same, ``spelling_id`` of those
+    with the same text: the pairs are those of one class and two spellings.  Rows of one id count
+    once for each text; null ids are left out.  Groups are reduced on the map side to their
+    smallest id before they are shuffled, and joined back to the documents.
+    """
+    look, text = ["f1", "f2"], ["t1", "t2"]
+    known = keys.where("doc_id is not null")
+    spelled = known.groupBy(*look, *text).agg(F.min("doc_id").alias("spelling_id"))
+    seen = spelled.groupBy(*look).agg(F.min("spelling_id").alias("class_id"))
+    named = spelled.join(seen, look)
+    return known.join(named, [*look, *text]).select("doc_id", "class_id", "spelling_id").distinct()

@@ -22,8 +22,12 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _terms(spark, sf_dir).select("field", "term", "rows", "records")
 
 
+#: Where the vocabulary is unless the session's ``spark.ontoloom.vocabulary`` names another file, readable on every executor.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_ids(table(spark, sf_dir, "documents"))
+    return tokens.token_ids(table(spark, sf_dir, "documents"), spark.conf.get("spark.ontoloom.vocabulary", VOCABULARY))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,11 +44,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return looks.look_alikes(keys)
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linear form of p8_found: a row per document, with its class and its spelling."""
+    keys = Scratch(spark, "looks").save(looks.form_keys(table(spark, sf_dir, "documents")), "keys")
+    return looks.classes(keys)
+
+
 def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return looks.forms(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p6_ids, p7_found, p7_near, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p6_ids, p7_found, p7_near, p8_found, p8_classes, p8_forms)}
 
 _P3 = (
     "with types as (select *, coalesce(literal_type, '') as lt from node_properties),"
@@ -60,7 +70,38 @@ _P3 = (
 """
 )
 
+
+
+def _character_map(change) -> str:
+    """SQL rows (code point, text) of the characters that ``change`` alters."""
+    pairs = [(code, change(chr(code))) for code in (*range(0x80), *looks.CODES) if not 0xD800 <= code < 0xE000]
+    return ", ".join(f"({code}, '{text}')" for code, text in pairs if text != chr(code) and "'" not in text)
+
+
+def _seen(c: str) -> str:
+    """What is seen of one character; blanks and the characters around a text do not count."""
+    return " " if c.isspace() else looks.skeleton(c)
+
+
+def _word_letters(c: str) -> str:
+    return " " if c.isspace() else looks.folded(c)
+
+
+def _mapped(table: str, columns: str, change) -> str:
+    """SQL common tables: ``<table>_text`` has the texts with every character changed, composed and with single blanks."""
+    return f"""{table}_map(cp, txt) as (values {_character_map(change)}),
+ {table}_chars as (select {columns}, unnest(regexp_extract_all(text, '(?s).')) as ch, unnest(range(len(regexp_extract_all(text, '(?s).')))) as pos from {table} where text is not null),
+ {table}_text as (select {columns}, trim(regexp_replace(nfc_normalize(string_agg(coalesce(txt, ch), '' order by pos)), ' +', ' ', 'g')) as seen from {table}_chars left join {table}_map on cp = unicode(ch) group by {columns})"""
+
+
+_WINDOWS = "{0}_grams as (select distinct {1}, array_to_string(w[i:i + 9], ' ') as gram from (select {1}, w, unnest(range(1, len(w) - 8)) as i from (select {1}, regexp_extract_all(seen, '[\\p{{L}}\\p{{N}}]+') as w from {0}_text) where len(w) > 9))"
+_LOOKS = "with " + _mapped("documents", "doc_id", _seen) + ", shown as (select d.doc_id, d.text, s.seen from documents d join documents_text s using (doc_id) where s.seen <> '')"
+_LEAKS = "with " + ", ".join([_mapped("documents", "doc_id", _word_letters), _mapped("benchmark", "item_id", _word_letters), _WINDOWS.format("documents", "doc_id"), _WINDOWS.format("benchmark", "item_id")])
+
 SQL = {
     "p3_found": _P3 + "select field, term, case when records < 5 then 'rare' else 'common' end as mark from counts where records < 5 or records > total * 0.5",
     "p3_counts": _P3 + "select field, term, rows, records from counts",
+    "p7_found": _LEAKS + " select distinct doc_id, item_id from documents_grams join benchmark_grams using (gram)",
+    "p8_found": _LOOKS + " select a.doc_id as doc_id_a, b.doc_id as doc_id_b from shown a join shown b on a.seen = b.seen and a.doc_id < b.doc_id and a.text <> b.text",
+    "p8_classes": _LOOKS + " select doc_id, min(doc_id) over (partition by seen) as class_id, min(doc_id) over (partition by text) as spelling_id from shown",
 }

@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how this vocabulary's tokenizer splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 class Encoder:
@@ -95,11 +94,11 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str = VOCABULARY, pattern: str = PATTERN) -> Encoder:
+def encoder(path: str, pattern: str = PATTERN) -> Encoder:
     return Encoder(path, pattern)
 
 
-def token_ids(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+def token_ids(documents: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", pattern: str = PATTERN) -> DataFrame:
     """(doc_id, ids): the token ids of every text, without special tokens; whole texts, no shuffle.
 
     Null and empty texts have an empty list; strings of special tokens are ordinary text; repeated

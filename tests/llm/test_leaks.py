@@ -1,6 +1,7 @@
 """Leaked test items against brute force."""
 
 import random
+import time
 
 import pytest
 
@@ -68,6 +69,46 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, leaks.find_leaks(d, i, 4).collect())) == whole and len(whole) == 4
 
 
+def test_an_item_longer_than_a_block_keeps_all_its_windows(spark, monkeypatch):
+    long = [f"w{n}" for n in range(60)]
+    d = spark.createDataFrame([(n, " ".join(long[n : n + 10])) for n in range(51)] + [(99, " ".join(long[:9]))], "doc_id long, text string")
+    i = spark.createDataFrame([(5, " ".join(long)), (6, "other words")], "item_id long, text string")
+    for size in (3, 10, 11, 17, 25):
+        monkeypatch.setattr(leaks, "BLOCK_WORDS", size)
+        assert sorted(x.doc_id for x in leaks.find_leaks(d, i).collect()) == list(range(51))
+        parts = [p for block in leaks._blocks(i, "item_id", "text", 10) for p in block]
+        assert max(len(p) for _, p in parts) <= max(size, 10)
+
+
+@pytest.mark.parametrize("errors", [0, 1, 2])
+def test_hot_words_take_linear_time(errors):
+    index = leaks.Index([(1, ["a"] * 400), (2, ["a", "b"] * 200)], 10, errors)
+    began = time.perf_counter()
+    found = sorted(index.search([index.numbers(["a"] * 1_000_000), index.numbers(["b", "a"] * 300_000), index.numbers(["c"] * 50)]))
+    assert time.perf_counter() - began < 20
+    assert [x[:2] for x in found if x[2] == 0] == [(0, 1), (1, 2)]
+
+
+def test_planted_leaks_with_one_edit_are_all_found(spark):
+    """Passages of the benchmark, one word changed, missing or added, amid real posts."""
+    small = "/root/testdata/sf0.001"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    posts = [r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    r, docs = random.Random(3), []
+    for n, (item, t) in enumerate(items):
+        own = words(t)
+        if len(own) < 12:
+            continue
+        at = r.randrange(len(own) - 10)
+        part = own[at : at + 10]
+        k = r.randrange(1, 9)
+        part[k : k + r.choice([0, 1])] = r.choice([["zzz"], []])
+        docs.append((n, posts[n % len(posts)] + " \n" + " ".join(part) + ". " + posts[(n + 7) % len(posts)]))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(x.doc_id, x.item_id): x.edits for x in leaks.find_leaks(d, spark.createDataFrame(items, "item_id long, text string"), errors=1).collect()}
+    assert len(docs) > 20 and all((n, items[n][0]) in found for n, _ in docs)
+
+
 def test_empty_and_altered(spark):
     d = spark.createDataFrame([(1, "ONE **two** thrее\nfour <i>five")], "doc_id long, text string")  # with Cyrillic letters
     i = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")

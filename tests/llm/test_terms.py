@@ -29,7 +29,7 @@ def test_graph_terms(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(SMALL), reason="no test data here")
-@pytest.mark.parametrize("name", sorted(plans.SQL))
+@pytest.mark.parametrize("name", ["p3_found", "p3_counts"])
 def test_queries_match_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
