@@ -75,7 +75,7 @@ _P3 = (
 def _character_map(change) -> str:
     """SQL rows (code point, text) of the characters that ``change`` alters."""
     pairs = [(code, change(chr(code))) for code in (*range(0x80), *looks.CODES) if not 0xD800 <= code < 0xE000]
-    return ", ".join(f"({code}, '{text}')" for code, text in pairs if text != chr(code) and "'" not in text)
+    return ", ".join("({}, '{}')".format(code, text.replace("'", "''")) for code, text in pairs if text != chr(code))
 
 
 def _seen(c: str) -> str:
