@@ -32,16 +32,30 @@ def _unfit(column_type: Column, text: Column) -> Column:
     return F.coalesce(over, F.lit(False))
 
 
-def _texts(rows: DataFrame, columns: DataFrame, entity: str, attribute: str, value: str) -> DataFrame:
-    """(subject, column_name, column_type, value, text, unfit) per row that feeds a column."""
-    wide = columns.select(F.col(attribute).alias("__attribute"), "column_name", "column_type").distinct()
+def _pairs(columns: DataFrame) -> list[tuple[str, str]]:
+    """The (column_name, column_type) pairs in order, one more than ``MOST_COLUMNS`` if there are more."""
+    known = columns.where("column_name is not null").select("column_name", F.coalesce("column_type", F.lit("")).alias("column_type")).distinct()
+    return [tuple(r) for r in known.orderBy("column_name", "column_type").limit(MOST_COLUMNS + 1).collect()]
+
+
+def _labels(pairs: list[tuple[str, str]]) -> list[str]:
+    """A column's smallest type is its own; that of another is named with it."""
+    return [name if n == 0 or pairs[n - 1][0] != name else f"{name}:{kind}" for n, (name, kind) in enumerate(pairs)]
+
+
+def _texts(rows: DataFrame, columns: DataFrame, entity: str, attribute: str, value: str, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(subject, column_name, column_type, value, text, unfit) per row that feeds a column; with ``pairs`` also the code of its pair."""
+    wide = columns.where("column_name is not null").select(F.col(attribute).alias("__attribute"), "column_name", F.coalesce("column_type", F.lit("")).alias("column_type")).distinct()
+    if pairs is not None:
+        numbers = columns.sparkSession.createDataFrame([(*p, n) for n, p in enumerate(pairs)], "column_name string, column_type string, code int")
+        wide = wide.join(F.broadcast(numbers), ["column_name", "column_type"])
     read = rows.select(F.col(f"`{entity}`").alias("subject"), F.col(f"`{attribute}`").alias("__of"), F.col(f"`{value}`").alias("value")).join(wide, F.col("__of") == F.col("__attribute"))
-    text = read.select("subject", "column_name", "column_type", "value", canonical(F.col("column_type"), F.col("value")).alias("text"))
+    text = read.select("subject", "column_name", "column_type", "value", canonical(F.col("column_type"), F.col("value")).alias("text"), *([] if pairs is None else ["code"]))
     return text.withColumn("unfit", _unfit(F.col("column_type"), F.col("text")))
 
 
 def cells(rows: DataFrame, columns: DataFrame, entity: str = "subject", attribute: str = "predicate", value: str = "literal_value") -> DataFrame:
-    """(entity, column_name, column_type, low, high, n_values, n_read, unread, n_unfit, unfit) per cell that has a row.
+    """(subject, code, low, high, n_values, n_read, unread, n_unfit, unfit, column_name, column_type) per cell that has a row.
 
     ``columns`` holds (``attribute``, column_name, column_type); several attributes may feed a
     column.  Values are read in the column's type into canonical texts, of which ``low`` and
@@ -51,14 +65,19 @@ def cells(rows: DataFrame, columns: DataFrame, entity: str = "subject", attribut
     smallest text that could not; ``n_unfit`` counts the rows that could be read but do not fit
     the type, ``unfit`` is the smallest text of them, as stored.  Null values make a cell without values; rows of attributes
     that feed no column, and null attributes, are left out; a null entity is an entity of its own.
+    A null type is an empty one.  ``code`` numbers the pairs of name and type, by which the cells are
+    shuffled; of more than ``MOST_COLUMNS`` pairs it is null.
     """
+    pairs = _pairs(columns)
+    many = len(pairs) > MOST_COLUMNS
+    texts = _texts(rows, columns, entity, attribute, value, None if many else pairs)
     bad, over = F.when(F.col("text").isNull(), F.col("value")), F.when(F.col("unfit"), F.col("value"))
     rank = F.when(F.col("text").isNotNull(), F.struct("unfit", "text"))
-    return (
-        _texts(rows, columns, entity, attribute, value)
-        .groupBy("subject", "column_name", "column_type")
-        .agg(F.min(rank).alias("low"), F.max(rank).alias("high"), F.count("value").alias("n_values"), F.count("text").alias("n_read"), F.min(bad).alias("unread"), F.count(over).alias("n_unfit"), F.min(over).alias("unfit"))
-    )
+    state = [F.min(rank).alias("low"), F.max(rank).alias("high"), F.count("value").alias("n_values"), F.count("text").alias("n_read"), F.min(bad).alias("unread"), F.count(over).alias("n_unfit"), F.min(over).alias("unfit")]
+    if many:
+        return texts.groupBy("subject", "column_name", "column_type").agg(*state).withColumn("code", F.lit(None).cast("int"))
+    names = [F.get(F.array(*[F.lit(p[n]) for p in pairs]).cast("array<string>"), F.col("code")).alias(c) for n, c in enumerate(("column_name", "column_type"))]
+    return texts.groupBy("subject", "code").agg(*state).select("*", *names)
 
 
 def failures(rows: DataFrame, columns: DataFrame, entity: str = "subject", attribute: str = "predicate", value: str = "literal_value") -> DataFrame:
@@ -71,40 +90,19 @@ def failures(rows: DataFrame, columns: DataFrame, entity: str = "subject", attri
     return failed.groupBy("subject", "column_name", "column_type", "value", F.when(F.col("unfit"), "unfit").otherwise("unreadable").alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def _numbered(columns: DataFrame) -> tuple[list, DataFrame]:
-    """The (column_name, column_type) pairs in order, at most ``MOST_COLUMNS`` + 1, and all of them as a join side.
+def maps(cell_rows: DataFrame, key: str = "code") -> DataFrame:
+    """(subject, cells): the cells of an entity, ``key`` -> (low, differs, failed, n_values, n_failed).
 
-    The side has (column_name, column_type, __label), and __code, the number of the pair, if there
-    are no more; a name's smallest type is its own, the label of another is ``name:type``.
+    ``low`` is the smallest value that fits, ``failed`` the smallest text that does not or cannot be read.
     """
-    known = columns.where("column_name is not null").select("column_name", "column_type").distinct()
-    pairs = known.orderBy("column_name", "column_type").limit(MOST_COLUMNS + 1).collect()
-    label = F.when(F.col("column_type").eqNullSafe(F.col("__own")), F.col("column_name")).otherwise(F.concat_ws(":", "column_name", "column_type"))
-    own = known.groupBy("column_name").agg(F.min("column_type").alias("__own"))
-    if len(pairs) > MOST_COLUMNS:
-        return pairs, known.join(own, "column_name").select("column_name", "column_type", label.alias("__label"))
-    names = [p.column_name for p in pairs]
-    labels = [p.column_name if n == 0 or names[n - 1] != p.column_name else f"{p.column_name}:{p.column_type}" for n, p in enumerate(pairs)]
-    rows = [(p.column_name, p.column_type, n, text) for n, (p, text) in enumerate(zip(pairs, labels))]
-    return pairs, F.broadcast(columns.sparkSession.createDataFrame(rows, "column_name string, column_type string, __code int, __label string"))
-
-
-def maps(cell_rows: DataFrame, numbers: DataFrame, key: str = "__label") -> DataFrame:
-    """(subject, cells): the cells of an entity, ``key`` -> (label, low, differs, failed, n_failed).
-
-    Further types of a column have no typed column: their values count as failed, under their label.
-    """
-    tagged = cell_rows.join(numbers, ["column_name", "column_type"])
-    further = F.col("__label") != F.col("column_name")
-    failed = F.least("unread", "unfit")
     cell = F.struct(
-        F.col("__label").alias("label"),
         F.when(~F.col("low.unfit"), F.col("low.text")).alias("low"),
         F.coalesce(F.col("low.text") != F.col("high.text"), F.lit(False)).alias("differs"),
-        F.when(further, F.coalesce("low.text", failed)).otherwise(failed).alias("failed"),
-        F.when(further, F.col("n_values")).otherwise(F.col("n_values") - F.col("n_read") + F.col("n_unfit")).alias("n_failed"),
+        F.least("unread", "unfit").alias("failed"),
+        F.col("n_values").alias("n_values"),
+        (F.col("n_values") - F.col("n_read") + F.col("n_unfit")).alias("n_failed"),
     )
-    return tagged.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct(key, cell))).alias("cells"))
+    return cell_rows.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct(key, cell))).alias("cells"))
 
 
 def _typed(kind: str, text: Column) -> Column:
@@ -127,21 +125,38 @@ def widen(cell_rows: DataFrame, columns: DataFrame) -> DataFrame:
     The column names are read by the driver, at most ``MOST_COLUMNS`` pairs of name and type; a table with more
     has, in place of the typed columns, one column ``values``, a map from every column's name (or ``name:type``) to its canonical text.
     """
-    pairs, numbers = _numbered(columns)
+    pairs = _pairs(columns)
     many = len(pairs) > MOST_COLUMNS
-    whole = maps(cell_rows, numbers, "__label" if many else "__code")
-    cells = F.map_values("cells")
-    failed = F.filter(cells, lambda c: c["failed"].isNotNull())
+    if many:
+        own = columns.where("column_name is not null").groupBy("column_name").agg(F.min(F.coalesce("column_type", F.lit(""))).alias("__own"))
+        named = cell_rows.join(own, "column_name").withColumn("label", F.when(F.col("column_type") == F.col("__own"), F.col("column_name")).otherwise(F.concat_ws(":", "column_name", "column_type")))
+        whole = maps(named.withColumn("label", F.struct((F.col("column_type") != F.col("__own")).alias("further"), F.col("label").alias("label"))), "label")
+    else:
+        whole = maps(cell_rows)
+    labels = F.array(*[F.lit(x) for x in _labels(pairs)]).cast("array<string>")
+    further = F.array(*[F.lit(n > 0 and pairs[n - 1][0] == name) for n, (name, _) in enumerate(pairs)]).cast("array<boolean>")
+
+    def label(e) -> Column:
+        return e["key"]["label"] if many else F.get(labels, e["key"])
+
+    def is_further(e) -> Column:
+        return e["key"]["further"] if many else F.get(further, e["key"])
+
+    def failed(e) -> Column:
+        return F.when(is_further(e), F.coalesce(e["value"]["low"], e["value"]["failed"])).otherwise(e["value"]["failed"])
+
+    entries = F.map_entries("cells")
+    bad = F.filter(entries, lambda e: failed(e).isNotNull())
     rest = [
-        F.array_sort(F.transform(F.filter(cells, lambda c: c["differs"]), lambda c: c["label"])).alias("conflicts"),
-        F.map_from_entries(F.transform(failed, lambda c: F.struct(c["label"], c["failed"]))).alias("failures"),
-        F.map_from_entries(F.transform(failed, lambda c: F.struct(c["label"], c["n_failed"]))).alias("n_failed"),
+        F.array_sort(F.transform(F.filter(entries, lambda e: e["value"]["differs"]), label)).alias("conflicts"),
+        F.map_from_entries(F.transform(bad, lambda e: F.struct(label(e), failed(e)))).alias("failures"),
+        F.map_from_entries(F.transform(bad, lambda e: F.struct(label(e), F.when(is_further(e), e["value"]["n_values"]).otherwise(e["value"]["n_failed"])))).alias("n_failed"),
     ]
     if many:
-        read = F.filter(cells, lambda c: c["low"].isNotNull())
-        return whole.select("subject", F.map_from_entries(F.transform(read, lambda c: F.struct(c["label"], c["low"]))).alias("values"), *rest)
+        read = F.filter(entries, lambda e: e["value"]["low"].isNotNull())
+        return whole.select("subject", F.map_from_entries(F.transform(read, lambda e: F.struct(label(e), e["value"]["low"]))).alias("values"), *rest)
     taken, typed = {"subject", "conflicts", "failures", "n_failed"}, []
-    own = [n for n, p in enumerate(pairs) if n == 0 or pairs[n - 1].column_name != p.column_name]
+    own = [n for n, p in enumerate(pairs) if n == 0 or pairs[n - 1][0] != p[0]]
     # each value is looked up once, in a projection of its own, which the casts then read
     looked = whole.select("subject", *rest, *[F.col("cells")[F.lit(n)]["low"].alias(f"__{n}") for n in own])
     for n in own:
