@@ -101,16 +101,22 @@ _other_chars = frozenset(c for c in map(chr, CODES) if c.isalpha() and unicodeda
 _token = re.compile("(?:[^\\W\\d_]|[\u0300-\u036f])+")
 
 
+def _composed(text: str, letters: frozenset[str], shapes: dict) -> str:
+    """A text after the first table, its letters composed and those with a part in ``letters`` replaced part by part."""
+    chars = set(text)
+    if not _first_chars.isdisjoint(chars):
+        text = text.translate(_first)
+        chars = set(text)
+    if text.isascii():
+        return text
+    if letters.isdisjoint(chars):
+        return unicodedata.normalize("NFC", text)
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(shapes))
+
+
 def skeleton(text: str) -> str:
     """What is seen of a text, in Latin shapes wherever there is one."""
-    if not _first_chars.isdisjoint(text):
-        text = text.translate(_first)
-    if not text.isascii():
-        if _second_chars.isdisjoint(text):
-            text = unicodedata.normalize("NFC", text)
-        else:
-            text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_second))
-    return " ".join(text.split())
+    return " ".join(_composed(text, _second_chars, _second).split())
 
 
 def _scripts(letter: str) -> frozenset[str] | None:
@@ -140,13 +146,10 @@ def respell(token: str) -> str:
 
 def form(text: str) -> str:
     """The one form of all texts that look like this one."""
-    if not _first_chars.isdisjoint(text):
-        text = text.translate(_first)
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
-        if not _other_chars.isdisjoint(text):
-            text = _token.sub(lambda m: m[0] if _other_chars.isdisjoint(m[0]) else respell(m[0]), text)
-    return " ".join(text.split())
+    seen = _composed(text, frozenset(), {})
+    if not seen.isascii() and not _other_chars.isdisjoint(seen):
+        seen = _token.sub(lambda m: m[0] if _other_chars.isdisjoint(m[0]) else respell(m[0]), seen)
+    return " ".join(seen.split())
 
 
 def own_script(c: str) -> str | None:
@@ -183,11 +186,8 @@ _fold_chars = frozenset(c for c in map(chr, CODES) if not set(unicodedata.normal
 
 
 def folded(text: str) -> str:
-    """What is seen of a text, equal where texts look the same but for case."""
-    seen = skeleton(text)
-    if not _fold_chars.isdisjoint(seen):
-        seen = unicodedata.normalize("NFC", unicodedata.normalize("NFD", seen).translate(_folds))
-    return seen.casefold()
+    """What is seen of a text, equal where texts look the same but for case and the number of blanks."""
+    return _composed(text, _fold_chars, _folds).casefold()
 
 
 def words(text: str | None) -> list[str]:
