@@ -111,7 +111,11 @@ SELECTS: dict[str, tuple[str, str]] = {
     "filter_bound": customers("BOUND(?bal) && !BOUND(?nothing)", "c_acctbal is not null"),
     "filter_constant": customers("true", "true"),
     "filter_exists": customers('EXISTS { ?o t:o_custkey ?c ; t:o_orderstatus "P" }', "exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')"),
-    "filter_not_exists": customers("NOT EXISTS { ?o t:o_custkey ?c }", "not exists (select 1 from orders where o_custkey = c_custkey)"),
+    "filter_not_exists": customers('NOT EXISTS { ?o t:o_custkey ?c ; t:o_orderstatus "P" }', "not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')"),
+    "exists_correlated": customers("EXISTS { ?o t:o_custkey ?c ; t:o_totalprice ?p FILTER(?p > ?bal * 60) }", "exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > c_acctbal * 60)"),
+    "not_exists_correlated": customers("NOT EXISTS { ?o t:o_custkey ?c ; t:o_totalprice ?p FILTER(?p > ?bal * 60) }", "not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > c_acctbal * 60)"),
+    "exists_or": customers('?seg = "BUILDING" || EXISTS { ?o t:o_custkey ?c ; t:o_totalprice ?p FILTER(?p > ?bal * 90) }', "c_mktsegment = 'BUILDING' or exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > c_acctbal * 90)"),
+    "exists_bind": ('SELECT ?c ?has WHERE { ?c t:c_nationkey n:3 BIND(EXISTS { ?o t:o_custkey ?c ; t:o_orderstatus "P" } AS ?has) }', f"select {_C} as c, exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P') as has from customer where c_nationkey = 3"),
     "filter_no_boolean": customers('?bal', "false"),
     "fn_contains": part('CONTAINS(?name, "ing")', "contains(p_name, 'ing')"),
     "fn_strstarts": part('STRSTARTS(?name, "re")', "starts_with(p_name, 're')"),
@@ -144,7 +148,28 @@ SELECTS: dict[str, tuple[str, str]] = {
     "offset": ("SELECT ?n WHERE { ?x t:n_name ?n } ORDER BY ?n OFFSET 20", "select n_name as n from nation order by 1 offset 20"),
     "optional": ("SELECT ?c ?o WHERE { ?c t:c_nationkey n:3 OPTIONAL { ?o t:o_custkey ?c ; t:o_totalprice ?p FILTER(?p > 300000) } }", f"select {_C} as c, {_O} as o from customer left join orders on o_custkey = c_custkey and o_totalprice > 300000 where c_nationkey = 3"),
     "union": ("SELECT ?x WHERE { { ?x t:c_nationkey n:3 } UNION { ?x t:s_nationkey n:3 } }", f"select {_C} as x from customer where c_nationkey = 3 union all select {_S} from supplier where s_nationkey = 3"),
-    "minus": ('SELECT ?c WHERE { ?c t:c_mktsegment "BUILDING" MINUS { ?o t:o_custkey ?c } }', f"select {_C} as c from customer where c_mktsegment = 'BUILDING' and c_custkey not in (select o_custkey from orders)"),
+    "optional_unbound": (
+        'SELECT ?c ?o ?p WHERE { ?c t:c_nationkey n:3 OPTIONAL { ?o t:o_custkey ?c ; t:o_orderstatus "P" } ?o t:o_totalprice ?p FILTER(?p > 440000) }',
+        f"select {_C} as c, {iri('order', 'x.o_orderkey')} as o, x.o_totalprice as p from customer left join orders o on o.o_custkey = c_custkey and o.o_orderstatus = 'P' join orders x on (o.o_orderkey is null or x.o_orderkey = o.o_orderkey) where c_nationkey = 3 and x.o_totalprice > 440000",
+    ),
+    "optional_twice": (
+        'SELECT ?c ?o WHERE { ?c t:c_nationkey n:3 OPTIONAL { ?o t:o_custkey ?c ; t:o_orderstatus "P" } OPTIONAL { ?o t:o_custkey ?c ; t:o_totalprice ?p FILTER(?p > 300000) } }',
+        f"select {_C} as c, {iri('order', 'coalesce(o.o_orderkey, x.o_orderkey)')} as o from customer left join orders o on o.o_custkey = c_custkey and o.o_orderstatus = 'P' left join orders x on x.o_custkey = c_custkey and x.o_totalprice > 300000 and (o.o_orderkey is null or x.o_orderkey = o.o_orderkey) where c_nationkey = 3",
+    ),
+    "minus": ('SELECT ?c WHERE { ?c t:c_mktsegment "BUILDING" MINUS { ?o t:o_custkey ?c ; t:o_orderstatus "P" } }', f"select {_C} as c from customer where c_mktsegment = 'BUILDING' and c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')"),
+    "minus_rows": (
+        'SELECT ?c ?o WHERE { ?c t:c_nationkey n:3 OPTIONAL { ?o t:o_custkey ?c ; t:o_orderstatus "P" } MINUS { ?o t:o_totalprice ?p FILTER(?p < 200000) } }',
+        f"select {_C} as c, {_O} as o from customer left join orders on o_custkey = c_custkey and o_orderstatus = 'P' where c_nationkey = 3 and (o_totalprice is null or o_totalprice >= 200000)",
+    ),
+    "path_seq": ("SELECT ?o ?name WHERE { ?o t:o_custkey/t:c_nationkey/t:n_name ?name ; t:o_totalprice ?p FILTER(?p > 400000) }", f"select {_O} as o, n_name as name from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey where o_totalprice > 400000"),
+    "path_inverse": ("SELECT ?r ?c WHERE { ?r ^t:n_regionkey/^t:s_nationkey ?c }", f"select {iri('region', 'n_regionkey')} as r, {_S} as c from nation join supplier on s_nationkey = n_nationkey"),
+    "path_alt": ("SELECT ?x ?n WHERE { ?x t:c_nationkey|t:s_nationkey ?n }", f"select {_C} as x, {iri('nation', 'c_nationkey')} as n from customer union all select {_S}, {iri('nation', 's_nationkey')} from supplier"),
+    "path_opt": ("SELECT ?x ?y WHERE { ?x t:n_name ?name . ?x t:n_regionkey? ?y }", f"select {_N} as x, {_N} as y from nation union all select {_N}, {iri('region', 'n_regionkey')} from nation"),
+    "path_star": (
+        "SELECT ?a ?b WHERE { ?a t:post_kind \"answer\" . ?a (t:parent_id|t:dup_of)* ?b }",
+        f"with recursive step as (select doc_id as x, parent_id as y from documents where parent_id is not null union select doc_id, dup_of from documents where dup_of is not null), walk as (select doc_id as x, doc_id as y from documents where post_kind = 'answer' union select w.x, s.y from walk w join step s on s.x = w.y) select {iri('document', 'x')} as a, {iri('document', 'y')} as b from walk",
+    ),
+    "path_not": ("SELECT ?n ?v WHERE { ?n t:n_name ?name . ?n !(t:n_name|t:n_nationkey) ?v }", f"select {_N} as n, {iri('region', 'n_regionkey')} as v from nation"),
     "values": ("SELECT ?n ?name WHERE { VALUES ?n { n:3 n:4 n:99 } ?n t:n_name ?name }", f"select {_N} as n, n_name as name from nation where n_nationkey in (3, 4)"),
     "group": ("SELECT ?n (COUNT(?c) AS ?customers) (SUM(?bal) AS ?total) WHERE { ?c t:c_nationkey ?n ; t:c_acctbal ?bal } GROUP BY ?n HAVING(COUNT(?c) > 10)", f"select {iri('nation', 'c_nationkey')} as n, count(*) as customers, sum(c_acctbal) as total from customer group by 1 having count(*) > 10"),
     "events_by_type": ("SELECT ?type (COUNT(*) AS ?n) (MAX(?v) AS ?most) WHERE { ?e t:event_type ?type ; t:value ?v } GROUP BY ?type", "select event_type as type, count(*) as n, max(value) as most from events group by 1"),
@@ -170,7 +195,15 @@ GRAPH_SELECTS: dict[str, tuple[str, str]] = {
         'SELECT ?s ?v WHERE { ?s qy:label ?v . FILTER(STRSTARTS(?v, "amber")) }',
         f"select s.value as s, p.v from (select distinct subject, literal_value as v, ltype from (select subject, literal_value, replace(replace(replace(trim(coalesce(literal_type, '')), '<', ''), '>', ''), 'xsd:', 'http://www.w3.org/2001/XMLSchema#') as lt, case when lt = '' then 'http://www.w3.org/2001/XMLSchema#string' else lt end as ltype from node_properties where predicate in {_PRED.format('label')} and literal_value like 'amber%') where ltype <> 'http://www.w3.org/2001/XMLSchema#boolean') p join {_NODES} s on s.id = p.subject",
     ),
-    "graph_semi": ("SELECT ?a ?b WHERE { ?a qy:cites ?b . ?b qy:knows ?a }", f"select a.value as a, b.value as b from {rel('cites')} r join {rel('knows')} k on k.subject = r.object and k.object = r.subject join {_NODES} a on a.id = r.subject join {_NODES} b on b.id = r.object"),
+    "graph_reach": (
+        "SELECT ?a ?b WHERE { ?a qy:partOf+ ?b }",
+        f"with recursive step as {rel('partOf')}, walk as (select subject, object from step union select w.subject, s.object from walk w join step s on s.subject = w.object) select a.value as a, b.value as b from walk join {_NODES} a on a.id = walk.subject join {_NODES} b on b.id = walk.object",
+    ),
+    "graph_reach_from": (
+        "SELECT ?b WHERE { <http://quarry.example/id/none> qy:partOf* ?b }",
+        "select 'http://quarry.example/id/none' as b",
+    ),
+    "graph_semi": ("SELECT ?a ?b WHERE { ?a qy:partOf ?b . ?b qy:hasPart ?a }", f"select a.value as a, b.value as b from {rel('partOf')} r join {rel('hasPart')} k on k.subject = r.object and k.object = r.subject join {_NODES} a on a.id = r.subject join {_NODES} b on b.id = r.object"),
 }
 
 
@@ -191,7 +224,7 @@ def describe_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(engine(spark, sf_dir).query("DESCRIBE n:3").df)
 
 
-def describe_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def construct_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(engine(spark, sf_dir).query("CONSTRUCT { ?s t:s_nationkey ?o } WHERE { ?s t:s_nationkey ?o }").df)
 
 
@@ -235,7 +268,7 @@ def shorten_iri(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     **{name: _select(engine, text) for name, (text, _) in SELECTS.items()},
     **{name: _select(encoded, text) for name, (text, _) in GRAPH_SELECTS.items()},
-    **{f.__name__: f for f in (construct, describe_object, describe_predicate, describe_by_id, describe_object_by_id, describe_predicate_by_id, subject_list, ask, shorten_iri)},
+    **{f.__name__: f for f in (construct, describe_object, construct_predicate, describe_by_id, describe_object_by_id, describe_predicate_by_id, subject_list, ask, shorten_iri)},
 }
 
 
@@ -258,7 +291,7 @@ _CUSTOMER_3 = "(select * from customer where c_nationkey = 3)"
 SQL = {name: sql for name, (_, sql) in {**SELECTS, **GRAPH_SELECTS}.items()} | {
     "construct": f"select {_N} as s, '{NS}inRegion' as p, r_name as o from nation join region on r_regionkey = n_regionkey union select {_N}, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', '{NS}Nation' from nation union select {iri('region', 'n_regionkey')}, '{NS}holds', {_N} from nation",
     "describe_object": f"select {_N} as s, '{NS}n_nationkey' as p, cast(n_nationkey as varchar) as o from nation where n_nationkey = 3 union all select {_N}, '{NS}n_name', n_name from nation where n_nationkey = 3 union all select {_N}, '{NS}n_regionkey', {iri('region', 'n_regionkey')} from nation where n_nationkey = 3 union all select {_C}, '{NS}c_nationkey', '{BASE}nation/3' from customer where c_nationkey = 3 union all select {_S}, '{NS}s_nationkey', '{BASE}nation/3' from supplier where s_nationkey = 3",
-    "describe_predicate": f"select {_S} as s, '{NS}s_nationkey' as p, {iri('nation', 's_nationkey')} as o from supplier",
+    "construct_predicate": f"select {_S} as s, '{NS}s_nationkey' as p, {iri('nation', 's_nationkey')} as o from supplier",
     "describe_by_id": "with " + read("predicates", "iri") + f"select distinct s.value as s, p.term as p, o.value as o from relations r join read_predicates p on p.id = r.predicate join {_NODES} s on s.id = r.subject join {_NODES} o on o.id = r.object where 1010 in (r.subject, r.object)",
     "describe_object_by_id": _described(f"{_MANY_SIDED} in (r.subject, r.object)", f"subject = {_MANY_SIDED}"),
     "describe_predicate_by_id": _described("r.predicate = (select min(predicate) from relations)", "predicate = (select min(predicate) from node_properties where literal_value is not null)"),

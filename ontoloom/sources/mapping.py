@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from ontoloom.sources.triples import check
 from ontoloom.sparql import algebra as A
-from ontoloom.sparql.shapes import Solutions, Template, Typed, column, key_test
+from ontoloom.sparql.shapes import Generic, Solutions, Template, Typed, column, key_test
 
 
 @dataclass
@@ -58,8 +59,8 @@ class MappedSource:
     def __init__(self, maps: list[TableMap]):
         self.maps = maps
 
-    def tables(self, pattern: A.Triple, known: dict[str, Template] | None = None) -> list[tuple[TableMap, str]]:
-        """(map, column) of every way to answer a pattern; ``known``: templates that variables are bound to elsewhere."""
+    def tables(self, pattern: A.Triple, known: dict[str, Template] | None = None, node: bool = False) -> list[tuple[TableMap, str]]:
+        """(map, column) of every way to answer a pattern; ``known``: templates that variables are bound to elsewhere; ``node``: the object is no literal."""
         out = []
         for m in self.maps:
             if A.is_open(pattern.s) and apart((known or {}).get(A.key(pattern.s)), m.subject):
@@ -71,14 +72,61 @@ class MappedSource:
                     continue
                 if c in m.links and isinstance(pattern.o, A.Literal) or c not in m.links and isinstance(pattern.o, A.Iri):
                     continue
+                if c not in m.links and node or c in m.links and A.is_open(pattern.o) and apart((known or {}).get(A.key(pattern.o)), m.shape(c)):
+                    continue
                 if isinstance(pattern.o, A.Iri) and m.shape(c).invert(pattern.o.value) is None:
                     continue
                 out.append((m, c))
         return out
 
-    def scan(self, pattern: A.Triple, known: dict[str, Template] | None = None) -> list[Solutions]:
+    def prepare(self, patterns: list[A.Triple]) -> None:
+        pass
+
+    def scan(self, pattern: A.Triple, node: bool = False, known: dict[str, Template] | None = None, bag: bool = False) -> list[Solutions]:
+        """A branch for each table; a variable predicate reads a table once for all of its columns."""
         check(pattern)
-        return [self._star(m, [(pattern, c)]) for m, c in self.tables(pattern, known)]
+        by_table: dict[int, list[tuple[TableMap, str]]] = {}
+        for m, c in self.tables(pattern, known, node):
+            by_table.setdefault(id(m), []).append((m, c))
+        return [self._spread(own[0][0], pattern, [c for _, c in own]) if len(own) > 1 else self._star(own[0][0], [(pattern, own[0][1])]) for own in by_table.values()]
+
+    def _spread(self, m: TableMap, pattern: A.Triple, names: list[str]) -> Solutions:
+        """One scan whose columns become rows of (predicate, object)."""
+        df = m.load()
+        o = pattern.o
+        cells = []
+        for c in names:
+            shape, value = m.shape(c), F.col(c)
+            here = value.isNotNull()
+            if isinstance(o, A.Literal):
+                here = key_test(value, m.kinds[c], o.value)
+            elif isinstance(o, A.Iri):
+                here = shape.equals([value], o.value)
+            cells.append(F.when(here, F.struct(F.lit(c).alias("p"), shape.term([value]).alias("o"))))
+        if not A.is_open(o):  # a condition that the scan can use
+            df = df.where(reduce(lambda a, b: a | b, [key_test(F.col(c), m.kinds[c], o.value) if isinstance(o, A.Literal) else m.shape(c).equals([F.col(c)], o.value) for c in names]))
+        slots = []
+        if isinstance(pattern.s, A.Iri):
+            for k, text in zip(m.keys, m.subject.invert(pattern.s.value)):
+                df = df.where(key_test(F.col(k), m.kinds[k], text))
+        else:
+            slots.append((pattern.s, [F.col(f"__k{n}") for n in range(len(m.keys))], m.subject))
+        rows = df.select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(m.keys)], F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("__cell"))
+        if isinstance(pattern.p, A.Var):
+            slots.append((pattern.p, [F.col("__cell.p")], Template((m.predicate_base, ""), ("string",))))
+        if A.is_open(o):
+            slots.append((o, [F.col("__cell.o")], Generic()))
+        shapes, columns = {}, []
+        for term, parts, shape in slots:
+            key = A.key(term)
+            if key in shapes:  # one variable in two places: the same term in both
+                first, one = shapes[key]
+                rows = rows.where(one.term(first) == shape.term(parts))
+            else:
+                shapes[key] = parts, shape
+        for key, (parts, _) in shapes.items():
+            columns += [c.alias(column(key, i)) for i, c in enumerate(parts)]
+        return Solutions(rows.select(*columns), {key: shape for key, (_, shape) in shapes.items()})
 
     def star(self, patterns: list[A.Triple]) -> list[tuple[list[A.Triple], Solutions]]:
         """Patterns that can be answered together, each group with its single scan."""

@@ -108,22 +108,42 @@ def text_literal(value: str, lang: str | None) -> A.Literal:
 
 
 def parse_rdfxml(text: str, base: str = "") -> tuple[list[A.Triple], dict[str, str]]:
-    """The triples of a document, and its prefixes; a document that is no XML raises DataError."""
+    """The triples of a document, and its prefixes; a text without any element raises DataError.
+
+    Where the document stops being well-formed it ends: what was closed before counts, with the
+    closed properties of an element that was not.  Elements are read and dropped one by one.
+    """
     prefixes: dict[str, str] = {}
-    root = None
+    reader, top, lang, many = Reader(base), base, None, False
+    open_elements: list[ElementTree.Element] = []
     try:
-        for event, item in ElementTree.iterparse(io.BytesIO(text.lstrip("\ufeff").encode()), events=("start-ns", "start")):
+        for event, item in ElementTree.iterparse(io.BytesIO(text.lstrip("\ufeff").encode()), events=("start-ns", "start", "end")):
             if event == "start-ns":
                 if item[0]:
                     prefixes[item[0]] = item[1]
-            elif root is None:
-                root = item
+                continue
+            if event == "start":
+                open_elements.append(item)
+                if len(open_elements) == 1 and reader.name(item.tag) == RDF + "RDF":
+                    many, top, lang = True, item.get(f"{{{XML}}}base", base), item.get(f"{{{XML}}}lang")
+                continue
+            open_elements.pop()
+            if len(open_elements) == many:
+                reader.node(item, top, lang)
+                if many:
+                    open_elements[0].remove(item)
     except ElementTree.ParseError as fault:
-        raise DataError(f"not well-formed XML: {fault}") from fault
-    reader = Reader(base)
-    top, lang = root.get(f"{{{XML}}}base", base), root.get(f"{{{XML}}}lang")
-    for e in root if reader.name(root.tag) == RDF + "RDF" else [root]:
-        reader.node(e, top, lang)
+        if not open_elements:
+            if reader.out or prefixes:
+                log.warning("stopped where a document is not well-formed: %s", fault)
+                return reader.out, prefixes
+            raise DataError(f"not well-formed XML: {fault}") from fault
+        log.warning("stopped where a document is not well-formed: %s", fault)
+        if len(open_elements) > many:
+            begun = open_elements[many]
+            if len(open_elements) > many + 1:
+                begun.remove(open_elements[many + 1])
+            reader.node(begun, top, lang)
     return reader.out, prefixes
 
 

@@ -1,7 +1,12 @@
-"""Parsed triples as rows, and files of documents as rows, one file per task at a time."""
+"""Parsed triples as rows, and files of documents as rows.
+
+Turtle and RDF/XML files are parsed whole, each once.  N-Triples are lines: large files are split
+between tasks, and lines without escapes are taken apart natively.
+"""
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 
@@ -14,7 +19,10 @@ from ontoloom.sources.rdfxml import parse_rdfxml
 from ontoloom.sources.turtle import parse_turtle
 from ontoloom.sparql import algebra as A
 
-#: o_kind is iri, blank, literal or triple (o: the text of the quoted triple).  Rows that are not asserted describe quoted triples.
+log = logging.getLogger(__name__)
+
+#: o_kind is iri, blank, literal or triple (o: the text of the quoted triple).  Rows that are not asserted describe
+#: quoted triples.  A row of s_kind prefix declares one (p) for a namespace (o).
 COLUMNS = ["s_kind", "s", "p", "o_kind", "o", "datatype", "lang"]
 STATEMENT = ", ".join(f"{c} string" for c in COLUMNS) + ", asserted boolean"
 PARSERS: dict[str, Callable] = {"turtle": parse_turtle, "rdfxml": parse_rdfxml}
@@ -57,40 +65,93 @@ def rows(triples: Iterable[A.Triple], asserted: bool = True) -> Iterator[tuple]:
         yield (*s, t.p.value, *o, asserted)
 
 
-def from_text(spark: SparkSession, text: str, form: str) -> tuple[DataFrame, dict[str, str]]:
+def from_text(spark: SparkSession, text: str, form: str) -> DataFrame:
     """Statements and prefixes of one document."""
-    triples, prefixes = PARSERS[form](text)
     scope = f"d{blake2b(text.encode(), digest_size=8).hexdigest()}_"
-    return spark.createDataFrame([r for r in rows(scoped(t, scope) for t in triples)], STATEMENT), prefixes
+    if form == "ntriples":
+        return from_lines(spark.createDataFrame([(scope, line) for line in text.splitlines()], "scope string, value string"))
+    return spark.createDataFrame(list(_document(text, form, scope)), STATEMENT)
+
+
+def _document(text: str, form: str, scope: str) -> Iterator[tuple]:
+    triples, prefixes = PARSERS[form](text)
+    yield from rows(scoped(t, scope) for t in triples)
+    for prefix, namespace in prefixes.items():
+        yield ("prefix", None, prefix, "prefix", namespace, None, None, None)
+
+
+def _batch(found: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*found)) if found else [()] * (len(COLUMNS) + 1)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:-1]] + [pa.array(columns[-1], pa.bool_())], names=[*COLUMNS, "asserted"])
 
 
 def parse_batches(texts: DataFrame, form: str) -> DataFrame:
-    """Statements of documents (scope, value); blank labels carry the scope."""
-    parse = PARSERS[form]
+    """Statements and prefixes of documents (scope, value); blank labels carry the scope.
+
+    A document that cannot be parsed at all is logged and has no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for scope, text in zip(batch.column("scope").to_pylist(), batch.column("value").to_pylist()):
-                found = list(rows(scoped(t, f"f{scope}_") for t in parse(text)[0]))
-                columns = list(zip(*found)) if found else [()] * (len(COLUMNS) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:-1]] + [pa.array(columns[-1], pa.bool_())], names=[*COLUMNS, "asserted"])
+                try:
+                    found = list(_document(text, form, f"f{scope}_"))
+                except DataError as fault:
+                    log.warning("skipped a document: %s", fault)
+                    continue
+                yield _batch(found)
 
     return texts.mapInArrow(run, STATEMENT)
 
 
-def from_files(spark: SparkSession, path: str, form: str) -> tuple[DataFrame, dict[str, str]]:
-    """Statements of the documents under ``path``, parsed in parallel; prefixes of all of them.
+def from_files(spark: SparkSession, path: str, form: str) -> DataFrame:
+    """Statements and prefixes of the documents under ``path``, parsed in parallel."""
+    if form == "ntriples":
+        return from_lines(spark.read.text(path).select(F.concat(F.lit("f"), F.hex(F.xxhash64(F.input_file_name())), F.lit("_")).alias("scope"), "value"))
+    return parse_batches(spark.read.text(path, wholetext=True).select(F.hex(F.xxhash64(F.input_file_name())).alias("scope"), "value"), form)
+
+
+_IRI = r"<([^\x00-\x20<>\"{}|^`\\]*+)>"
+_LABEL = r"_:([\p{L}\p{N}_](?:[\p{L}\p{N}_.·-]*[\p{L}\p{N}_·-])?)"
+#: Fixed value: a line of N-Triples without escapes; the object's groups are IRI, label, quoted text, language tag and datatype.
+LINE = rf'\A\s*(?:{_IRI}|{_LABEL})\s*{_IRI}\s*(?:{_IRI}|{_LABEL}|("[^"\\\n\r]*+")(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^{_IRI})?)\s*\.\s*(?:#.*)?\z'
 
-    A document that cannot be parsed at all raises DataError.  The last namespace (by text) of a prefix counts.
+
+def from_lines(lines: DataFrame) -> DataFrame:
+    """Statements of N-Triples lines (scope, value).
+
+    Lines with escapes or quoted triples go through the Turtle parser in Arrow batches, which logs and skips
+    what is no statement.
     """
-    parse = PARSERS[form]
-    texts = spark.read.text(path, wholetext=True).select(F.hex(F.xxhash64(F.input_file_name())).alias("scope"), "value")
+    text = F.coalesce("value", F.lit(""))
+    plain = text.rlike(LINE)
+    mark = "\x01"  # no line that matches can hold it outside a literal, and the literal comes last
+    parts = F.split(F.regexp_replace("value", LINE, mark.join(f"${n}" for n in (1, 2, 3, 4, 5, 7, 8, 6))), mark, 8)
+    got = lines.where(plain).select("scope", parts.alias("g"))
+
+    def part(n: int):
+        return F.nullif(F.get("g", n), F.lit(""))
+
+    quoted, tag, datatype = part(7), part(5), part(6)
+    s = F.coalesce(part(0), F.concat("scope", part(1)))
+    literal = F.substr(quoted, F.lit(2), F.length(quoted) - 2)
+    native = got.select(
+        F.when(part(1).isNotNull(), "blank").otherwise("iri").alias("s_kind"),
+        F.coalesce(s, F.lit("")).alias("s"),
+        F.coalesce(part(2), F.lit("")).alias("p"),
+        F.when(quoted.isNotNull(), "literal").when(part(4).isNotNull(), "blank").otherwise("iri").alias("o_kind"),
+        F.when(quoted.isNotNull(), literal).when(part(4).isNotNull(), F.concat("scope", part(4))).otherwise(F.coalesce(part(3), F.lit(""))).alias("o"),
+        F.when(quoted.isNotNull(), F.when(tag.isNotNull(), A.RDF + "langString").otherwise(F.coalesce(datatype, F.lit(A.XSD + "string")))).alias("datatype"),
+        tag.alias("lang"),
+        F.lit(True).alias("asserted"),
+    )
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column("value").to_pylist():
-                found = list(parse(text)[1].items())
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["prefix", "namespace"])
+            found = []
+            for scope, line in zip(batch.column("scope").to_pylist(), batch.column("value").to_pylist()):
+                found += rows(scoped(t, scope) for t in parse_turtle(line)[0])
+            yield _batch(found)
 
-    prefixes = texts.mapInArrow(heads, "prefix string, namespace string").groupBy("prefix").agg(F.max("namespace").alias("namespace"))
-    return parse_batches(texts, form), {r.prefix: r.namespace for r in prefixes.toLocalIterator()}
+    rest = lines.where(~plain & ~text.rlike(r"\A\s*(?:#.*)?\z"))
+    return native.unionByName(rest.mapInArrow(run, STATEMENT))

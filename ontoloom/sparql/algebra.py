@@ -58,11 +58,35 @@ class Call:
     args: tuple
 
 
+@dataclass(frozen=True)
+class Path:
+    """A property path: 'seq' and 'alt' of parts, 'inv', 'opt', 'plus' and 'star' of one, 'not' of IRIs and inverses of IRIs."""
+
+    kind: str
+    parts: tuple
+
+
 @dataclass
 class Bgp:
     patterns: list[Triple]
 
 
+@dataclass
+class Closure:
+    """Distinct pairs of terms linked by one or more steps of ``step``, a pattern from ``a`` to ``b``.
+
+    ``zero``: a term is linked to itself too; ``once``: at most one step is taken.
+    """
+
+    s: object
+    o: object
+    step: object
+    a: Var
+    b: Var
+    zero: bool
+    once: bool = False
+
+
 @dataclass
 class Filter:
     expr: object

@@ -168,10 +168,13 @@ def choose(cases: list[tuple[Column | None, Value]]) -> Value:
 
 
 class Compiler:
-    """Expressions over the variables that ``lookup`` knows (name -> value, or None if never bound)."""
+    """Expressions over the variables that ``lookup`` knows (name -> value, or None if never bound).
 
-    def __init__(self, lookup: Callable[[str], Value | None], strict: bool = False):
-        self.lookup, self.strict = lookup, strict
+    ``exists`` answers the pattern of an EXISTS.
+    """
+
+    def __init__(self, lookup: Callable[[str], Value | None], strict: bool = False, exists: Callable[[object], Column] | None = None):
+        self.lookup, self.strict, self.exists = lookup, strict, exists
 
     def condition(self, expr) -> Column:
         """Does a row pass?  Only what is exactly true does."""
@@ -191,7 +194,9 @@ class Compiler:
         if name in ("LANG", "DATATYPE", "ISBLANK") or name in ("ISIRI", "ISLITERAL", "ISNUMERIC"):
             return self.about(name, args)
         if name == "EXISTS":
-            raise SparqlError("EXISTS is supported as a filter or a part of its conjunction only")
+            if self.exists is None:
+                raise SparqlError("EXISTS is supported in FILTER and BIND only")
+            return boolean(self.exists(args[0]))
         v = [self.compile(a) for a in args]
         if name in ("&&", "||", "!"):
             return boolean(self.logic(name, v))

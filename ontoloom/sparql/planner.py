@@ -3,11 +3,13 @@
 A basic graph pattern becomes units: the patterns of one subject over one mapped table together,
 every other pattern alone.  Units are joined greedily, those with most constants first and
 never by a cross product while a connected one is left; a unit without new variables is a
-semi-join.  Physical strategies are left to Catalyst and adaptive execution.
+semi-join.  Variables that can be unbound join by compatibility, split into equi-joins (see
+``joins``).  Physical strategies are left to Catalyst and adaptive execution.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,7 +21,10 @@ from ontoloom.functions import terms
 from ontoloom.functions.terms import TERM, Value
 from ontoloom.sources.mapping import MappedSource
 from ontoloom.sparql import algebra as A
+from ontoloom.sparql.correlation import exists_in, lifted, replaced, scope
 from ontoloom.sparql.expressions import Compiler
+from ontoloom.sparql.joins import alike, join, minus, union
+from ontoloom.sparql.paths import closure
 from ontoloom.sparql.shapes import Generic, Solutions, Template, Typed, column
 
 
@@ -27,6 +32,8 @@ from ontoloom.sparql.shapes import Generic, Solutions, Template, Typed, column
 class Unit:
     patterns: list[A.Triple]
     solutions: Solutions
+    #: The same with repeated rows, where these cost less and do not matter.
+    bag: Solutions | None = None
 
     @property
     def constants(self) -> int:
@@ -40,6 +47,7 @@ class Unit:
 class Planner:
     def __init__(self, spark: SparkSession, sources: list, strict: bool = False):
         self.spark, self.sources, self.strict = spark, sources, strict
+        self.fresh = itertools.count()
 
     def plan(self, node) -> Solutions:
         return getattr(self, "_" + type(node).__name__.lower())(node)
@@ -60,7 +68,7 @@ class Planner:
             if not unit.keys:
                 done = self._exists(done, unit)
             elif unit.keys <= bound:
-                done = join(done, unit.solutions, "left_semi")
+                done = join(done, unit.bag or unit.solutions, "left_semi")
             else:
                 done = join(done, unit.solutions)
         return done
@@ -73,10 +81,16 @@ class Planner:
             units = [Unit(own, solutions) for own, solutions in merged]
         taken = {id(p) for u in units for p in u.patterns}
         known = {k: s for u in units for k, s in u.solutions.shapes.items() if isinstance(s, Template)}
+        subjects = {A.key(p.s) for p in patterns if A.is_open(p.s)}
+        for source in self.sources:
+            source.prepare(patterns)
         for p in patterns:
             if id(p) not in taken:
-                branches = self.sources[0].scan(p, known) if mapped else [b for s in self.sources for b in s.scan(p)]
-                units.append(Unit([p], self._union_all(branches, [A.key(t) for t in (p.s, p.p, p.o) if A.is_open(t)])))
+                keys = [A.key(t) for t in (p.s, p.p, p.o) if A.is_open(t)]
+                # what is a subject elsewhere is no literal here
+                node = A.is_open(p.o) and A.key(p.o) in subjects
+                whole, bags = zip(*([s.scan(p, node, known), s.scan(p, node, known, bag=True)] for s in self.sources)) if self.sources else ((), ())
+                units.append(Unit([p], *(self._union_all([b for branches in side for b in branches], keys) for side in (whole, bags))))
         return units
 
     def _union_all(self, branches: list[Solutions], keys: list[str]) -> Solutions:
@@ -91,37 +105,62 @@ class Planner:
     def _exists(done: Solutions, unit: Unit) -> Solutions:
         """A pattern without variables keeps all rows or none; its side is at most one row."""
         one = unit.solutions.df.limit(1).select(F.lit(1).alias("__one"))
-        return Solutions(done.df.crossJoin(F.broadcast(one)).drop("__one"), done.shapes)
+        return done.with_df(done.df.crossJoin(F.broadcast(one)).drop("__one"))
 
     def _join(self, node: A.Join) -> Solutions:
-        return join(self.plan(node.left), self.plan(node.right))
+        left = self.plan(node.left)
+        return join(left, self._closure(node.right, left) if isinstance(node.right, A.Closure) else self.plan(node.right))
+
+    def _closure(self, node: A.Closure, near: Solutions | None = None) -> Solutions:
+        """``near``: solutions that the pairs are joined with, whose terms are all that can be linked to themselves."""
+        a, b = A.key(node.a), A.key(node.b)
+        nodes = None
+        if node.zero and A.is_open(node.s) and A.is_open(node.o):
+            bound = [A.key(t) for t in (node.s, node.o) if near is not None and A.key(t) in near.shapes and A.key(t) not in near.maybe]
+            if bound:
+                nodes = near.only(bound[:1]).renamed_to({bound[0]: "v_node"})
+            else:
+                s, p, o = (A.Var(f"__any{n}") for n in range(3))
+                every = self._bgp(A.Bgp([A.Triple(s, p, o)]))
+                nodes = union(*(every.only([A.key(t)]).renamed_to({A.key(t): "v_node"}) for t in (s, o)))
+        return closure(self.spark, self.plan(node.step).only([a, b]).renamed_to({a: "v_from", b: "v_to"}), node, nodes)
 
     def _leftjoin(self, node: A.LeftJoin) -> Solutions:
         left, right = self.plan(node.left), self.plan(node.right)
         if node.expr is None:
             return join(left, right, "left")
-        shared = [k for k in left.shapes if k in right.shapes]
-        left, right = alike(left, right, shared)
-        used = [A.key(A.Var(v)) for v in A.expr_vars(node.expr)]
-        left, right = left.decoded(used), right.decoded([k for k in used if k not in left.shapes])
-        names = right.columns(shared)
-        other = right.df.withColumnsRenamed({c: f"__{c}" for c in names})
-        both = Solutions(left.df, {**right.shapes, **left.shapes})
-        test = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{c}") for c in names], self._test(both, node.expr))
-        return Solutions(left.df.join(other, test, "left").drop(*[f"__{c}" for c in names]), both.shapes)
+        parts = conjuncts(node.expr)
+        own = [p for p in parts if exists_in(p)]
+        if own:  # a subquery is no join condition, but one about the optional part alone is a filter of it
+            if {A.key(A.Var(v)) for p in own for v in scope(p)} & set(left.shapes) - set(right.shapes):
+                raise SparqlError("EXISTS in OPTIONAL can only use variables of the optional part")
+            right = self._where(right, own)
+            parts = [p for p in parts if not exists_in(p)]
+        return self._conditional(left, right, parts, "left")
+
+    def _conditional(self, left: Solutions, right: Solutions, parts: list, how: str) -> Solutions:
+        """A join whose rows must also pass these conditions over the variables of both sides."""
+        used = [A.key(A.Var(v)) for p in parts for v in A.expr_vars(p)]
+        left, right = left.decoded(used), right.decoded([k for k in used if k not in left.shapes or k in left.maybe])
+
+        def test(value) -> Column:
+            compiler = Compiler(lambda name: value(A.key(A.Var(name))), self.strict)
+            return reduce(lambda a, b: a & b, [truth(compiler.compile(p)) for p in parts])
+
+        return join(left, right, how, test if parts else None)
 
     def _union(self, node: A.Union) -> Solutions:
         return union(self.plan(node.left), self.plan(node.right))
 
     def _minus(self, node: A.Minus) -> Solutions:
-        left, right = self.plan(node.left), self.plan(node.right)
-        return join(left, right, "left_anti") if set(left.shapes) & set(right.shapes) else left
+        return minus(self.plan(node.left), self.plan(node.right))
 
     def _values(self, node: A.Values) -> Solutions:
         keys = [A.key(A.Var(v)) for v in node.vars]
         rows = [tuple(None if t is None else _row(t) for t in row) for row in node.rows]
         df = self.spark.createDataFrame(rows, ", ".join(f"`{column(k, 0)}` {TERM.simpleString()}" for k in keys))
-        return Solutions(df, {k: Generic() for k in keys})
+        maybe = frozenset(k for n, k in enumerate(keys) if any(row[n] is None for row in rows))
+        return Solutions(df, {k: Generic() for k in keys}, maybe)
 
     # expressions
     def _filter(self, node: A.Filter) -> Solutions:
@@ -131,24 +170,71 @@ class Planner:
         for part in parts:
             negative = isinstance(part, A.Call) and part.name == "!" and isinstance(part.args[0], A.Call) and part.args[0].name == "EXISTS"
             if negative or isinstance(part, A.Call) and part.name == "EXISTS":
-                inner = self.plan((part.args[0] if negative else part).args[0])
-                if set(inner.shapes) & set(done.shapes):
-                    done = join(done, inner, "left_anti" if negative else "left_semi")
-                else:
-                    one = inner.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("__some"))
-                    done = Solutions(done.df.crossJoin(F.broadcast(one)).where(F.col("__some") != F.lit(negative)).drop("__some"), done.shapes)
-            else:
-                done = done.decoded([A.key(A.Var(v)) for v in A.expr_vars(part)])
-                done = Solutions(done.df.where(self._test(done, part)), done.shapes)
+                branches = self._branches((part.args[0] if negative else part).args[0], done)
+                if negative or len(branches) == 1:
+                    for inner, conditions in branches:
+                        done = self._subquery(done, inner, conditions, negative)
+                    continue
+            done, compiler, extra = self._ready(done, part)
+            done = done.with_df(done.df.where(truth(compiler.compile(part))).drop(*extra))
+            if isinstance(part, A.Call) and part.name == "BOUND":
+                done = Solutions(done.df, done.shapes, done.maybe - {A.key(part.args[0])})
         return done
 
-    def _compiler(self, done: Solutions) -> Compiler:
-        return Compiler(lambda name: done.value(A.key(A.Var(name))), self.strict)
-
-    def _test(self, done: Solutions, expr) -> Column:
-        value = self._compiler(done).compile(expr)
-        # a null condition drops the row as false does, and the bare comparison can reach the scan
-        return value.slot("b") if value.tag == "b" else value.truth()
+    def _branches(self, pattern, done: Solutions) -> list[tuple[Solutions, list]]:
+        """The alternatives of an EXISTS pattern, each with the conditions that use variables of ``done``."""
+        outer = {k[2:] for k in done.shapes if k.startswith("v_")}
+        return [(self.plan(p), conditions) for p, conditions in lifted(pattern, outer)]
+
+    def _subquery(self, done: Solutions, inner: Solutions, conditions: list, negative: bool) -> Solutions:
+        if conditions or set(inner.shapes) & set(done.shapes):
+            return self._conditional(done, inner, conditions, "left_anti" if negative else "left_semi")
+        one = inner.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("__some"))
+        return done.with_df(done.df.crossJoin(F.broadcast(one)).where(F.col("__some") != F.lit(negative)).drop("__some"))
+
+    def _ready(self, done: Solutions, expr) -> tuple[Solutions, Compiler, list[str]]:
+        """``done`` with all that an expression reads, its compiler, and columns that are of no use after it."""
+        found: dict[int, list] = {}
+        for call in exists_in(expr):
+            branches = []
+            for inner, conditions in self._branches(call.args[0], done):
+                used = [A.key(A.Var(v)) for p in conditions for v in A.expr_vars(p)]
+                done, inner = alike(done.decoded(used), inner.decoded(used), [k for k in inner.shapes if k in done.shapes])
+                branches.append((inner, conditions))
+            found[id(call.args[0])] = branches
+        done = done.decoded([A.key(A.Var(v)) for v in A.expr_vars(expr)])
+        for branches in found.values():  # a later pattern may have changed how a variable is held
+            branches[:] = [(alike(done, inner, [k for k in inner.shapes if k in done.shapes])[1], conditions) for inner, conditions in branches]
+
+        # outer references go by names that no part of a subquery has
+        outer = {c: f"__out{next(self.fresh)}_{c}" for c in done.df.columns} if found else {}
+        if outer:
+            done = done.with_df(done.df.select("*", *[F.col(c).alias(name) for c, name in outer.items()]))
+
+        def exists(pattern) -> Column:
+            return reduce(lambda a, b: a | b, [self._exists_column(done, inner, conditions, outer) for inner, conditions in found[id(pattern)]])
+
+        return done, Compiler(lambda name: done.value(A.key(A.Var(name))), self.strict, exists), list(outer.values())
+
+    def _exists_column(self, done: Solutions, inner: Solutions, conditions: list, outer: dict[str, str]) -> Column:
+        """Has ``inner`` a row that goes with the row of ``done``?  A correlated subquery, which Catalyst makes a join."""
+
+        def of_row(k: str) -> list[Column]:
+            return [F.col(outer[c]).outer() for c in done.columns([k])]
+
+        def value(name: str) -> Value | None:
+            k = A.key(A.Var(name))
+            return inner.value(k) or (done.shapes[k].value(of_row(k)) if k in done.shapes else None)
+
+        tests = []
+        for k in (k for k in inner.shapes if k in done.shapes):
+            same = reduce(lambda a, b: a & b, [x == y for x, y in zip(inner.parts(k), of_row(k))])
+            if k in inner.maybe | done.maybe:
+                same = same | inner.parts(k)[0].isNull() | of_row(k)[0].isNull()
+            tests.append(same)
+        compiler = Compiler(value, self.strict)
+        tests += [truth(compiler.compile(p)) for p in conditions]
+        return (inner.df.where(reduce(lambda a, b: a & b, tests)) if tests else inner.df.limit(1)).exists()
 
     def _extend(self, node: A.Extend) -> Solutions:
         done = self.plan(node.inner)
@@ -158,12 +244,24 @@ class Planner:
         if isinstance(node.expr, A.Var):
             source = A.key(node.expr)
             if source not in done.shapes:
-                return Solutions(done.df.withColumn(column(key, 0), F.lit(None).cast(TERM)), {**done.shapes, key: Generic()})
+                return Solutions(done.df.withColumn(column(key, 0), F.lit(None).cast(TERM)), {**done.shapes, key: Generic()}, done.maybe | {key})
             copies = {column(key, i): c for i, c in enumerate(done.parts(source))}
-            return Solutions(done.df.withColumns(copies), {**done.shapes, key: done.shapes[source]})
-        done = done.decoded([A.key(A.Var(v)) for v in A.expr_vars(node.expr)])
-        c, shape = typed(self._compiler(done).compile(node.expr))
-        return Solutions(done.df.withColumn(column(key, 0), c), {**done.shapes, key: shape})
+            return Solutions(done.df.withColumns(copies), {**done.shapes, key: done.shapes[source]}, done.maybe | ({key} if source in done.maybe else set()))
+        return self._bound(done, key, node.expr)
+
+    def _bound(self, done: Solutions, key: str, expr) -> Solutions:
+        """``done`` with a variable for the value of an expression."""
+        calls = exists_in(expr)
+        if calls:  # a subquery cannot be a column, so the rows that have a match and those that have none go apart
+            parts = [(yes, self._where(done, [calls[0] if yes else A.Call("!", (calls[0],))])) for yes in (True, False)]
+            return union(*(self._bound(part, key, replaced(expr, calls[0], A.Literal(str(yes).lower(), A.XSD + "boolean"))) for yes, part in parts))
+        done = done.decoded([A.key(A.Var(v)) for v in A.expr_vars(expr)])
+        c, shape = typed(self._compiler(done).compile(expr))
+        certain = isinstance(expr, (A.Iri, A.Literal))
+        return Solutions(done.df.withColumn(column(key, 0), c), {**done.shapes, key: shape}, done.maybe | (set() if certain else {key}))
+
+    def _compiler(self, done: Solutions) -> Compiler:
+        return Compiler(lambda name: done.value(A.key(A.Var(name))), self.strict)
 
     def _group(self, node: A.Group) -> Solutions:
         done = self.plan(node.inner)
@@ -176,7 +274,8 @@ class Planner:
             shapes[A.key(A.Var(name))] = shape
             aggregates.append(c.alias(column(A.key(A.Var(name)), 0)))
         grouped = done.df.groupBy(*done.columns(keys))
-        return Solutions(grouped.agg(*aggregates) if aggregates else grouped.agg(F.count(F.lit(1)).alias("__n")).drop("__n"), shapes)
+        maybe = (done.maybe & set(keys)) | {A.key(A.Var(name)) for name, a in node.aggregates if a.name in ("MIN", "MAX", "SAMPLE")}
+        return Solutions(grouped.agg(*aggregates) if aggregates else grouped.agg(F.count(F.lit(1)).alias("__n")).drop("__n"), shapes, maybe)
 
     def _aggregate(self, done: Solutions, a: A.Aggregate) -> tuple[Column, object]:
         if a.arg is None:
@@ -216,7 +315,7 @@ class Planner:
 
     def _distinct(self, node: A.Distinct) -> Solutions:
         done = self.plan(node.inner)
-        return Solutions(done.df.distinct(), done.shapes)
+        return done.with_df(done.df.distinct())
 
     def _orderby(self, node: A.OrderBy) -> Solutions:
         done = self.plan(node.inner)
@@ -231,12 +330,12 @@ class Planner:
                 rank = F.when(v.tag.isNull(), 0).when(v.tag == "k", 1).when(v.tag == "i", 2).otherwise(3)
                 parts = [rank, F.when(v.tag == "n", v.slot("n")), F.when(v.tag == "b", v.slot("b")), v.slot("s")]
             keys += [p.asc_nulls_first() if up else p.desc_nulls_last() for p in parts]
-        return Solutions(done.df.orderBy(*keys), done.shapes)
+        return done.with_df(done.df.orderBy(*keys))
 
     def _slice(self, node: A.Slice) -> Solutions:
         done = self.plan(node.inner)
         df = done.df.offset(node.offset) if node.offset else done.df
-        return Solutions(df if node.limit is None else df.limit(node.limit), done.shapes)
+        return done.with_df(df if node.limit is None else df.limit(node.limit))
 
     # graphs
     def construct(self, template: list[A.Triple], pattern) -> DataFrame:
@@ -252,7 +351,7 @@ class Planner:
             names = done.df.columns
             hashed = done.df.withColumn("__hash", F.xxhash64(*[F.col(c) for c in names]) if names else F.lit(0))
             numbered = hashed.withColumn("__n", F.row_number().over(Window.partitionBy("__hash").orderBy("__hash")))
-            done = Solutions(numbered, done.shapes)
+            done = done.with_df(numbered)
             row = F.concat(F.lit("b"), F.hex("__hash"), F.lit("_"), F.col("__n").cast("string"), F.lit("_"))
         out = []
         for triple in template:
@@ -282,6 +381,11 @@ def conjuncts(expr) -> list:
     return [c for a in expr.args for c in conjuncts(a)] if isinstance(expr, A.Call) and expr.name == "&&" else [expr]
 
 
+def truth(value: Value) -> Column:
+    """A condition; a null one drops the row as false does, and the bare comparison can reach the scan."""
+    return value.slot("b") if value.tag == "b" else value.truth()
+
+
 def typed(value: Value) -> tuple[Column, object]:
     """A computed value as a column and its shape."""
     if isinstance(value.tag, str) and value.tag in "bns":
@@ -292,32 +396,3 @@ def typed(value: Value) -> tuple[Column, object]:
         return value.term, Generic()
     parts = {"b": terms.make("literal", value.slot("b").cast("string"), F.lit(A.XSD + "boolean")), "n": terms.make("literal", terms.number_text(value.slot("n")), F.lit(A.XSD + "double")), "s": terms.make("literal", value.slot("s"), F.lit(A.XSD + "string")), "i": terms.make("iri", value.slot("s"))}
     return F.coalesce(*[F.when(value.tags() == t, c) for t, c in parts.items()]), Generic()
-
-
-def alike(a: Solutions, b: Solutions, keys) -> tuple[Solutions, Solutions]:
-    """Both sides with the same shape for each of these variables."""
-    different = [k for k in keys if a.shapes[k] != b.shapes[k]]
-    return a.generic(different), b.generic(different)
-
-
-def join(a: Solutions, b: Solutions, how: str = "inner") -> Solutions:
-    shared = [k for k in a.shapes if k in b.shapes]
-    if not shared:
-        return Solutions(a.df.crossJoin(b.df) if how == "inner" else a.df.join(b.df, F.lit(True), how), {**a.shapes, **b.shapes} if how in ("inner", "left") else a.shapes)
-    a, b = alike(a, b, shared)
-    if how in ("left_semi", "left_anti"):
-        return Solutions(a.df.join(b.only(shared).df, a.columns(shared), how), a.shapes)
-    return Solutions(a.df.join(b.df, a.columns(shared), how), {**b.shapes, **a.shapes})
-
-
-def union(a: Solutions, b: Solutions) -> Solutions:
-    """A bag union; a variable that one side lacks is unbound there."""
-    a, b = alike(a, b, [k for k in a.shapes if k in b.shapes])
-    shapes = {**a.shapes, **b.shapes}
-    sides = []
-    for own in (a, b):
-        other = b if own is a else a
-        kinds = dict(other.df.dtypes)
-        missing = [c for k in shapes if k not in own.shapes for c in other.columns([k])]
-        sides.append(own.df.select(*own.columns(own.shapes), *[F.lit(None).cast(kinds[c]).alias(c) for c in missing]))
-    return Solutions(sides[0].unionByName(sides[1]), shapes)

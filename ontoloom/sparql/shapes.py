@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import reduce
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,22 @@ def lexical(c: Column, kind: str) -> Column:
     return terms.number_text(c) if kind in ("double", "float") else c.cast("string")
 
 
+def escaped(c: Column, kind: str) -> Column:
+    """The text of a key as a segment of an IRI: what is not a letter, digit or one of ``-_.*`` of a string is percent-encoded."""
+    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")) if kind == "string" else lexical(c, kind)
+
+
+def unescaped(text: str, kind: str) -> str | None:
+    """The key of a segment, or None if ``escaped`` makes no such segment."""
+    if kind != "string":
+        return text
+    try:
+        key = unquote(text, errors="strict")
+    except UnicodeDecodeError:
+        return None
+    return key if quote(key, safe="*").replace("~", "%7E") == text else None
+
+
 def key_test(c: Column, kind: str, text: str) -> Column:
     """Is the column's text exactly this?  The native comparison comes first, as scans can use it."""
     if kind == "string":
@@ -67,7 +84,7 @@ class Template:
     def native(self, parts: list[Column]) -> Column:
         pieces: list[Column] = []
         for segment, part, kind in zip(self.segments, parts, self.kinds):
-            pieces += [F.lit(segment), lexical(part, kind)]
+            pieces += [F.lit(segment), escaped(part, kind)]
         return F.concat(*pieces, F.lit(self.segments[-1]))
 
     def term(self, parts: list[Column]) -> Column:
@@ -78,8 +95,9 @@ class Template:
 
     def invert(self, iri: str) -> list[str] | None:
         """The key texts of an IRI, or None if it is not of the template."""
-        m = re.fullmatch("([^/]+)".join(map(re.escape, self.segments)), iri)
-        return list(m.groups()) if m else None
+        m = re.fullmatch("([^/]*)".join(map(re.escape, self.segments)), iri)
+        keys = [unescaped(text, kind) for text, kind in zip(m.groups(), self.kinds)] if m else [None]
+        return None if None in keys else keys
 
     def equals(self, parts: list[Column], iri: str) -> Column:
         """Is the IRI made from these keys?  Null if a key is."""
@@ -130,10 +148,17 @@ def column(key: str, i: int) -> str:
 
 @dataclass
 class Solutions:
-    """A bag of solutions: a DataFrame, and the shape of each variable or blank node in it."""
+    """A bag of solutions: a DataFrame, and the shape of each variable or blank node in it.
+
+    ``maybe`` names those that can be unbound (null) in a row; all others are bound in every row.
+    """
 
     df: DataFrame
     shapes: dict[str, object]
+    maybe: frozenset[str] = frozenset()
+
+    def with_df(self, df: DataFrame) -> Solutions:
+        return Solutions(df, self.shapes, self.maybe)
 
     def parts(self, key: str) -> list[Column]:
         return [F.col(column(key, i)) for i in range(self.shapes[key].width)]
@@ -143,7 +168,7 @@ class Solutions:
 
     def only(self, keys) -> Solutions:
         keys = [k for k in keys if k in self.shapes]
-        return Solutions(self.df.select(*self.columns(keys)), {k: self.shapes[k] for k in keys})
+        return Solutions(self.df.select(*self.columns(keys)), {k: self.shapes[k] for k in keys}, self.maybe & set(keys))
 
     def generic(self, keys) -> Solutions:
         """With these variables as term structs."""
@@ -159,12 +184,23 @@ class Solutions:
                 term = shape.term(self.parts(key))
                 df = df.withColumn("__term", term).drop(*self.columns([key])).withColumnRenamed("__term", column(key, 0))
             shapes[key] = Generic()
-        return Solutions(df, shapes)
+        return Solutions(df, shapes, self.maybe)
 
     def decoded(self, keys) -> Solutions:
         """With the dictionary ids among these variables as term structs."""
         return self.generic([k for k in keys if isinstance(self.shapes.get(k), Node)])
 
+    def renamed(self, keys, prefix: str) -> Solutions:
+        """With a prefix before the columns of these variables, which are then known by the prefixed names."""
+        shapes = {(prefix + k if k in keys else k): s for k, s in self.shapes.items()}
+        df = self.df.withColumnsRenamed({c: prefix + c for c in self.columns([k for k in self.shapes if k in keys])})
+        return Solutions(df, shapes, frozenset(prefix + k if k in keys else k for k in self.maybe))
+
+    def renamed_to(self, names: dict[str, str]) -> Solutions:
+        """With other names for some variables."""
+        renamed = {column(old, i): column(new, i) for old, new in names.items() for i in range(self.shapes[old].width)}
+        return Solutions(self.df.withColumnsRenamed(renamed), {names.get(k, k): s for k, s in self.shapes.items()}, frozenset(names.get(k, k) for k in self.maybe))
+
     def value(self, key: str) -> Value | None:
         return self.shapes[key].value(self.parts(key)) if key in self.shapes else None
 

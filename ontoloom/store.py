@@ -94,10 +94,14 @@ class TripleStore(Engine):
     """Triples under ``path``, or in the session's shared scratch folder if there is none.
 
     Inserts have set semantics and are appended with an anti-join against what is stored.  Tables
-    are spread over folders by predicate, so a constant predicate reads one of them.  One writer
-    at a time.  ``assert_quoted``: quoting a triple also asserts it.
+    are spread over folders by predicate, so a constant predicate reads one of them; a folder's rows
+    are written by as many tasks as their size asks for.  ``compact`` merges the files of many
+    inserts.  One writer at a time.  ``assert_quoted``: quoting a triple also asserts it.
     """
 
+    #: Most prefixes that a store registers; they are held by the driver.
+    MOST_PREFIXES = 10_000
+
     def __init__(self, spark: SparkSession, path: str | None = None, strict: bool = False, assert_quoted: bool = False):
         super().__init__(spark, [], strict=strict)
         self.path, self.assert_quoted = (path or Scratch(spark, "store").root).rstrip("/"), assert_quoted
@@ -116,10 +120,29 @@ class TripleStore(Engine):
 
     # tables
     def migrate(self) -> None:
-        """Make the folders of tables that do not exist yet."""
+        """Make the folders of tables that do not exist yet, and end a ``compact`` that was cut off."""
         for name in TABLES:
+            old, new = self._hadoop(f"{name}.old"), self._hadoop(f"{name}.new")
+            if self._fs.exists(old) and not self._fs.exists(self._hadoop(name)):
+                self._fs.rename(old, self._hadoop(name))
+            for left in (old, new):
+                self._fs.delete(left, True)
             self._fs.mkdirs(self._hadoop(name))
 
+    def compact(self) -> None:
+        """Merge the files that inserts have left; the triples stay as they are."""
+        for name in TABLES:
+            if self._fs.getContentSummary(self._hadoop(name)).getFileCount() == 0:
+                continue
+            self._write(self.table(name), f"{name}.new")
+            self._fs.rename(self._hadoop(name), self._hadoop(f"{name}.old"))
+            self._fs.rename(self._hadoop(f"{name}.new"), self._hadoop(name))
+            self._fs.delete(self._hadoop(f"{name}.old"), True)
+
+    def _write(self, rows: DataFrame, name: str) -> None:
+        """Append rows to their folders; a predicate with most rows is split between tasks by size."""
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "p", "s").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{name}")
+
     def reset_db(self) -> None:
         """Remove all triples and prefixes."""
         self._fs.delete(self._root, True)
@@ -145,7 +168,7 @@ class TripleStore(Engine):
         stored = self.table(name).where(F.col("bucket").isin(touched)).select([F.col(k).alias(f"__{k}") for k in keys])
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
         new = rows.select(*keys, "bucket").distinct().join(stored, same, "left_anti")
-        new.repartition("bucket", F.pmod(F.xxhash64("s"), F.lit(8))).sortWithinPartitions("bucket", "p", "s").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        self._write(new, name)
 
     # inserts
     def insert_triple(self, triple: A.Triple) -> None:
@@ -155,10 +178,17 @@ class TripleStore(Engine):
         self.insert_statements(self.spark.createDataFrame(list(statements.rows(triples)), statements.STATEMENT))
 
     def insert_statements(self, rows: DataFrame) -> None:
-        """Insert rows of the schema ``statements.STATEMENT``."""
-        rows = rows if not self.assert_quoted else rows.unionByName(rows.where("not asserted").withColumn("asserted", F.lit(True)))
+        """Insert rows of the schema ``statements.STATEMENT``, and register the prefixes among them.
+
+        Of several namespaces of a prefix the last (by text) counts; more than ``MOST_PREFIXES``
+        prefixes raise StoreError before anything is inserted.
+        """
         # parsed once: the branches below each read it
-        rows = Scratch(self.spark, "insert").save(rows.withColumn("bucket", bucket(F.col("p"))), "rows")
+        scratch = Scratch(self.spark, "insert")
+        rows = scratch.save(rows.withColumn("bucket", bucket(F.col("p"))), "rows")
+        self._register(rows.where("s_kind = 'prefix'"))
+        rows = rows.where("s_kind != 'prefix'")
+        rows = rows if not self.assert_quoted else rows.unionByName(rows.where("not asserted").withColumn("asserted", F.lit(True)))
         told = rows.where("asserted")
         self._append("relations", told.where("o_kind in ('iri', 'blank')"))
         self._append("properties", told.where("o_kind = 'literal'").withColumnRenamed("o", "value"))
@@ -171,25 +201,37 @@ class TripleStore(Engine):
         literal = F.concat(F.lit('"'), text, F.lit('"'), F.when(F.col("lang").isNotNull(), F.concat(F.lit("@"), "lang")).otherwise(F.concat(F.lit("^^<"), "datatype", F.lit(">"))))
         s = F.when(F.col("s_kind") == "iri", F.concat(F.lit("<"), "s", F.lit(">"))).otherwise(F.concat(F.lit("_:"), "s"))
         self._append("quoted", quoted.withColumn("quoted", F.concat(F.lit("<<( "), s, F.lit(" <"), "p", F.lit("> "), F.coalesce(o, literal), F.lit(" )>>"))))
+        scratch.drop("rows")
 
     def import_turtle_data(self, text: str) -> None:
-        self._import(*statements.from_text(self.spark, text, "turtle"))
+        self.insert_statements(statements.from_text(self.spark, text, "turtle"))
 
     def import_turtle_file(self, path: str) -> None:
         """A file, or all files of a folder or pattern, in parallel."""
-        self._import(*statements.from_files(self.spark, path, "turtle"))
+        self.insert_statements(statements.from_files(self.spark, path, "turtle"))
+
+    def import_ntriples_data(self, text: str) -> None:
+        self.insert_statements(statements.from_text(self.spark, text, "ntriples"))
+
+    def import_ntriples_file(self, path: str) -> None:
+        """A file, or all files of a folder or pattern; large files are split between tasks."""
+        self.insert_statements(statements.from_files(self.spark, path, "ntriples"))
 
     def import_rdfxml_data(self, text: str) -> None:
-        self._import(*statements.from_text(self.spark, text, "rdfxml"))
+        self.insert_statements(statements.from_text(self.spark, text, "rdfxml"))
 
     def import_rdfxml_file(self, path: str) -> None:
-        self._import(*statements.from_files(self.spark, path, "rdfxml"))
-
-    def _import(self, rows: DataFrame, prefixes: dict[str, str]) -> None:
-        for prefix, namespace in prefixes.items():
-            self._set_prefix(namespace, prefix)
-        self._prefixes_to_disk()
-        self.insert_statements(rows)
+        self.insert_statements(statements.from_files(self.spark, path, "rdfxml"))
+
+    def _register(self, declared: DataFrame) -> None:
+        found = declared.groupBy("p").agg(F.max("o").alias("o")).limit(self.MOST_PREFIXES + 1).collect()
+        if len(found) + len(self.prefixes) > self.MOST_PREFIXES and len(set(self.prefixes) | {r.p for r in found}) > self.MOST_PREFIXES:
+            raise StoreError(f"more than {self.MOST_PREFIXES} prefixes")
+        if found:
+            merged = {**self.prefixes, **{r.p: r.o for r in sorted(found)}}
+            prefix_of = {namespace: prefix for prefix, namespace in merged.items()}
+            self.prefixes = {prefix: namespace for namespace, prefix in prefix_of.items()}
+            self._prefixes_to_disk()
 
     # prefixes
     def add_prefix(self, namespace: str, prefix: str) -> None:

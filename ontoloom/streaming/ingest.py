@@ -15,7 +15,7 @@ def stream_documents(store: TripleStore, folder: str, form: str, checkpoint: str
     """Follow a folder of Turtle ('turtle') or RDF/XML ('rdfxml') files into a store.
 
     An insert has set semantics, so a batch that is repeated after a failure changes nothing.
-    Prefixes of the documents are not registered.  ``available_now``: end with what is there.
+    Prefixes of the documents are registered.  ``available_now``: end with what is there.
     """
     texts = store.spark.readStream.text(folder, wholetext=True).select(F.hex(F.xxhash64(F.col("_metadata.file_path"))).alias("scope"), "value")
 

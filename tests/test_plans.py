@@ -6,7 +6,7 @@ import re
 import pytest
 
 from ontoloom.errors import SparqlError
-from ontoloom.plans import graph
+from ontoloom.plans import graph, stores
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SMALL), reason="no test data here")
@@ -49,20 +49,20 @@ def test_variable_predicates_read_only_tables_that_can_match(engine):
     assert "nation.parquet" in text and "lineitem.parquet" not in text and "orders.parquet" not in text
 
 
-@pytest.mark.parametrize("name", sorted(graph.SQL))
+@pytest.mark.parametrize("name", sorted({**graph.SQL, **stores.SQL}))
 def test_queries_match_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     for f in os.listdir(SMALL):
         con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{SMALL}/{f}'")
-    rel = con.execute(graph.SQL[name])
+    rel = con.execute({**graph.SQL, **stores.SQL}[name])
     columns = [c[0] for c in rel.description]
 
     def text(row):
         return repr(tuple(f"{x:.9g}" if isinstance(x, float) else x for x in row))
 
     expected = sorted(map(text, rel.fetchall()))
-    found = graph.QUERIES[name](spark, SMALL)
+    found = {**graph.QUERIES, **stores.QUERIES}[name](spark, SMALL)
     assert sorted(found.columns) == sorted(columns) and sorted(map(text, found.select(*columns).collect())) == expected
 
 

@@ -162,7 +162,7 @@ def test_ask_and_describe(store):
 
 @pytest.mark.parametrize(
     "text",
-    ["SELECT ?p WHERE { ?p ex:a/ex:b ?q }", "SELECT ?p WHERE { GRAPH ?g { ?p ?q ?r } }", "SELECT WHERE { ?p ?q ?r }", "SELECT ?p { \"x\" ?q ?p }", "SELECT ?p { ?p no:x ?q }", "SELECT ?p { ?p ex:x << ex:a ex:b ex:c >> ", "LOAD <x>"],
+    ["SELECT ?p WHERE { GRAPH ?g { ?p ?q ?r } }", "SELECT WHERE { ?p ?q ?r }", "SELECT ?p { \"x\" ?q ?p }", "SELECT ?p { ?p no:x ?q }", "SELECT ?p { ?p ex:x << ex:a ex:b ex:c >> ", "LOAD <x>"],
 )
 def test_unsupported_and_wrong_queries_raise(store, text):
     with pytest.raises(SparqlError):

@@ -1,8 +1,10 @@
 """Loading, inserting, ids, prefixes and export."""
 
+import re
+
 import pytest
 
-from ontoloom.errors import DataError
+from ontoloom.errors import DataError, StoreError
 from ontoloom.sources.rdfxml import parse_rdfxml
 from ontoloom.sources.statements import term_text
 from ontoloom.sources.turtle import parse_turtle
@@ -66,8 +68,97 @@ def test_turtle_terms():
 def test_bad_statements_are_skipped():
     found, _ = parse_turtle('@prefix e: <http://e/> . e:a e:p 1 . e:b e:p no:x . e:c ! e:d . "lit" e:p 2 . e:z e:p 3 .')
     assert sorted(t.s.value for t in found) == ["http://e/a", "http://e/z"]
-    with pytest.raises(DataError):
-        parse_rdfxml("<a><b></a>")
+
+
+def test_rdfxml_ends_where_it_is_not_well_formed():
+    head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="http://e/">'
+    one, two = '<e:T rdf:about="http://e/1"><e:p>a</e:p></e:T>', '<rdf:Description rdf:about="http://e/2"><e:p>b</e:p><e:q>c'
+    found, prefixes = parse_rdfxml(head + one + two + "</e:p></rdf:Description>" + one + "</rdf:RDF>")
+    assert {(t.s.value, t.p.value) for t in found} == {("http://e/1", A.RDF + "type"), ("http://e/1", "http://e/p"), ("http://e/2", "http://e/p")}
+    assert prefixes["e"] == "http://e/"
+    assert facts(parse_rdfxml(head + one + "</rdf:RDF> junk <")[0]) == facts(parse_rdfxml(head + one + "</rdf:RDF>")[0])
+    for text in ("", "no xml", "<"):
+        with pytest.raises(DataError):
+            parse_rdfxml(text)
+
+
+def test_one_bad_file_does_not_stop_an_import(spark, tmp_path):
+    (tmp_path / "a.rdf").write_text(rdfxml())
+    (tmp_path / "b.rdf").write_text("this is no XML at all")
+    s = TripleStore(spark)
+    s.import_rdfxml_file(str(tmp_path))
+    assert s.table("relations").count() + s.table("properties").count() == 20 and s.prefixes["ex"] == EX
+
+
+LINES = r"""# a comment
+<http://e/a> <http://e/p> <http://e/b> .
+  <http://e/a>	<http://e/p> "plain"  . # why not
+_:x <http://e/p> _:y.1 .
+<http://e/a><http://e/p>"tagged"@en-GB.
+<http://e/a> <http://e/p> "7"^^<http://www.w3.org/2001/XMLSchema#integer> .
+<http://e/a> <http://e/p> "" .
+<http://e/a> <http://e/p> "two\nlines \u00e9 \"q\"" .
+<http://e/\u00e9> <http://e/p> <http://e/b> .
+<http://e/a> <http://e/p> <<( <http://e/s> <http://e/p> "o" )>> .
+
+this is nothing
+<http://e/a> <http://e/p> "open .
+<http://e/a> "no predicate" <http://e/b> .
+<http://e/a> <http://e/p> "CONTROL" .
+""".replace("CONTROL", "\x01")
+
+
+def test_lines_are_read_as_turtle_is(spark, tmp_path):
+    one, two, three = TripleStore(spark), TripleStore(spark), TripleStore(spark)
+    one.import_ntriples_data(LINES)
+    for n in range(2):
+        (tmp_path / f"{n}.nt").write_text(LINES)
+    two.import_ntriples_file(str(tmp_path / "0.nt"))
+    three.import_ntriples_file(str(tmp_path))
+    good = "\n".join(x for x in LINES.splitlines() if not any(bad in x for bad in ("nothing", '"open', "no predicate")))
+    wanted = parse_turtle(good)[0]
+    plain = lambda text: re.sub(r"_:\w*?_", "_:", text)
+    for s in (one, two):
+        found = {plain(term_text(A.Triple(t.s, A.Iri("http://e/p"), t.o))) for t in s.query("CONSTRUCT { ?s <http://e/p> ?o } WHERE { ?s <http://e/p> ?o }").triples()}
+        assert found == {plain(term_text(t)) for t in wanted if not isinstance(t.o, A.Triple)}
+        assert s.table("annotations").count() == 1 and s.table("quoted").count() == 1
+    assert three.table("relations").where("s_kind = 'blank'").count() == 2 and three.table("properties").count() == one.table("properties").count()
+
+
+def test_compact_keeps_the_triples(spark, tmp_path):
+    s = TripleStore(spark, str(tmp_path / "db"))
+    for n in range(4):
+        s.insert_triples([A.Triple(A.Iri(f"http://e/{n}"), A.Iri("http://e/p"), A.Literal(str(n)))])
+    files = lambda: len(list((tmp_path / "db/properties").rglob("*.parquet")))
+    assert files() == 4
+    s.compact()
+    assert files() == 1 and s.table("properties").count() == 4 and s.table("relations").count() == 0
+    # cut off between its two renames, it is ended by the next start
+    (tmp_path / "db/properties").rename(tmp_path / "db/properties.old")
+    again = TripleStore(spark, str(tmp_path / "db"))
+    assert again.table("properties").count() == 4 and not (tmp_path / "db/properties.old").exists()
+
+
+def test_the_number_of_prefixes_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(TripleStore, "MOST_PREFIXES", 3)
+    s = TripleStore(spark)
+    s.import_turtle_data("@prefix a: <http://a/> . @prefix b: <http://b/> . @prefix c: <http://c/> . a:x b:y c:z .")
+    assert len(s.prefixes) == 3
+    s.import_turtle_data("@prefix a: <http://a/> . @prefix b: <http://b/> . a:x b:y a:z .")
+    with pytest.raises(StoreError):
+        s.import_turtle_data("@prefix d: <http://d/> . d:x d:y d:z .")
+    assert s.table("relations").count() == 2
+
+
+def test_a_hot_predicate_is_written_by_many_tasks(spark, tmp_path):
+    s = TripleStore(spark, str(tmp_path / "db"))
+    rows = spark.range(200_000).selectExpr("'iri' as s_kind", "concat('http://e/', uuid()) as s", "'http://e/type' as p", "'iri' as o_kind", "'http://e/T' as o", "cast(null as string) as datatype", "cast(null as string) as lang", "true as asserted")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        s.insert_statements(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "db/relations").rglob("*.parquet"))) > 3 and s.table("relations").count() == 200_000
 
 
 def test_rdfxml_forms():
