@@ -32,8 +32,8 @@ def hierarchy(links: DataFrame, child: str = "child", parent: str = "parent") ->
     ``path`` lists the nodes from the root to the node itself, both included.  Nodes on a
     cycle (own parents included) have root -1, depth -1 and a null path, nodes below a cycle
     root -1, depth -2 and a null path.  A row with one null end still names a node; repeated
-    rows change nothing; of several parents of one node the smallest counts.  No rows give no
-    rows.  Further columns of ``links`` are ignored.
+    rows change nothing; of several parents of one node the smallest counts, and the links to the
+    others are those of ``further_parents``.  No rows give no rows.  Further columns of ``links`` are ignored.
     """
     scratch = Scratch(links.sparkSession, "hierarchy")
     node, up = F.col(f"`{child}`"), F.col(f"`{parent}`")
@@ -108,6 +108,17 @@ def _cyclic(left: DataFrame, number: int, size: int, scratch: Scratch, like: Dat
     )
 
 
+def further_parents(links: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(node, parent) for each distinct link that ``hierarchy`` does not follow, as its node has a smaller parent.
+
+    Only the nodes with several parents are joined, with their smallest, so a tree costs one
+    aggregation that combines on the map side.  Links with a null end are left out.
+    """
+    pairs = links.select(F.col(f"`{child}`").alias("node"), F.col(f"`{parent}`").alias("parent")).where("node is not null and parent is not null")
+    several = pairs.groupBy("node").agg(F.min("parent").alias("__least"), F.max("parent").alias("__most")).where("__least != __most").select("node", "__least")
+    return pairs.join(several, "node").where("parent != __least").select("node", "parent").distinct()
+
+
 def descendants(tree: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance) from the rows of ``hierarchy``, the node itself left out.
 

@@ -31,9 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(schema(spark, sf_dir, name)).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _links(spark: SparkSession, sf_dir: str, up: list[str], down: list[str]) -> DataFrame:
     terms = read_iris(table(spark, sf_dir, "predicates"), "iri", table(spark, sf_dir, "prefixes"), "term")
-    return hierarchy.hierarchy(hierarchy.parent_links(table(spark, sf_dir, "relations"), terms, UP, DOWN))
+    return hierarchy.parent_links(table(spark, sf_dir, "relations"), terms, up, down)
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.hierarchy(_links(spark, sf_dir, UP, DOWN))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +52,11 @@ def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(_tree(spark, sf_dir))
 
 
+def p1_further(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links beyond the first parent, over relations that have such."""
+    return hierarchy.further_parents(_links(spark, sf_dir, [NS + "memberOf", NS + "cites"], []))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = runs.graph_key_counts(table(spark, sf_dir, "relations"))
     total = counts.where("field = 'predicate'").agg(F.sum("rows").alias("total"))
@@ -97,4 +106,4 @@ def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).where("reason is null").select("origin", "row_id", "subject", "predicate", "literal_value", "literal_type", "subject_text", "predicate_text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_counts, p4_found, p4_wide, p4_cells, p4_failures, p5_found, p5_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_further, p2_found, p2_counts, p4_found, p4_wide, p4_cells, p4_failures, p5_found, p5_loaded)}

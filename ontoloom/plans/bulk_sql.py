@@ -107,6 +107,7 @@ SQL = {
  union all select child, -1, case when child in (select a from reach where a = b) then -1 else -2 end from rest""",
     "p1_paths": _LINKS + "select node, path from tree",
     "p1_descendants": _LINKS + "select a.anc as ancestor, t.node as descendant, cast(t.depth + 1 - a.pos as bigint) as distance from tree t, (select node as n, unnest(trail) as anc, unnest(range(1, len(trail) + 1)) as pos from tree) a where a.n = t.node and a.anc <> t.node",
+    "p1_further": "with " + read("predicates", "iri") + ", links as (select distinct subject as node, object as parent from relations join read_predicates on id = predicate where term in ('http://quarry.example/ns#memberOf', 'http://quarry.example/ns#cites') and subject is not null and object is not null) select node, parent from links l where parent > (select min(parent) from links m where m.node = l.node)",
     "p2_found": f"select field, key_id from ({_P2}) where key_id is not null and rows * 100 >= (select count(*) from relations)",
     "p2_counts": _P2,
     "p4_found": _CELLS + "select subject, column_name from read where c is not null group by 1, 2 having count(distinct c) > 1",

@@ -56,6 +56,15 @@ def test_hierarchy_of_a_chain_and_a_star(spark):
     assert below.where("ancestor = 50 and descendant = 60").head().distance == 10
 
 
+def test_links_that_are_not_followed_are_told(spark):
+    links = [(2, 1), (2, 5), (2, 5), (2, 9), (3, 2), (4, None), (None, 4), (5, 5), (5, 3), (7, 1), (7, 1)]
+    df = spark.createDataFrame([(*x, 0) for x in links], "child long, parent long, node int")
+    assert {(x.node, x.parent) for x in hierarchy.further_parents(df).collect()} == {(2, 5), (2, 9), (5, 5)}
+    followed = {(c, min(p for a, p in links if a == c and p is not None)) for c, p in links if None not in (c, p)}
+    assert followed | {(2, 5), (2, 9), (5, 5)} == {(c, p) for c, p in links if None not in (c, p)}
+    assert hierarchy.further_parents(df.limit(0)).count() == 0
+
+
 def test_hierarchy_of_nothing(spark):
     assert hierarchy.hierarchy(spark.createDataFrame([], "child long, parent long")).count() == 0
     relations = bulk.table(spark, SMALL, "relations")
