@@ -79,8 +79,11 @@ def _save(scratch: Scratch, df: DataFrame, number: int) -> tuple[int, int]:
 
 
 def _jump(front: DataFrame, state: DataFrame) -> DataFrame:
+    """A way that meets itself runs into a cycle and will have no path, so its segments, which would double on and on, are dropped."""
     f, s = front.alias("f"), state.alias("s")
-    return f.join(s, F.col("f.anc") == F.col("s.node")).select("f.node", "s.anc", (F.col("f.steps") + F.col("s.steps")).alias("steps"), "s.done", "f.inner", F.concat("s.path", "f.path").alias("path"))
+    whole = F.concat("s.path", "f.path")
+    path = F.when(F.col("s.done"), whole).when(~F.arrays_overlap("s.path", "f.path"), whole)
+    return f.join(s, F.col("f.anc") == F.col("s.node")).select("f.node", "s.anc", (F.col("f.steps") + F.col("s.steps")).alias("steps"), "s.done", "f.inner", path.alias("path"))
 
 
 def _cyclic(left: DataFrame, number: int, size: int, scratch: Scratch, like: DataFrame) -> DataFrame:
@@ -95,6 +98,7 @@ def _cyclic(left: DataFrame, number: int, size: int, scratch: Scratch, like: Dat
         number += 1
         a, b = left.alias("a"), left.alias("b")
         left = scratch.save(a.join(b, F.col("a.anc") == F.col("b.node")).select("a.node", "b.anc"), f"cycle{number}")
+        scratch.drop(f"cycle{number - 1}")
         before, pointed = pointed, left.select("anc").distinct().count()
         if pointed == before:
             break
