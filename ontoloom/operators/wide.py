@@ -47,8 +47,9 @@ def _texts(rows: DataFrame, columns: DataFrame, entity: str, attribute: str, val
     """(subject, column_name, column_type, value, text, unfit) per row that feeds a column; with ``pairs`` also the code of its pair."""
     wide = columns.where("column_name is not null").select(F.col(attribute).alias("__attribute"), "column_name", F.coalesce("column_type", F.lit("")).alias("column_type")).distinct()
     if pairs is not None:
-        numbers = columns.sparkSession.createDataFrame([(*p, n) for n, p in enumerate(pairs)], "column_name string, column_type string, code int")
-        wide = wide.join(F.broadcast(numbers), ["column_name", "column_type"])
+        # an expression, not a join, so that the side's size stays known
+        own = F.array(*[F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("column_type")) for name, kind in pairs])
+        wide = wide.withColumn("code", (F.array_position(own, F.struct("column_name", "column_type")) - 1).cast("int") if pairs else F.lit(None).cast("int"))
     read = rows.select(F.col(f"`{entity}`").alias("subject"), F.col(f"`{attribute}`").alias("__of"), F.col(f"`{value}`").alias("value")).join(wide, F.col("__of") == F.col("__attribute"))
     text = read.select("subject", "column_name", "column_type", "value", canonical(F.col("column_type"), F.col("value")).alias("text"), *([] if pairs is None else ["code"]))
     return text.withColumn("unfit", _unfit(F.col("column_type"), F.col("text")))
