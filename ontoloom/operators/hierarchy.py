@@ -9,9 +9,9 @@ therefore leaves only nodes whose ancestors run into a cycle.  These few go on j
 until the set of nodes pointed at stops shrinking: it is then exactly the nodes on cycles.
 
 Each round is a written table (see ``Scratch``), so lineage stays one round long.  Nodes
-that are settled are written once and only looked up afterwards.  A parent with a third of
-all children makes a hot probe side of a join whose other side is unique by node; adaptive
-execution splits it.
+that are settled are written once and only looked up afterwards; once few are unsettled, only
+the rows that these point at are shuffled.  A parent with a third of all children makes a hot
+probe side of a join whose other side is unique by node; adaptive execution splits it.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 
 from ontoloom.sources.scratch import Scratch
 
+#: Most pointers whose targets are sent to all tasks, so that only the rows pointed at are shuffled; more are joined whole.
+MOST_POINTERS = 100_000
 #: Values of root and depth for nodes on a cycle and for nodes below one.
 NO_ROOT, ON_CYCLE, BELOW_CYCLE = -1, -1, -2
 
@@ -59,6 +61,8 @@ def hierarchy(links: DataFrame, child: str = "child", parent: str = "parent") ->
         front = state.where(f"round = {number} and not done")
         # only nodes with children can be pointed at
         known = state.where(f"inner and (done or round = {number})")
+        if left <= MOST_POINTERS:
+            known = known.join(F.broadcast(front.select(F.col("anc").alias("__anc")).distinct()), F.col("node") == F.col("__anc"), "left_semi")
         number += 1
         ended, left = _save(scratch, _jump(front, known), number)
         if not ended:
