@@ -114,6 +114,11 @@ def _composed(text: str, letters: frozenset[str], shapes: dict) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(shapes))
 
 
+def plain(text: str) -> str:
+    """A text with all but its letters' scripts normalised."""
+    return _composed(text, frozenset(), {})
+
+
 def skeleton(text: str) -> str:
     """What is seen of a text, in Latin shapes wherever there is one."""
     return " ".join(_composed(text, _second_chars, _second).split())
@@ -146,7 +151,7 @@ def respell(token: str) -> str:
 
 def form(text: str) -> str:
     """The one form of all texts that look like this one."""
-    seen = _composed(text, frozenset(), {})
+    seen = plain(text)
     if not seen.isascii() and not _other_chars.isdisjoint(seen):
         seen = _token.sub(lambda m: m[0] if _other_chars.isdisjoint(m[0]) else respell(m[0]), seen)
     return " ".join(seen.split())
@@ -170,10 +175,15 @@ def token_kind(token: str) -> str:
     return "whole" if letters and all(c in _latin for c in letters) else "plain"
 
 
+def letter_script(c: str) -> tuple[str, bool, bool] | None:
+    """(script, all Latin shapes, of a script or kind that shares shapes with Latin) of a composed letter; None if it says nothing."""
+    own = [p for p in unicodedata.normalize("NFD", c) if own_script(p)]
+    return (own_script(own[0]), all(p in _latin for p in own), c in _other_chars) if own else None
+
+
 def token_kinds(text: str) -> list[str]:
     """The kinds of a text's tokens that have a letter of a script sharing shapes with Latin."""
-    seen = unicodedata.normalize("NFC", text.translate(_first))
-    return [token_kind(m) for m in _token.findall(seen) if not _other_chars.isdisjoint(m)]
+    return [token_kind(m) for m in _token.findall(plain(text)) if not _other_chars.isdisjoint(m)]
 
 
 #: Letters that differ in case only, or look alike in some case, have one key: lower case of the Latin shape.
@@ -217,7 +227,7 @@ def forms(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             out, kinds = [], ([], [])
             for t in batch.column("text").to_pylist():
                 out.append(None if t is None else form(t))
-                found = token_kinds(t) if t and not _other_chars.isdisjoint(t.translate(_first)) else []
+                found = token_kinds(t) if t else []
                 kinds[0].append(found.count("mixed"))
                 kinds[1].append(found.count("whole"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), pa.array(kinds[0], pa.int64()), pa.array(kinds[1], pa.int64())], names=["doc_id", "form", "mixed_tokens", "whole_tokens"])

@@ -50,11 +50,16 @@ def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return looks.classes(keys)
 
 
+def p8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed and whole-script confusable tokens of every text."""
+    return looks.forms(table(spark, sf_dir, "documents")).select("doc_id", "mixed_tokens", "whole_tokens")
+
+
 def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return looks.forms(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p6_ids, p7_found, p7_near, p8_found, p8_classes, p8_forms)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p6_ids, p7_found, p7_near, p8_found, p8_classes, p8_tokens, p8_forms)}
 
 _P3 = (
     "with types as (select *, coalesce(literal_type, '') as lt from node_properties),"
@@ -87,6 +92,16 @@ def _word_letters(c: str) -> str:
     return " " if c.isspace() else looks.folded(c)
 
 
+def _plain(c: str) -> str:
+    return " " if c.isspace() else looks.plain(c)
+
+
+def _script_rows() -> str:
+    """SQL rows (code point, script, Latin shape, shares shapes) of the letters of the scripts that share shapes with Latin, and of Latin."""
+    found = [(code, looks.letter_script(chr(code))) for code in (*range(0x41, 0x80), *looks.CODES) if chr(code).isalpha()]
+    return ", ".join(f"({code}, '{script}', {look}, {other})" for code, known in found if known for script, look, other in [known])
+
+
 def _mapped(table: str, columns: str, change) -> str:
     """SQL common tables: ``<table>_text`` has the texts with every character changed, composed and with single blanks."""
     return f"""{table}_map(cp, txt) as (values {_character_map(change)}),
@@ -96,6 +111,13 @@ def _mapped(table: str, columns: str, change) -> str:
 
 _WINDOWS = "{0}_grams as (select distinct {1}, array_to_string(w[i:i + 9], ' ') as gram from (select {1}, w, unnest(range(1, len(w) - 8)) as i from (select {1}, regexp_extract_all(seen, '[\\p{{L}}\\p{{N}}]+') as w from {0}_text) where len(w) > 9))"
 _LOOKS = "with " + _mapped("documents", "doc_id", _seen) + ", shown as (select d.doc_id, d.text, s.seen from documents d join documents_text s using (doc_id) where s.seen <> '')"
+_TOKENS = (
+    "with "
+    + _mapped("documents", "doc_id", _plain)
+    + f""", letters(cp, script, look, other) as (values {_script_rows()}),
+ tokens as (select doc_id, row_number() over () as n, token from (select doc_id, unnest(regexp_extract_all(seen, '(?:[\\p{{L}}\\p{{Nl}}\\p{{No}}]|[\\x{{300}}-\\x{{36f}}])+')) as token from documents_text)),
+ kinds as (select doc_id, n, count(distinct script) > 1 as mixed, count(distinct script) = 1 and bool_and(look) as whole from (select doc_id, n, unnest(regexp_extract_all(token, '(?s).')) as ch from tokens) join letters on cp = unicode(ch) group by 1, 2 having bool_or(other))"""
+)
 _LEAKS = "with " + ", ".join([_mapped("documents", "doc_id", _word_letters), _mapped("benchmark", "item_id", _word_letters), _WINDOWS.format("documents", "doc_id"), _WINDOWS.format("benchmark", "item_id")])
 
 SQL = {
@@ -103,5 +125,6 @@ SQL = {
     "p3_counts": _P3 + "select field, term, rows, records from counts",
     "p7_found": _LEAKS + " select distinct doc_id, item_id from documents_grams join benchmark_grams using (gram)",
     "p8_found": _LOOKS + " select a.doc_id as doc_id_a, b.doc_id as doc_id_b from shown a join shown b on a.seen = b.seen and a.doc_id < b.doc_id and a.text <> b.text",
+    "p8_tokens": _TOKENS + " select d.doc_id, count(*) filter (where mixed) as mixed_tokens, count(*) filter (where whole) as whole_tokens from documents d left join kinds k on k.doc_id = d.doc_id group by 1",
     "p8_classes": _LOOKS + " select doc_id, min(doc_id) over (partition by seen) as class_id, min(doc_id) over (partition by text) as spelling_id from shown",
 }
