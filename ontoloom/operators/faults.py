@@ -80,6 +80,7 @@ def classify(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
     kinds = scratch.save(type_kinds(pairs.select("raw").distinct(), prefixes), "kinds")
     checked = pairs.where("value is not null").join(kinds.where(F.col("kind").isin(*FORMS)), "raw").where(~is_valid(F.col("kind"), F.col("value")))
     invalid = scratch.save(checked.select(F.col("raw").alias("__raw"), F.col("value").alias("__value"), F.lit("value").alias("__why")), "invalid")
+    scratch.drop("pairs")
     unknown = kinds.where("kind = 'unknown'").select(F.col("raw").alias("__type"), F.lit("type").alias("__unknown"))
 
     def typed(part: DataFrame) -> DataFrame:

@@ -141,6 +141,17 @@ SELECTS: dict[str, tuple[str, str]] = {
     "fn_abs": part("ABS(20 - ?size)", "cast(abs(20 - p_size) as double)"),
     "fn_ceil_floor_round": part("CEIL(?size / 4) * 10000 + FLOOR(?size / 4) * 100 + ROUND(?size / 4)", "ceil(p_size / 4.0) * 10000 + floor(p_size / 4.0) * 100 + round(p_size / 4.0)"),
     "fn_iri": part('STR(IRI(CONCAT("urn:part:", ?size)))', "'urn:part:' || p_size"),
+    "fn_dates": ("SELECT ?o ?n WHERE { ?o t:o_orderdate ?d BIND(YEAR(?d) * 10000 + MONTH(?d) * 100 + DAY(?d) + HOURS(?d) + MINUTES(?d) + SECONDS(?d) AS ?n) }", f"select {_O} as o, cast(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) + hour(o_orderdate) + minute(o_orderdate) + second(o_orderdate) as double) as n from orders"),
+    "fn_hashes": part('CONCAT(MD5(?name), SHA256(?brand))', "md5(p_name) || sha256(p_brand)"),
+    "fn_encode": part("ENCODE_FOR_URI(CONCAT(?name, ?brand))", "replace(replace(p_name || p_brand, ' ', '%20'), '#', '%23')"),
+    "fn_casts": part("xsd:integer(CONCAT(STR(?size), \".75\")) + xsd:double(xsd:boolean(\"1\"))", "cast(p_size + 1 as double)"),
+    "fn_typed": part('CONCAT(STR(DATATYPE(?size)), LANG(?brand))', "'http://www.w3.org/2001/XMLSchema#int'"),
+    "base_reduced": ("BASE <http://tables.example/> SELECT REDUCED ?seg FROM <http://tables.example/any> WHERE { ?c t:c_nationkey <nation/3> ; t:c_mktsegment ?seg }", "select distinct c_mktsegment as seg from customer where c_nationkey = 3"),
+    "aggregates": (
+        "SELECT ?n (AVG(?bal) AS ?mean) (MIN(?bal) AS ?low) (MAX(?seg) AS ?last) (COUNT(DISTINCT ?seg) AS ?segs) (GROUP_CONCAT(DISTINCT ?seg; SEPARATOR=\"/\") AS ?names) WHERE { ?c t:c_nationkey ?n ; t:c_acctbal ?bal ; t:c_mktsegment ?seg } GROUP BY ?n",
+        f"select {iri('nation', 'c_nationkey')} as n, avg(c_acctbal) as mean, min(c_acctbal) as low, max(c_mktsegment) as last, count(distinct c_mktsegment) as segs, string_agg(distinct c_mktsegment, '/' order by c_mktsegment) as names from customer group by 1",
+    ),
+    "sample": ("SELECT (SAMPLE(?r) AS ?one) WHERE { ?n t:n_regionkey ?r . ?r t:r_name \"ASIA\" }", f"select {iri('region', 'r_regionkey')} as one from region where r_name = 'ASIA'"),
     "fn_unknown": ("SELECT ?p WHERE { ?p t:p_name ?n . FILTER(NOW() = 1) }", f"select {_P} as p from part where false"),
     "distinct": ("SELECT DISTINCT ?seg WHERE { ?c t:c_mktsegment ?seg }", "select distinct c_mktsegment as seg from customer"),
     "distinct_order": ("SELECT DISTINCT ?seg WHERE { ?c t:c_mktsegment ?seg } ORDER BY DESC(?seg) LIMIT 3", "select distinct c_mktsegment as seg from customer order by 1 desc limit 3"),
@@ -195,6 +206,11 @@ GRAPH_SELECTS: dict[str, tuple[str, str]] = {
         'SELECT ?s ?v WHERE { ?s qy:label ?v . FILTER(STRSTARTS(?v, "amber")) }',
         f"select s.value as s, p.v from (select distinct subject, literal_value as v, ltype from (select subject, literal_value, replace(replace(replace(trim(coalesce(literal_type, '')), '<', ''), '>', ''), 'xsd:', 'http://www.w3.org/2001/XMLSchema#') as lt, case when lt = '' then 'http://www.w3.org/2001/XMLSchema#string' else lt end as ltype from node_properties where predicate in {_PRED.format('label')} and literal_value like 'amber%') where ltype <> 'http://www.w3.org/2001/XMLSchema#boolean') p join {_NODES} s on s.id = p.subject",
     ),
+    "graph_lang": (
+        'SELECT ?s ?v ?l WHERE { ?s qy:label ?v FILTER(LANGMATCHES(LANG(?v), "en")) BIND(LANG(?v) AS ?l) }',
+        f"select s.value as s, p.v, p.l from (select distinct subject, literal_value as v, substr(trim(literal_type), 2) as l from node_properties where predicate in {_PRED.format('label')} and literal_value is not null and lower(trim(literal_type)) like '@en%') p join {_NODES} s on s.id = p.subject",
+    ),
+    "graph_blank": ("SELECT ?s ?o WHERE { ?s qy:kindOf ?o FILTER(ISBLANK(?s)) }", f"select s.value as s, o.value as o from {rel('kindOf')} r join {_NODES} s on s.id = r.subject join {_NODES} o on o.id = r.object where s.kind = 'blank'"),
     "graph_reach": (
         "SELECT ?a ?b WHERE { ?a qy:partOf+ ?b }",
         f"with recursive step as {rel('partOf')}, walk as (select subject, object from step union select w.subject, s.object from walk w join step s on s.subject = w.object) select a.value as a, b.value as b from walk join {_NODES} a on a.id = walk.subject join {_NODES} b on b.id = walk.object",
@@ -220,6 +236,16 @@ def construct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(engine(spark, sf_dir).query(text).df)
 
 
+def construct_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template with a blank node, a new one for each solution; their labels are left out."""
+    found = engine(spark, sf_dir).query("CONSTRUCT { ?n t:called [ t:name ?name ] } WHERE { ?n t:n_name ?name }").df
+
+    def shown(c: str):
+        return F.when(F.col(f"{c}.kind") == "blank", "_").otherwise(F.col(f"{c}.value")).alias(c)
+
+    return found.select(shown("s"), "p", shown("o"))
+
+
 def describe_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(engine(spark, sf_dir).query("DESCRIBE n:3").df)
 
@@ -268,7 +294,7 @@ def shorten_iri(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     **{name: _select(engine, text) for name, (text, _) in SELECTS.items()},
     **{name: _select(encoded, text) for name, (text, _) in GRAPH_SELECTS.items()},
-    **{f.__name__: f for f in (construct, describe_object, construct_predicate, describe_by_id, describe_object_by_id, describe_predicate_by_id, subject_list, ask, shorten_iri)},
+    **{f.__name__: f for f in (construct, construct_blank, describe_object, construct_predicate, describe_by_id, describe_object_by_id, describe_predicate_by_id, subject_list, ask, shorten_iri)},
 }
 
 
@@ -290,6 +316,7 @@ _MANY_SIDED = "(select min(id) from objects where id in (select subject from rel
 _CUSTOMER_3 = "(select * from customer where c_nationkey = 3)"
 SQL = {name: sql for name, (_, sql) in {**SELECTS, **GRAPH_SELECTS}.items()} | {
     "construct": f"select {_N} as s, '{NS}inRegion' as p, r_name as o from nation join region on r_regionkey = n_regionkey union select {_N}, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', '{NS}Nation' from nation union select {iri('region', 'n_regionkey')}, '{NS}holds', {_N} from nation",
+    "construct_blank": f"select {_N} as s, '{NS}called' as p, '_' as o from nation union all select '_', '{NS}name', n_name from nation",
     "describe_object": f"select {_N} as s, '{NS}n_nationkey' as p, cast(n_nationkey as varchar) as o from nation where n_nationkey = 3 union all select {_N}, '{NS}n_name', n_name from nation where n_nationkey = 3 union all select {_N}, '{NS}n_regionkey', {iri('region', 'n_regionkey')} from nation where n_nationkey = 3 union all select {_C}, '{NS}c_nationkey', '{BASE}nation/3' from customer where c_nationkey = 3 union all select {_S}, '{NS}s_nationkey', '{BASE}nation/3' from supplier where s_nationkey = 3",
     "construct_predicate": f"select {_S} as s, '{NS}s_nationkey' as p, {iri('nation', 's_nationkey')} as o from supplier",
     "describe_by_id": "with " + read("predicates", "iri") + f"select distinct s.value as s, p.term as p, o.value as o from relations r join read_predicates p on p.id = r.predicate join {_NODES} s on s.id = r.subject join {_NODES} o on o.id = r.object where 1010 in (r.subject, r.object)",

@@ -5,6 +5,8 @@ Each loads, writes and reads whole tables through ``TripleStore``; the SQL state
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,6 +142,27 @@ def store_rdfxml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _relations(other)
 
 
+def store_rdfxml_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph as one RDF/XML text and back."""
+    store = loaded(spark, sf_dir)
+    text = store.export_as_rdfxml(store.query("CONSTRUCT { ?s qy:locatedIn ?o } WHERE { ?s qy:locatedIn ?o FILTER(ISIRI(?s) && ISIRI(?o)) }"))
+    other = TripleStore(spark)
+    other.import_rdfxml_data(text)
+    return _relations(other)
+
+
+def store_from_env(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store in the folder that the environment names, opened, filled, emptied and filled again."""
+    os.environ["ONTOLOOM_EXAMPLE_STORE"] = f"{Scratch(spark, 'env').root}/store"
+    store = TripleStore.new_from_env(spark, "ONTOLOOM_EXAMPLE_STORE")
+    store.insert_statements(rows_of_tables(spark, sf_dir))
+    store.reset_db()
+    known = rows_of_tables(spark, sf_dir).where(F.col("p") == _NS + "knows")
+    store.insert_statements(known)
+    again = TripleStore.new_from_env(spark, "ONTOLOOM_EXAMPLE_STORE")
+    return _relations(again)
+
+
 def store_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded(spark, sf_dir).query("SELECT DISTINCT ?a ?c WHERE { ?a qy:partOf ?b . ?b qy:locatedIn ?c FILTER(ISIRI(?a) && ISIRI(?c)) }").values
 
@@ -207,7 +230,7 @@ def store_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole
 
 
-QUERIES = {f.__name__: f for f in (store_insert, store_properties, store_ntriples, store_turtle, store_rdfxml, store_path, store_describe_object, store_describe_predicate, store_subject_list, store_prefixes, store_quoted)}
+QUERIES = {f.__name__: f for f in (store_insert, store_properties, store_ntriples, store_turtle, store_rdfxml, store_rdfxml_text, store_from_env, store_path, store_describe_object, store_describe_predicate, store_subject_list, store_prefixes, store_quoted)}
 
 _TRIPLES = (
     "with recs as (select subject, predicate, literal_value, coalesce(literal_type, '') as literal_type from node_properties where literal_value is not null),"
@@ -244,6 +267,8 @@ SQL = {
     "store_ntriples": _TEXTS,
     "store_turtle": _TEXTS,
     "store_rdfxml": _TRIPLES + f" select distinct s, p, o from rels where p = '{_NS}cites' and sk = 'iri' and ok = 'iri'",
+    "store_rdfxml_text": _TRIPLES + f" select distinct s, p, o from rels where p = '{_NS}locatedIn' and sk = 'iri' and ok = 'iri'",
+    "store_from_env": _TRIPLES + f" select distinct s, p, o from rels where p = '{_NS}knows'",
     "store_path": _TRIPLES + f" select distinct x.s as a, y.o as c from rels x join rels y on y.sk = x.ok and y.s = x.o where x.p = '{_NS}partOf' and y.p = '{_NS}locatedIn' and x.sk = 'iri' and y.ok = 'iri'",
     "store_describe_object": _TRIPLES + f" select distinct s, p, o from rels where sk = 'iri' and s = {_NODE} or ok = 'iri' and o = {_NODE} union select s, p, value from props where sk = 'iri' and s = {_NODE}",
     "store_describe_predicate": _TRIPLES + f" select distinct s, p, o from rels where p in ('{_NS}knows', '{_NS}label') union select s, p, value from props where p in ('{_NS}knows', '{_NS}label')",

@@ -9,6 +9,7 @@ join strategies.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,6 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+#: Folders of applications with a local master and no setting.
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one only for a local master without one."""
     sc = spark.sparkContext
@@ -24,15 +29,17 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="ontoloom-"))
-    return sc.getCheckpointDir().rstrip("/")
+    if sc.applicationId not in _local:
+        _local[sc.applicationId] = tempfile.mkdtemp(prefix="ontoloom-")
+        atexit.register(shutil.rmtree, _local[sc.applicationId], ignore_errors=True)
+    return _local[sc.applicationId]
 
 
 class Scratch:
     """A set of intermediate tables of one operator call.
 
-    The tables stay until the process ends, as the returned DataFrame reads them lazily;
-    ``drop`` removes one that no later step needs.
+    A table that the returned DataFrame reads lazily stays until the process ends; operators
+    ``drop`` those that no later step needs.
     """
 
     def __init__(self, spark: SparkSession, label: str):

@@ -7,6 +7,7 @@ SPARQL's own error table.  Comparing different types is false for ``=`` and an e
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable
 from datetime import datetime
@@ -21,11 +22,19 @@ from ontoloom.functions.terms import Value
 from ontoloom.sparql import algebra as A
 from ontoloom.sparql.shapes import Template, Typed
 
+log = logging.getLogger(__name__)
+
 _NULL = {"b": "boolean", "n": "double", "s": "string", "i": "string"}
 #: What the supported regular expressions leave out (look-around and back references).
 _BEYOND = re.compile(r"\(\?(?:[=!]|<[=!])|\\[1-9]")
 
 
+#: The parts of a date or moment, and the function that gives each.
+_DATE = r"\A(-?[0-9]{4,})-([0-9]{2})-([0-9]{2})(?:T([0-9]{2}):([0-9]{2}):([0-9]{2}(?:\.[0-9]+)?))?(?:Z|[+-][0-9]{2}:[0-9]{2})?\z"
+DATE_PARTS = {"YEAR": 1, "MONTH": 2, "DAY": 3, "HOURS": 4, "MINUTES": 5, "SECONDS": 6}
+HASHES = {"MD5": F.md5, "SHA1": F.sha1, "SHA256": lambda c: F.sha2(c, 256), "SHA384": lambda c: F.sha2(c, 384), "SHA512": lambda c: F.sha2(c, 512)}
+
+
 def null(tag: str = "s") -> Value:
     return Value(tag, **{{"b": "b", "n": "n"}.get(tag, "s"): F.lit(None).cast(_NULL[tag])})
 
@@ -225,8 +234,36 @@ class Compiler:
             return Value("i", s=v[0].as_text())
         if name in ("REGEX", "REPLACE"):
             return self.regex(name, args, v)
+        if name in DATE_PARTS and v:
+            part = F.regexp_extract(v[0].as_text(), _DATE, DATE_PARTS[name])
+            return num(F.when(part != "", part.cast("double")))
+        if name in ("STRDT", "STRLANG") and len(v) > 1:
+            kind = v[1].as_text() if name == "STRDT" else F.lit(A.RDF + "langString")
+            made = terms.make("literal", F.when(v[1].as_text().isNotNull(), v[0].as_text()), kind, v[1].as_text() if name == "STRLANG" else None)
+            return terms.value_of_term(made)
+        if name.startswith(A.XSD) and len(v) == 1:
+            return self.cast(name.removeprefix(A.XSD), v[0])
         return self.string(name, v)
 
+    @staticmethod
+    def cast(kind: str, v: Value) -> Value:
+        """A constructor of XML Schema, in the value model: numbers are 64-bit floats, moments texts."""
+        if kind == "string":
+            return text(v.as_text())
+        if kind == "boolean":
+            spelled = F.when(v.as_text().isin("true", "1"), True).when(v.as_text().isin("false", "0"), False)
+            return boolean(v.pick({"b": v.slot("b"), "n": (v.slot("n") != 0) & ~F.isnan(v.slot("n")), "s": spelled}, "boolean"))
+        if kind in ("decimal", "double", "float"):
+            return num(v.as_number())
+        if kind in ("integer", "int", "long"):
+            x = v.as_number()
+            return num(F.when(F.abs(x) < float("inf"), F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")))
+        if kind in ("dateTime", "date"):
+            whole = v.as_text().rlike(_DATE) & (F.instr(v.as_text(), F.lit("T")) > 0 if kind == "dateTime" else F.instr(v.as_text(), F.lit("T")) == 0)
+            return text(F.when(whole, v.as_text()))
+        log.warning("no constructor of xsd:%s: an error in every row", kind)
+        return null()
+
     def logic(self, name: str, v: list[Value]) -> Column:
         if self.strict:
             raw = [x.pick({"b": x.slot("b")}, "boolean") for x in v]
@@ -283,6 +320,14 @@ class Compiler:
             return num(F.length(s[0]).cast("double"))
         if name in ("STR", "UCASE", "LCASE") and s:
             return text({"STR": lambda c: c, "UCASE": F.upper, "LCASE": F.lower}[name](s[0]))
+        if name in HASHES and s:
+            return text(HASHES[name](s[0]))
+        if name == "ENCODE_FOR_URI" and s:
+            coded = F.url_encode(s[0])
+            for had, has in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+                coded = F.replace(coded, F.lit(had), F.lit(has))
+            return text(coded)
+        log.warning("no function %s of %d arguments: an error in every row", name, len(v))
         return null()
 
     def regex(self, name: str, args: tuple, v: list[Value]) -> Value:

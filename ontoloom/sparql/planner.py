@@ -13,7 +13,7 @@ import itertools
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.errors import SparqlError
@@ -48,9 +48,21 @@ class Planner:
     def __init__(self, spark: SparkSession, sources: list, strict: bool = False):
         self.spark, self.sources, self.strict = spark, sources, strict
         self.fresh = itertools.count()
+        #: Templates of variables that what is being planned is joined with; only tables of these can answer for them.
+        self.known: dict[str, Template] = {}
+
+    def plan(self, node, known: dict[str, Template] | None = None) -> Solutions:
+        """``known``: what is known of the variables from outside, if not what was known before."""
+        before = self.known
+        self.known = before if known is None else known
+        try:
+            return getattr(self, "_" + type(node).__name__.lower())(node)
+        finally:
+            self.known = before
 
-    def plan(self, node) -> Solutions:
-        return getattr(self, "_" + type(node).__name__.lower())(node)
+    @staticmethod
+    def _templates(done: Solutions) -> dict[str, Template]:
+        return {k: s for k, s in done.shapes.items() if isinstance(s, Template) and k not in done.maybe}
 
     # patterns
     def _bgp(self, node: A.Bgp) -> Solutions:
@@ -80,7 +92,7 @@ class Planner:
             merged = self.sources[0].star(patterns)
             units = [Unit(own, solutions) for own, solutions in merged]
         taken = {id(p) for u in units for p in u.patterns}
-        known = {k: s for u in units for k, s in u.solutions.shapes.items() if isinstance(s, Template)}
+        known = self.known | {k: s for u in units for k, s in u.solutions.shapes.items() if isinstance(s, Template)}
         subjects = {A.key(p.s) for p in patterns if A.is_open(p.s)}
         for source in self.sources:
             source.prepare(patterns)
@@ -109,7 +121,7 @@ class Planner:
 
     def _join(self, node: A.Join) -> Solutions:
         left = self.plan(node.left)
-        return join(left, self._closure(node.right, left) if isinstance(node.right, A.Closure) else self.plan(node.right))
+        return join(left, self._closure(node.right, left) if isinstance(node.right, A.Closure) else self.plan(node.right, self.known | self._templates(left)))
 
     def _closure(self, node: A.Closure, near: Solutions | None = None) -> Solutions:
         """``near``: solutions that the pairs are joined with, whose terms are all that can be linked to themselves."""
@@ -121,12 +133,14 @@ class Planner:
                 nodes = near.only(bound[:1]).renamed_to({bound[0]: "v_node"})
             else:
                 s, p, o = (A.Var(f"__any{n}") for n in range(3))
-                every = self._bgp(A.Bgp([A.Triple(s, p, o)]))
+                every = self.plan(A.Bgp([A.Triple(s, p, o)]), {})
                 nodes = union(*(every.only([A.key(t)]).renamed_to({A.key(t): "v_node"}) for t in (s, o)))
-        return closure(self.spark, self.plan(node.step).only([a, b]).renamed_to({a: "v_from", b: "v_to"}), node, nodes)
+        return closure(self.spark, self.plan(node.step, {}).only([a, b]).renamed_to({a: "v_from", b: "v_to"}), node, nodes)
 
     def _leftjoin(self, node: A.LeftJoin) -> Solutions:
-        left, right = self.plan(node.left), self.plan(node.right)
+        left = self.plan(node.left)
+        # of the optional part, only what can match the left counts; what is known from further out must not decide whether it matches
+        right = self.plan(node.right, self._templates(left))
         if node.expr is None:
             return join(left, right, "left")
         parts = conjuncts(node.expr)
@@ -153,7 +167,7 @@ class Planner:
         return union(self.plan(node.left), self.plan(node.right))
 
     def _minus(self, node: A.Minus) -> Solutions:
-        return minus(self.plan(node.left), self.plan(node.right))
+        return minus(self.plan(node.left), self.plan(node.right, {}))
 
     def _values(self, node: A.Values) -> Solutions:
         keys = [A.key(A.Var(v)) for v in node.vars]
@@ -184,7 +198,7 @@ class Planner:
     def _branches(self, pattern, done: Solutions) -> list[tuple[Solutions, list]]:
         """The alternatives of an EXISTS pattern, each with the conditions that use variables of ``done``."""
         outer = {k[2:] for k in done.shapes if k.startswith("v_")}
-        return [(self.plan(p), conditions) for p, conditions in lifted(pattern, outer)]
+        return [(self.plan(p, self._templates(done)), conditions) for p, conditions in lifted(pattern, outer)]
 
     def _subquery(self, done: Solutions, inner: Solutions, conditions: list, negative: bool) -> Solutions:
         if conditions or set(inner.shapes) & set(done.shapes):
@@ -310,8 +324,8 @@ class Planner:
 
     # modifiers
     def _project(self, node: A.Project) -> Solutions:
-        done = self.plan(node.inner)
-        return done.only([A.key(A.Var(v)) for v in node.vars])
+        keys = [A.key(A.Var(v)) for v in node.vars]
+        return self.plan(node.inner, {k: s for k, s in self.known.items() if k in keys}).only(keys)
 
     def _distinct(self, node: A.Distinct) -> Solutions:
         done = self.plan(node.inner)
@@ -333,7 +347,7 @@ class Planner:
         return done.with_df(done.df.orderBy(*keys))
 
     def _slice(self, node: A.Slice) -> Solutions:
-        done = self.plan(node.inner)
+        done = self.plan(node.inner, {})
         df = done.df.offset(node.offset) if node.offset else done.df
         return done.with_df(df if node.limit is None else df.limit(node.limit))
 
@@ -348,10 +362,11 @@ class Planner:
         done = done.generic([k for k in done.shapes if k in used])
         row = None
         if fresh:  # labels that a repeated task makes again: a hash of the row, and its number among equal rows
+            # equal rows are counted, which combines on the map side, and numbered from their count
             names = done.df.columns
-            hashed = done.df.withColumn("__hash", F.xxhash64(*[F.col(c) for c in names]) if names else F.lit(0))
-            numbered = hashed.withColumn("__n", F.row_number().over(Window.partitionBy("__hash").orderBy("__hash")))
-            done = done.with_df(numbered)
+            counted = done.df.groupBy(*names).agg(F.count(F.lit(1)).alias("__count"))
+            hashed = counted.withColumn("__hash", F.xxhash64(*[F.col(c) for c in names]) if names else F.lit(0).cast("bigint"))
+            done = done.with_df(hashed.where("__count > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__count")))).drop("__count"))
             row = F.concat(F.lit("b"), F.hex("__hash"), F.lit("_"), F.col("__n").cast("string"), F.lit("_"))
         out = []
         for triple in template:

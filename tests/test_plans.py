@@ -7,6 +7,8 @@ import pytest
 
 from ontoloom.errors import SparqlError
 from ontoloom.plans import graph, stores
+from ontoloom.sources.mapping import MappedSource, TableMap
+from ontoloom.store import Engine
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SMALL), reason="no test data here")
@@ -49,6 +51,29 @@ def test_variable_predicates_read_only_tables_that_can_match(engine):
     assert "nation.parquet" in text and "lineitem.parquet" not in text and "orders.parquet" not in text
 
 
+def test_what_is_known_from_outside_prunes_tables_but_decides_no_match(engine):
+    text = plan(engine.query("SELECT ?n ?v WHERE { ?n t:n_name ?name . ?n !t:n_name ?v }").values)
+    assert "nation.parquet" in text and "orders.parquet" not in text
+    # the optional part binds ?k to suppliers, which no nation is
+    assert engine.query("SELECT ?k WHERE { ?k t:n_name ?n . { ?r t:r_name ?x OPTIONAL { ?k t:s_name ?y } } }").df.count() == 0
+    assert engine.query("SELECT ?k WHERE { ?k t:n_name ?n . { ?r t:r_name ?x MINUS { ?k t:s_name ?y } } }").df.count() == 125
+    assert engine.query("SELECT ?k WHERE { ?k t:n_name ?n . { SELECT ?k WHERE { ?k ?p ?o } ORDER BY ?k LIMIT 1 } }").df.count() == 0
+    assert engine.query("SELECT ?k ?c WHERE { ?k t:n_name ?n . { SELECT (COUNT(?k) AS ?c) WHERE { ?k t:s_name|t:n_name ?o } } }").values.head().c > 25
+
+
+def test_string_keys_are_escaped_in_iris(spark):
+    keys = ["a/b", "a", "b c", "é%2F", "x~*", "", None, "a%2Fb", "https://x?y#z"]
+    df = spark.createDataFrame([(k, n % 2, n) for n, k in enumerate(keys) if k is not None], "k string, j int, v int")
+    maps = [TableMap(df.schema, lambda: df, "http://t/row/", ["k", "j"], {"k": "http://t/k/"})]
+    found = Engine(spark, [MappedSource(maps)], {"t": "http://tables.example/ns#"})
+    rows = found.query("SELECT ?s ?v ?k WHERE { ?s t:v ?v ; t:k ?k }").values.collect()
+    assert len({r.s for r in rows}) == len(rows) == 8 and all(r.s.count("/") == 5 for r in rows)
+    for r in rows:  # every IRI is turned back into its key
+        assert found.query(f"SELECT ?v WHERE {{ <{r.s}> t:v ?v }}").values.collect() == [(r.v,)]
+        assert [x.v for x in found.query(f"SELECT ?v WHERE {{ ?s t:k <{r.k}> ; t:v ?v }}").values.collect()] == [r.v]
+    assert found.query("ASK { <http://t/row/a%2fb/0> t:v ?v }") is False  # not as this source writes it
+
+
 @pytest.mark.parametrize("name", sorted({**graph.SQL, **stores.SQL}))
 def test_queries_match_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")

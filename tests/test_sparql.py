@@ -77,6 +77,14 @@ CASES = [
     (NAME + "FILTER(?name < 5)", "p", []),
     (NAME + "FILTER(NOT EXISTS { ?p ex:age ?a })", "p", ["dave"]),
     (NAME + "FILTER EXISTS { ?p ex:knows ex:dave }", "p", ["bob", "carol"]),
+    ('BIND("2024-03-05T06:07:08.5Z" AS ?d) ?p ex:name ?n FILTER(YEAR(?d) = 2024 && MONTH(?d) = 3 && DAY(?d) = 5 && HOURS(?d) = 6 && MINUTES(?d) = 7 && SECONDS(?d) = 8.5 && ?n = "Bob")', "p", ["bob"]),
+    (AGE + 'FILTER(YEAR("2024-03-05") = 2024 && !BOUND(?none) && COALESCE(HOURS("2024-03-05"), -1) = -1 && COALESCE(YEAR("x"), 1) = 1 && ?age > 25)', "p", ["alice"]),
+    (NAME + 'FILTER(MD5(?name) = "2fc1c0beb992cd7096975cfebf9d5c3b" && STRLEN(SHA1(?name)) = 40 && STRLEN(SHA256(?name)) = 64 && STRLEN(SHA384(?name)) = 96 && STRLEN(SHA512(?name)) = 128)', "p", ["bob"]),
+    (NAME + 'FILTER(ENCODE_FOR_URI("a b/*~é+") = "a%20b%2F%2A~%C3%A9%2B" && ?name = "Bob")', "p", ["bob"]),
+    (NAME + 'BIND(STRDT("7", <http://www.w3.org/2001/XMLSchema#integer>) AS ?x) BIND(STRLANG("v", "de") AS ?y) FILTER(?x + 1 = 8 && LANG(?y) = "de" && DATATYPE(?x) = <http://www.w3.org/2001/XMLSchema#integer> && ?name = "Bob")', "p", ["bob"]),
+    (AGE + 'FILTER(<http://www.w3.org/2001/XMLSchema#integer>("-7.9") = -7 && <http://www.w3.org/2001/XMLSchema#boolean>("1") && <http://www.w3.org/2001/XMLSchema#string>(?age) = "30" && !BOUND(?q))', "p", ["alice"]),
+    (NAME + 'FILTER(COALESCE(<http://www.w3.org/2001/XMLSchema#dateTime>("2024-01-01"), "no") = "no" && <http://www.w3.org/2001/XMLSchema#date>("2024-01-01") = "2024-01-01" && ?name = "Bob")', "p", ["bob"]),
+    (NAME + "FILTER(NOSUCH(?name) = 1)", "p", []),
     # joins
     ("?p ex:age ?a . ?q ex:age ?a . FILTER(?p != ?q)", "p", ["bob", "carol"]),
     ('?p ex:age "25" .', "p", ["bob", "carol"]),

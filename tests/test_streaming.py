@@ -20,3 +20,8 @@ def test_documents_are_inserted_once(spark, tmp_path):
     (other / "c.rdf").write_text(rdfxml())
     stream_documents(store, str(other), "rdfxml", str(tmp_path / "cp2"), available_now=True).awaitTermination(120)
     assert store.table("relations").count() == 11
+    lines = tmp_path / "nt"
+    lines.mkdir()
+    (lines / "d.nt").write_text('<http://a> <http://p> <http://c> .\nno statement\n_:x <http://p> "y\\u00e9" .\n')
+    stream_documents(store, str(lines), "ntriples", str(tmp_path / "cp3"), available_now=True).awaitTermination(120)
+    assert store.table("relations").count() == 12 and store.table("properties").where("value = 'yé' and s_kind = 'blank'").count() == 1
