@@ -92,9 +92,10 @@ _first = _first_map()
 _second = str.maketrans(_latin)
 
 
-#: Characters that the first table changes, and those of which a part is a letter of the second.
+#: Characters that the first table changes; composed ones and their parts; those of which a part is a letter of the second table.
 _first_chars = frozenset(map(chr, _first))
-_second_chars = frozenset(c for c in map(chr, CODES) if not set(unicodedata.normalize("NFD", c)).isdisjoint(_latin))
+_composed_chars = {c: frozenset(unicodedata.normalize("NFD", c)) for c in map(chr, CODES) if unicodedata.decomposition(c)[:1] not in ("", "<")}
+_second_chars = frozenset(_latin) | frozenset(c for c, parts in _composed_chars.items() if not parts.isdisjoint(_latin))
 #: The letters of the scripts that share shapes with Latin (by their names), and the Latin letters that are variants of others.
 _other_chars = frozenset(c for c in map(chr, CODES) if c.isalpha() and unicodedata.name(c, "").split(" ")[0].capitalize() in SAME_SHAPE) | frozenset(p[0] for p in LATIN_VARIANTS.split())
 #: A token: a run of letters and combining marks.
@@ -183,7 +184,10 @@ def letter_script(c: str) -> tuple[str, bool, bool] | None:
 
 def token_kinds(text: str) -> list[str]:
     """The kinds of a text's tokens that have a letter of a script sharing shapes with Latin."""
-    return [token_kind(m) for m in _token.findall(plain(text)) if not _other_chars.isdisjoint(m)]
+    seen = plain(text)
+    if _other_chars.isdisjoint(seen):
+        return []
+    return [token_kind(m) for m in _token.findall(seen) if not _other_chars.isdisjoint(m)]
 
 
 #: Letters that differ in case only, or look alike in some case, have one key: lower case of the Latin shape.
@@ -192,7 +196,7 @@ for _c, _shape in list(_latin.items()):
     if _c.isupper() and _c.lower() not in _latin:
         _fold[_c.lower()] = _shape.lower()
 _folds = str.maketrans(_fold)
-_fold_chars = frozenset(c for c in map(chr, CODES) if not set(unicodedata.normalize("NFD", c)).isdisjoint(_fold))
+_fold_chars = frozenset(_fold) | frozenset(c for c, parts in _composed_chars.items() if not parts.isdisjoint(_fold))
 
 
 def folded(text: str) -> str:
