@@ -42,6 +42,8 @@ SAME_SHAPE = {
     "Tifinagh": "ⵔO ⵝX ⵏI ⴸV",
     "Georgian": "ჿo",
 }
+#: All scripts that a token can be spelled in; of several other than Latin the first is taken.
+SCRIPTS = sorted([*SAME_SHAPE, "Latin"])
 #: Letters of the Latin script that have the shape of a basic one.
 LATIN_VARIANTS = "ɡg ᴄc ᴏo ᴠv ᴡw ᴢz ꜱs ɑa"
 #: Invisible characters that Unicode does not class as format or variation characters.
@@ -97,7 +99,7 @@ _first_chars = frozenset(map(chr, _first))
 _composed_chars = {c: frozenset(unicodedata.normalize("NFD", c)) for c in map(chr, CODES) if unicodedata.decomposition(c)[:1] not in ("", "<")}
 _second_chars = frozenset(_latin) | frozenset(c for c, parts in _composed_chars.items() if not parts.isdisjoint(_latin))
 #: The letters of the scripts that share shapes with Latin (by their names), and the Latin letters that are variants of others.
-_other_chars = frozenset(c for c in map(chr, CODES) if c.isalpha() and unicodedata.name(c, "").split(" ")[0].capitalize() in SAME_SHAPE) | frozenset(p[0] for p in LATIN_VARIANTS.split())
+SHARED = frozenset(c for c in map(chr, CODES) if c.isalpha() and unicodedata.name(c, "").split(" ")[0].capitalize() in SAME_SHAPE) | frozenset(p[0] for p in LATIN_VARIANTS.split())
 #: A token: a run of letters and combining marks.
 _token = re.compile("(?:[^\\W\\d_]|[\u0300-\u036f])+")
 
@@ -120,12 +122,21 @@ def plain(text: str) -> str:
     return _composed(text, frozenset(), {})
 
 
+def latin_shape(part: str) -> str:
+    return _latin.get(part, part)
+
+
+def spellings() -> dict[tuple[str, str], str]:
+    """(script, Latin shape) -> the letter of the script."""
+    return dict(_respell)
+
+
 def skeleton(text: str) -> str:
     """What is seen of a text, in Latin shapes wherever there is one."""
     return " ".join(_composed(text, _second_chars, _second).split())
 
 
-def _scripts(letter: str) -> frozenset[str] | None:
+def part_scripts(letter: str) -> frozenset[str] | None:
     """The scripts that have a letter of this shape; None if it says nothing (marks, other scripts' signs)."""
     letter = _latin.get(letter, letter)
     if letter in _writable:
@@ -141,7 +152,7 @@ _writable = {shape: frozenset(["Latin", *(s for s, other in _respell if other ==
 def respell(token: str) -> str:
     """A token in the one script that all its letters can be written in; see the module's text."""
     parts = unicodedata.normalize("NFD", token)
-    sets = [s for s in map(_scripts, parts) if s is not None]
+    sets = [s for s in map(part_scripts, parts) if s is not None]
     shared = frozenset.intersection(*sets) if sets else frozenset()
     latin = [_latin.get(c, c) for c in parts]
     if "Latin" in shared or not shared:
@@ -153,8 +164,8 @@ def respell(token: str) -> str:
 def form(text: str) -> str:
     """The one form of all texts that look like this one."""
     seen = plain(text)
-    if not seen.isascii() and not _other_chars.isdisjoint(seen):
-        seen = _token.sub(lambda m: m[0] if _other_chars.isdisjoint(m[0]) else respell(m[0]), seen)
+    if not seen.isascii() and not SHARED.isdisjoint(seen):
+        seen = _token.sub(lambda m: m[0] if SHARED.isdisjoint(m[0]) else respell(m[0]), seen)
     return " ".join(seen.split())
 
 
@@ -179,15 +190,15 @@ def token_kind(token: str) -> str:
 def letter_script(c: str) -> tuple[str, bool, bool] | None:
     """(script, all Latin shapes, of a script or kind that shares shapes with Latin) of a composed letter; None if it says nothing."""
     own = [p for p in unicodedata.normalize("NFD", c) if own_script(p)]
-    return (own_script(own[0]), all(p in _latin for p in own), c in _other_chars) if own else None
+    return (own_script(own[0]), all(p in _latin for p in own), c in SHARED) if own else None
 
 
 def token_kinds(text: str) -> list[str]:
     """The kinds of a text's tokens that have a letter of a script sharing shapes with Latin."""
     seen = plain(text)
-    if _other_chars.isdisjoint(seen):
+    if SHARED.isdisjoint(seen):
         return []
-    return [token_kind(m) for m in _token.findall(seen) if not _other_chars.isdisjoint(m)]
+    return [token_kind(m) for m in _token.findall(seen) if not SHARED.isdisjoint(m)]
 
 
 #: Letters that differ in case only, or look alike in some case, have one key: lower case of the Latin shape.

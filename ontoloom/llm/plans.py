@@ -1,4 +1,4 @@
-"""The queries of the text operators, and their SQL where SQL can express them."""
+"""The queries of the text operators; their SQL, where SQL can express them, is in ``sql``."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ontoloom.llm import leaks, looks, terms, tokens
 from ontoloom.plans.bulk import table
-from ontoloom.plans.bulk_sql import read
 from ontoloom.sources.scratch import Scratch
 
 
@@ -61,70 +60,11 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p6_ids, p7_found, p7_near, p8_found, p8_classes, p8_tokens, p8_forms)}
 
-_P3 = (
-    "with types as (select *, coalesce(literal_type, '') as lt from node_properties),"
-    + read("types", "lt")
-    + ","
-    + read("predicates", "iri")
-    + """, iris as (select distinct term from read_predicates),
- used as (select predicate, subject from relations union all select predicate, subject from node_properties),
- by_iri as (select term, count(*) as n, count(distinct subject) as d from used join read_predicates p on p.id = used.predicate group by 1),
- counts as (
- select 'iri' as field, iris.term, coalesce(n, 0) as rows, coalesce(d, 0) as records, (select count(distinct subject) from used) as total from iris left join by_iri using (term)
- union all select 'literal_type', case when term = '' then 'http://www.w3.org/2001/XMLSchema#string' else term end, count(*), count(distinct subject), (select count(distinct subject) from node_properties) from read_types group by 2)
-"""
-)
 
+def __getattr__(name: str):
+    """``SQL``: name -> the same query in SQL; made when it is asked for, as its tables of characters are long."""
+    if name == "SQL":
+        from ontoloom.llm.sql import SQL
 
-
-def _character_map(change) -> str:
-    """SQL rows (code point, text) of the characters that ``change`` alters."""
-    pairs = [(code, change(chr(code))) for code in (*range(0x80), *looks.CODES) if not 0xD800 <= code < 0xE000]
-    return ", ".join("({}, '{}')".format(code, text.replace("'", "''")) for code, text in pairs if text != chr(code))
-
-
-def _seen(c: str) -> str:
-    """What is seen of one character; blanks and the characters around a text do not count."""
-    return " " if c.isspace() else looks.skeleton(c)
-
-
-def _word_letters(c: str) -> str:
-    return " " if c.isspace() else looks.folded(c)
-
-
-def _plain(c: str) -> str:
-    return " " if c.isspace() else looks.plain(c)
-
-
-def _script_rows() -> str:
-    """SQL rows (code point, script, Latin shape, shares shapes) of the letters of the scripts that share shapes with Latin, and of Latin."""
-    found = [(code, looks.letter_script(chr(code))) for code in (*range(0x41, 0x80), *looks.CODES) if chr(code).isalpha()]
-    return ", ".join(f"({code}, '{script}', {look}, {other})" for code, known in found if known for script, look, other in [known])
-
-
-def _mapped(table: str, columns: str, change) -> str:
-    """SQL common tables: ``<table>_text`` has the texts with every character changed, composed and with single blanks."""
-    return f"""{table}_map(cp, txt) as (values {_character_map(change)}),
- {table}_chars as (select {columns}, unnest(regexp_extract_all(text, '(?s).')) as ch, unnest(range(len(regexp_extract_all(text, '(?s).')))) as pos from {table} where text is not null),
- {table}_text as (select {columns}, trim(regexp_replace(nfc_normalize(string_agg(coalesce(txt, ch), '' order by pos)), ' +', ' ', 'g')) as seen from {table}_chars left join {table}_map on cp = unicode(ch) group by {columns})"""
-
-
-_WINDOWS = "{0}_grams as (select distinct {1}, array_to_string(w[i:i + 9], ' ') as gram from (select {1}, w, unnest(range(1, len(w) - 8)) as i from (select {1}, regexp_extract_all(seen, '[\\p{{L}}\\p{{N}}]+') as w from {0}_text) where len(w) > 9))"
-_LOOKS = "with " + _mapped("documents", "doc_id", _seen) + ", shown as (select d.doc_id, d.text, s.seen from documents d join documents_text s using (doc_id) where s.seen <> '')"
-_TOKENS = (
-    "with "
-    + _mapped("documents", "doc_id", _plain)
-    + f""", letters(cp, script, look, other) as (values {_script_rows()}),
- tokens as (select doc_id, row_number() over () as n, token from (select doc_id, unnest(regexp_extract_all(seen, '(?:[\\p{{L}}\\p{{Nl}}\\p{{No}}]|[\\x{{300}}-\\x{{36f}}])+')) as token from documents_text)),
- kinds as (select doc_id, n, count(distinct script) > 1 as mixed, count(distinct script) = 1 and bool_and(look) as whole from (select doc_id, n, unnest(regexp_extract_all(token, '(?s).')) as ch from tokens) join letters on cp = unicode(ch) group by 1, 2 having bool_or(other))"""
-)
-_LEAKS = "with " + ", ".join([_mapped("documents", "doc_id", _word_letters), _mapped("benchmark", "item_id", _word_letters), _WINDOWS.format("documents", "doc_id"), _WINDOWS.format("benchmark", "item_id")])
-
-SQL = {
-    "p3_found": _P3 + "select field, term, case when records < 5 then 'rare' else 'common' end as mark from counts where records < 5 or records > total * 0.5",
-    "p3_counts": _P3 + "select field, term, rows, records from counts",
-    "p7_found": _LEAKS + " select distinct doc_id, item_id from documents_grams join benchmark_grams using (gram)",
-    "p8_found": _LOOKS + " select a.doc_id as doc_id_a, b.doc_id as doc_id_b from shown a join shown b on a.seen = b.seen and a.doc_id < b.doc_id and a.text <> b.text",
-    "p8_tokens": _TOKENS + " select d.doc_id, count(*) filter (where mixed) as mixed_tokens, count(*) filter (where whole) as whole_tokens from documents d left join kinds k on k.doc_id = d.doc_id group by 1",
-    "p8_classes": _LOOKS + " select doc_id, min(doc_id) over (partition by seen) as class_id, min(doc_id) over (partition by text) as spelling_id from shown",
-}
+        return SQL
+    raise AttributeError(name)

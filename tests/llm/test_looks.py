@@ -112,7 +112,7 @@ def test_classes_are_the_pairs_in_linear_form(spark):
     assert looks.classes(looks.form_keys(df.limit(0))).count() == 0
 
 
-@pytest.mark.parametrize("name", ["p7_found", "p8_found", "p8_classes", "p8_tokens"])
+@pytest.mark.parametrize("name", ["p7_found", "p7_near", "p8_found", "p8_classes", "p8_tokens", "p8_forms"])
 def test_queries_match_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     small = "/root/testdata/sf0.001"
