@@ -10,6 +10,7 @@ semi-join.  Variables that can be unbound join by compatibility, split into equi
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,8 +33,8 @@ from ontoloom.sparql.shapes import Generic, Solutions, Template, Typed, column
 class Unit:
     patterns: list[A.Triple]
     solutions: Solutions
-    #: The same with repeated rows, where these cost less and do not matter.
-    bag: Solutions | None = None
+    #: Makes the same with repeated rows, where these cost less and do not matter.
+    bag: Callable[[], Solutions] | None = None
 
     @property
     def constants(self) -> int:
@@ -80,7 +81,7 @@ class Planner:
             if not unit.keys:
                 done = self._exists(done, unit)
             elif unit.keys <= bound:
-                done = join(done, unit.bag or unit.solutions, "left_semi")
+                done = join(done, unit.bag() if unit.bag else unit.solutions, "left_semi")
             else:
                 done = join(done, unit.solutions)
         return done
@@ -101,8 +102,11 @@ class Planner:
                 keys = [A.key(t) for t in (p.s, p.p, p.o) if A.is_open(t)]
                 # what is a subject elsewhere is no literal here
                 node = A.is_open(p.o) and A.key(p.o) in subjects
-                whole, bags = zip(*([s.scan(p, node, known), s.scan(p, node, known, bag=True)] for s in self.sources)) if self.sources else ((), ())
-                units.append(Unit([p], *(self._union_all([b for branches in side for b in branches], keys) for side in (whole, bags))))
+
+                def scanned(bag: bool = True, p=p, keys=keys, node=node) -> Solutions:
+                    return self._union_all([b for s in self.sources for b in s.scan(p, node, known, bag)], keys)
+
+                units.append(Unit([p], scanned(False), scanned))
         return units
 
     def _union_all(self, branches: list[Solutions], keys: list[str]) -> Solutions:
