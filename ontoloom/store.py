@@ -120,24 +120,27 @@ class TripleStore(Engine):
 
     # tables
     def migrate(self) -> None:
-        """Make the folders of tables that do not exist yet, and end a ``compact`` that was cut off."""
+        """Make the folders of tables that do not exist yet; one whose ``compact`` was cut off gets its old rows back."""
         for name in TABLES:
-            old, new = self._hadoop(f"{name}.old"), self._hadoop(f"{name}.new")
-            if self._fs.exists(old) and not self._fs.exists(self._hadoop(name)):
-                self._fs.rename(old, self._hadoop(name))
-            for left in (old, new):
-                self._fs.delete(left, True)
-            self._fs.mkdirs(self._hadoop(name))
+            whole, old = self._hadoop(name), self._hadoop(f"{name}.old")
+            if self._fs.exists(old) and not self._fs.exists(whole):
+                self._fs.rename(old, whole)
+            self._fs.mkdirs(whole)
 
     def compact(self) -> None:
-        """Merge the files that inserts have left; the triples stay as they are."""
+        """Merge the files that inserts have left; the triples stay as they are.  It is a write: nothing else may write meanwhile."""
         for name in TABLES:
-            if self._fs.getContentSummary(self._hadoop(name)).getFileCount() == 0:
+            whole, old, new = (self._hadoop(name + end) for end in ("", ".old", ".new"))
+            for left in (old, new):
+                self._fs.delete(left, True)
+            if self._fs.getContentSummary(whole).getFileCount() == 0:
                 continue
             self._write(self.table(name), f"{name}.new")
-            self._fs.rename(self._hadoop(name), self._hadoop(f"{name}.old"))
-            self._fs.rename(self._hadoop(f"{name}.new"), self._hadoop(name))
-            self._fs.delete(self._hadoop(f"{name}.old"), True)
+            self._fs.rename(whole, old)
+            if self._fs.exists(whole):
+                raise StoreError(f"{name} was written while it was compacted")
+            self._fs.rename(new, whole)
+            self._fs.delete(old, True)
 
     def _write(self, rows: DataFrame, name: str) -> None:
         """Append rows to their folders; a predicate with most rows is split between tasks by size."""

@@ -137,6 +137,10 @@ def test_compact_keeps_the_triples(spark, tmp_path):
     (tmp_path / "db/properties").rename(tmp_path / "db/properties.old")
     again = TripleStore(spark, str(tmp_path / "db"))
     assert again.table("properties").count() == 4 and not (tmp_path / "db/properties.old").exists()
+    # what a cut off one has left is no hindrance
+    (tmp_path / "db/properties.new").mkdir()
+    again.compact()
+    assert again.table("properties").count() == 4 and not (tmp_path / "db/properties.new").exists()
 
 
 def test_the_number_of_prefixes_is_bounded(spark, monkeypatch):
