@@ -2,8 +2,8 @@
 
 From a constant the reached terms are collected front by front, each round joining only the
 terms found last.  Between variables the pairs are doubled: pairs of up to k steps joined with
-themselves make those of up to 2k, so the rounds are logarithmic in the longest way.  Every
-round is a written table (see ``Scratch``), so lineage stays one round long.
+each other make those of up to 2k, so the rounds are logarithmic in the longest way; pairs that
+were joined before are not joined again.  Every round is a written table (see ``Scratch``), so lineage stays one round long.
 """
 
 from __future__ import annotations
@@ -107,15 +107,20 @@ def _reached(steps: Solutions, term, near: str, far: str, scratch: Scratch) -> S
 
 
 def _doubled(steps: Solutions, scratch: Scratch) -> Solutions:
-    pairs, n, before, number = steps.df, -1, -2, 0
+    """All pairs; a round joins only what has a part that the last round found, and writes only what is new."""
     a, b = steps.columns([FROM]), steps.columns([TO])
-    while n != before:
-        number += 1
-        onward = pairs.select(*[F.col(c).alias(f"__{c}") for c in (*a, *b)])
+
+    def joined(first: DataFrame, then: DataFrame) -> DataFrame:
+        onward = then.select(*[F.col(c).alias(f"__{c}") for c in (*a, *b)])
         meet = reduce(lambda p, q: p & q, [F.col(y) == F.col(f"__{x}") for x, y in zip(a, b)])
-        longer = pairs.join(onward, meet).select(*a, *[F.col(f"__{c}").alias(c) for c in b])
-        before = n
-        pairs, n = _saved(scratch, pairs.unionByName(longer).distinct(), f"pairs{number}")
-        if number > 2:
-            scratch.drop(f"pairs{number - 2}")
-    return steps.with_df(pairs)
+        return first.join(onward, meet).select(*a, *[F.col(f"__{c}").alias(c) for c in b])
+
+    number = 0
+    new, n = _saved(scratch, steps.df, "pairs/round=0")
+    known = new
+    while n:
+        number += 1
+        longer = joined(new, known) if number == 1 else joined(new, known).unionByName(joined(known, new))
+        new, n = _saved(scratch, longer.distinct().join(known, [*a, *b], "left_anti"), f"pairs/round={number}")
+        known = scratch.read("pairs", steps.df.schema)
+    return steps.with_df(known)
