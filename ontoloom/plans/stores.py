@@ -115,9 +115,11 @@ def store_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``store_ntriples``, from Turtle documents, each with the statements of some subjects."""
     folder = f"{Scratch(spark, 'turtle').root}/documents"
-    head = F.lit(f"@prefix qy: <{_NS}> .\n")
-    by_subject = _lines(spark, sf_dir).groupBy(F.pmod(F.xxhash64("s"), F.lit(64)).alias("n")).agg(F.concat(head, F.array_join(F.collect_list(F.regexp_replace("value", rf"<\Q{_NS}\E([A-Za-z]+)>", "qy:$1")), "\n")).alias("value"))
-    by_subject.repartition("n").select("value").write.option("lineSep", "\n").text(folder)
+    lines = _lines(spark, sf_dir).where("value is not null").select("s", F.regexp_replace("value", rf"<\Q{_NS}\E([A-Za-z]+)>", "qy:$1").alias("value"))
+    # a partition is a document, its first line has the prefix before it
+    documents = lines.repartitionById(64, F.pmod(F.xxhash64("s"), F.lit(64)).cast("int")).select("value")
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    documents.select(F.when(first, F.concat(F.lit(f"@prefix qy: <{_NS}> .\n"), "value")).otherwise(F.col("value")).alias("value")).write.option("compression", "gzip").text(folder)
     store = TripleStore(spark)
     store.import_turtle_file(folder)
     return _whole(store)
